@@ -13,12 +13,12 @@ KEY_SEPARATOR = "|"
 
 
 def two_places(c: Column) -> Column:
-    return F.format_string("%.2f", c.cast("decimal(28,10)"))
+    return c.cast("decimal(28,2)").cast("string")
 
 
 def export_number(c: Column) -> Column:
     number = c.cast("decimal(28,10)")
-    text = F.when(number == F.floor(number), F.format_string("%.0f", number)).otherwise(two_places(c))
+    text = F.when(number == F.floor(number), number.cast("decimal(28,0)").cast("string")).otherwise(two_places(c))
     return F.when(c.isNull(), "").otherwise(text)
 
 
