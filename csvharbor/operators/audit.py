@@ -174,9 +174,10 @@ def to_archive(log: DataFrame, archive: DataFrame | None, as_of: dt.datetime, da
     """
     old = log.filter(older_than(log, "created_at", as_of, days=days))
     if archive is not None:
-        first = old.agg(F.min("created_at")).first()[0]
+        first = old.agg(F.min("created_at").cast("string")).first()[0]
         if first is not None:
-            moved = archive.filter(F.col("created_at") >= F.lit(first)).select("id")
+            oldest = F.lit(first).cast(log.schema["created_at"].dataType)
+            moved = archive.filter(F.col("created_at") >= oldest).select("id")
             old = old.join(moved, "id", "left_anti").select(log.columns)
     return old.withColumn("archived_at", F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp"))
 

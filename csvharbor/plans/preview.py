@@ -52,29 +52,37 @@ def summary(classified: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def key_names(spec: TableSpec) -> list[str]:
+    """Names for key columns beside a table's own columns, whatever those are called."""
+    return [f"_key{i}" for i in range(len(spec.key_columns))]
+
+
+def keyed_rows(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """A table's rows as key columns and one struct ``row``."""
+    keys = [F.col(f"`{k}`").alias(n) for n, k in zip(key_names(spec), spec.key_columns, strict=True)]
+    return df.select(*keys, F.struct(*[F.col(f"`{f.column}`") for f in spec.fields]).alias("row"))
+
+
 def current_rows(updates: DataFrame, existing: DataFrame, spec: TableSpec) -> DataFrame:
     """One stored row per updated key; keys are not unique in the table, the least row stands for its key."""
-    wanted = distinct_keys(updates, spec.key_columns)
-    stored = [f.column for f in spec.fields if f.column not in spec.key_columns]
-    mine = lookup_join(existing.select(*spec.key_columns, *stored), wanted, spec.key_columns, "left_semi")
-    one = mine.groupBy(*spec.key_columns).agg(F.min(F.struct(*stored)).alias("current")) if stored else wanted
-    return one
+    keys = key_names(spec)
+    mine = lookup_join(keyed_rows(existing, spec), distinct_keys(updates, keys), keys, "left_semi")
+    return mine.groupBy(*keys).agg(F.min("row").alias("current"))
 
 
 def diffs(updates: DataFrame, existing: DataFrame, spec: TableSpec, compare: str = "typed") -> DataFrame:
-    """Changed columns of every update row.
+    """Changed columns of every update row (key columns, ``row`` with the typed values, ``values`` with the texts).
 
     ``typed`` compares values; ``text`` compares the cleaned incoming text with the stored value as shown.
-    Typed incoming columns are expected under their stored names, texts in the map ``values``.
     """
-    joined = lookup_join(updates, current_rows(updates, existing, spec), spec.key_columns)
+    joined = lookup_join(updates, current_rows(updates, existing, spec), key_names(spec))
     changed = []
     for f in spec.fields:
         if f.column in spec.key_columns:
             continue
         current = F.col("current").getField(f.column)
         if compare == "typed":
-            different = ~F.col(f"`{f.column}`").eqNullSafe(current)
+            different = ~F.col("row").getField(f.column).eqNullSafe(current)
         else:
             text = F.try_element_at("values", F.lit(f.name))
             different = text.isNotNull() & (text != preview_value(current, f.type))
@@ -107,6 +115,7 @@ def preview(data: Incoming, existing: DataFrame, as_of_year: int, strict: bool =
     errors = F.when(narrow.isNotNull(), F.array(narrow)).otherwise(reasons)
     blank = blank_record(F.col("tokens"))
     rows = data.rows.withColumn("errors", F.when(blank, F.array().cast("array<string>")).otherwise(errors))
+    typed = F.struct(*typed_columns(cells, spec, as_of_year))
     rows = rows.select(
         "file",
         "line_number",
@@ -114,18 +123,19 @@ def preview(data: Incoming, existing: DataFrame, as_of_year: int, strict: bool =
         blank.alias("blank"),
         F.when((F.size("errors") == 0) & ~blank, key_of(cells, spec)).alias("row_key"),
         value_map(cells).alias("values"),
-        *typed_columns(cells, spec, as_of_year),
+        typed.alias("row"),
     )
     # A row without a usable key keeps NULL key columns, so it can only be new or an error.
-    for k in spec.key_columns:
-        rows = rows.withColumn(k, F.when(F.col("row_key").isNotNull(), F.col(f"`{k}`")))
-    classified = classify(rows, existing, spec.key_columns)
+    keys = key_names(spec)
+    usable = F.col("row_key").isNotNull()
+    rows = rows.withColumns({n: F.when(usable, F.col("row").getField(k)) for n, k in zip(keys, spec.key_columns, strict=True)})
+    classified = classify(rows, keyed_rows(existing, spec), keys)
     classified = classified.withColumn("status", F.when(F.col("blank"), "blank").otherwise(F.col("status"))).drop("blank")
     of = {s: classified.filter(F.col("status") == s) for s in ("new", "update", "error")}
     keyed = classified.filter("row_key is not null")
     return Preview(
         classified,
-        summary(classified, spec.key_columns),
+        summary(classified, keys),
         of["new"],
         diffs(of["update"], existing, spec, compare),
         of["error"],

@@ -13,6 +13,6 @@ def audit_stream(spark: SparkSession, directory: str, schema: T.StructType, max_
 
 def running_counts(stream: DataFrame, time: str, by: list[str], period: str = "1 day", lateness: str = "1 day") -> DataFrame:
     """Entries per period and group; a period is final once entries ``lateness`` newer have come."""
-    late = stream.withWatermark(time, lateness)
+    late = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
     counted = late.groupBy(F.window(time, period).alias("w"), *by).agg(F.count("*").alias("n"))
     return counted.select(F.col("w.start").alias("period_start"), *by, "n")
