@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from csvharbor.functions import cells, messages
 from csvharbor.operators.filters import equal_if_given, in_time_range, older_than
+from csvharbor.operators.views import slice_rows
 
 DEFAULT_LIMIT = 50
 EXPORT_LIMIT = 100_000
@@ -124,7 +125,7 @@ def newest_first() -> list[Column]:
 
 
 def page(log: DataFrame, which: AuditFilter, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
-    return which.apply(log).orderBy(*newest_first()).offset(offset).limit(limit if limit > 0 else DEFAULT_LIMIT)
+    return slice_rows(which.apply(log), newest_first(), offset, limit if limit > 0 else DEFAULT_LIMIT)
 
 
 def count(log: DataFrame, which: AuditFilter) -> DataFrame:
@@ -149,16 +150,31 @@ def _export_text(name: str, time_format: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("0" if name == "rows_affected" else ""))
 
 
+def newest(log: DataFrame, limit: int) -> DataFrame:
+    """The newest entries. Hourly counts first give the hour that the last of them lies in, so that the sort
+    sees little more than the entries asked for; entries without a time come first."""
+    hours = log.groupBy(F.date_trunc("hour", "created_at").alias("hour")).agg(F.count("*").alias("n"))
+    kind, reached, since = log.schema["created_at"].dataType, 0, None
+    for row in hours.select(F.col("hour").cast("string").alias("hour"), "n").orderBy(F.col("hour").desc_nulls_first()).toLocalIterator():
+        reached, since = reached + row.n, row.hour
+        if reached >= limit:
+            break
+    recent = F.col("created_at").isNull()
+    if since is not None:
+        recent = recent | (F.col("created_at") >= F.lit(since).cast(kind))
+    return log.filter(recent).orderBy(*newest_first()).limit(limit)
+
+
 def export_rows(log: DataFrame, which: AuditFilter, limit: int | None = None) -> DataFrame:
     """The CSV layout with the time second, newest first; ``limit`` gives the capped variant."""
-    ordered = which.apply(log).orderBy(*newest_first())
-    ordered = ordered.limit(limit) if limit else ordered
+    matching = which.apply(log)
+    ordered = newest(matching, limit) if limit else matching.orderBy(*newest_first())
     return ordered.select(*[_export_text(c, "yyyy-MM-dd HH:mm:ss").alias(h) for h, c in EXPORT_COLUMNS])
 
 
 def export_rows_time_last(log: DataFrame, which: AuditFilter, limit: int = EXPORT_LIMIT) -> DataFrame:
     """The capped layout with an RFC 3339 time as the last column."""
-    ordered = which.apply(log).orderBy(*newest_first()).limit(limit)
+    ordered = newest(which.apply(log), limit)
     columns = [_export_text(c, "").alias(h) for h, c in EXPORT_COLUMNS if c != "created_at"]
     return ordered.select(*columns, _export_text("created_at", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("Created At"))
 

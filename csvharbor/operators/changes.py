@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from csvharbor.functions.cells import convert
 from csvharbor.functions.formats import display_key, export_value, key_value, row_json, split_key
-from csvharbor.operators.joins import colliding_edits, distinct_keys, lookup_join
+from csvharbor.operators.joins import colliding_edits, distinct_keys, existing_keys, lookup_join
 from csvharbor.operators.validate import cell_error
+from csvharbor.session import cut
 from csvharbor.specs import TableSpec
 
 
@@ -32,6 +33,12 @@ def parse_keys(requests: DataFrame, spec: TableSpec, table: DataFrame, column: s
     return requests.filter(pieces.isNotNull()).select(*typed, *others).dropna(subset=spec.key_columns)
 
 
+def rows_of_keys(table: DataFrame, keys: DataFrame, spec: TableSpec) -> DataFrame:
+    """Stored rows of the requested keys: any number of point lookups in one scan."""
+    wanted = cut(distinct_keys(keys, spec.key_columns))
+    return lookup_join(table, wanted, spec.key_columns, "left_semi").select(table.columns)
+
+
 @dataclass(frozen=True)
 class Change:
     rows: DataFrame
@@ -40,7 +47,7 @@ class Change:
 
 def delete_rows(table: DataFrame, keys: DataFrame, spec: TableSpec) -> Change:
     """Rows without the keys, and every deleted row as key text and JSON."""
-    wanted = distinct_keys(keys, spec.key_columns)
+    wanted = cut(distinct_keys(keys, spec.key_columns))
     kept = lookup_join(table, wanted, spec.key_columns, "left_anti")
     gone = lookup_join(table, wanted, spec.key_columns, "left_semi")
     shown = gone.select(F.lit(spec.key).alias("table_key"), key_text(spec).alias("row_key"), row_json(spec.fields).alias("row_data"))
@@ -71,7 +78,7 @@ def check_edits(table: DataFrame, edits: DataFrame, spec: TableSpec, as_of_year:
     known = [(target == f.name.lower(), F.lit(f.column)) for f in spec.fields]
     error = _one_of([(target == f.name.lower(), cell_error(F.col("value"), f, as_of_year, editing=True)) for f in spec.fields])
     edits = edits.groupBy(*keys, "column").agg(F.max("value").alias("value"))
-    checked = edits.withColumn("stored", _one_of(known)).withColumn(
+    checked = cut(edits).withColumn("stored", _one_of(known)).withColumn(
         "reason", F.coalesce(F.when(F.col("stored").isNull(), F.concat(F.lit("column not found: "), F.col("column"))), error)
     )
     invalid = checked.filter("reason is not null").withColumn("status", F.lit("invalid"))
@@ -84,7 +91,7 @@ def check_edits(table: DataFrame, edits: DataFrame, spec: TableSpec, as_of_year:
         typed = convert(F.col("value"), spec.field(name), as_of_year).cast(table.schema[k].dataType)
         moving = moving.withColumn(o, F.col(k)).withColumn(n, F.when(F.col("stored") == k, typed).otherwise(F.col(k)))
     # Two edits in one request must not claim the same new key either: the first old key gets it.
-    first = moving.groupBy(*new).agg(F.min(F.struct(*old)).alias("_winner"))
+    first = cut(moving.groupBy(*new).agg(F.min(F.struct(*old)).alias("_winner")))
     contested = lookup_join(moving, first, new).filter(F.struct(*old) != F.col("_winner")).select(valid.columns)
     clash = colliding_edits(moving, table, old, new, keys).select(valid.columns).unionByName(contested).distinct()
     clash = clash.withColumn("status", F.lit("duplicate_key")).withColumn("reason", F.lit("key already exists"))
@@ -96,10 +103,8 @@ def update_cells(table: DataFrame, edits: DataFrame, spec: TableSpec, as_of_year
     """Rows with the edits applied (blank text becomes NULL), the old and new values, and the rejected edits."""
     keys = spec.key_columns
     allowed, rejected = check_edits(table, edits, spec, as_of_year)
-    # One row per key whatever the number of edited columns; the pivot list is fixed by the table.
-    per_key = allowed.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("stored", "value"))).alias("_edits")
-    )
+    # One row per key, with at most as many edits as the table has columns.
+    per_key = cut(allowed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("stored", "value"))).alias("_edits")))
     joined = lookup_join(table, per_key, keys, "left")
     given = {f.column: F.try_element_at("_edits", F.lit(f.column)) for f in spec.fields}
 
@@ -148,7 +153,7 @@ def bulk_edit(table: DataFrame, keys: DataFrame, column: str, value: str, spec:
     if error:
         raise ValueError(f"invalid value: {error}")
     kind = table.schema[field.column].dataType
-    wanted = distinct_keys(keys, spec.key_columns)
+    wanted = cut(distinct_keys(keys, spec.key_columns))
     hit = lookup_join(table, wanted.withColumn("_hit", F.lit(True)), spec.key_columns, "left")
     old = F.col(f"`{field.column}`")
     typed = convert(text, field, as_of_year).cast(kind)
@@ -163,7 +168,7 @@ def bulk_edit(table: DataFrame, keys: DataFrame, column: str, value: str, spec:
     summary = hit.filter("_hit").agg(F.count("*").cast("int").alias("rows_affected")).select(
         F.lit(spec.key).alias("table_key"), F.lit(field.name).alias("column_name"), text.alias("new_value"), "rows_affected"
     )
-    unmatched = wanted.join(distinct_keys(table, spec.key_columns), spec.key_columns, "left_anti")
+    unmatched = wanted.join(existing_keys(wanted, table, spec.key_columns), spec.key_columns, "left_anti")
     return BulkOutcome(rows, changes, summary, unmatched)
 
 
@@ -187,7 +192,7 @@ class Rollback:
 
 def rollback_uploads(rows: DataFrame, uploads: DataFrame, ids: DataFrame) -> Rollback:
     """Rows without those of the active requested uploads, the uploads marked, and a result per request."""
-    results = rollback_preview(rows, uploads, ids)
+    results = cut(rollback_preview(rows, uploads, ids))
     done = results.filter("can_rollback").select(F.col("id").alias("upload_id"))
     kept = lookup_join(rows, done, ["upload_id"], "left_anti").select(rows.columns)
     marks = done.select(F.col("upload_id").alias("id"), F.lit(True).alias("_done"))

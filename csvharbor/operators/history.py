@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from csvharbor.operators.joins import small_side
+from csvharbor.operators.views import slice_rows
 
 HISTORY_LENGTH = 5
 UPLOAD_PAGE_SIZE = 50
@@ -82,7 +83,7 @@ def failed_counts(failed: DataFrame) -> DataFrame:
 def failed_page(failed: DataFrame, upload_id: str, page: int, size: int = UPLOAD_PAGE_SIZE) -> DataFrame:
     """Failed rows of one upload by line number."""
     mine = failed.filter(F.col("upload_id") == upload_id)
-    return mine.orderBy("line_number").offset((max(page, 1) - 1) * size).limit(size)
+    return slice_rows(mine, [F.col("line_number")], (max(page, 1) - 1) * size, size)
 
 
 def with_upload(rows: DataFrame, uploads: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from csvharbor.session import cut
 
 BROADCAST_ROWS = 1_000_000
-HOT_KEYS = 1_000
+HOT_KEYS = 100_000
 HOT_ROWS = 5_000_000
 
 
@@ -61,8 +61,9 @@ def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def existing_keys(requested: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Requested keys that the table has; all key columns are compared, never their joined text."""
-    wanted = distinct_keys(requested, keys)
+    wanted = cut(distinct_keys(requested, keys))
     if is_small(wanted):
+        # The table is scanned where it lies; only the keys found move.
         return table.select(*keys).dropna().join(F.broadcast(wanted), list(keys), "left_semi").distinct()
     return wanted.join(distinct_keys(table, keys), list(keys), "left_semi")
 
@@ -77,7 +78,7 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], order: str = "line_number
 
 def duplicate_lines(df: DataFrame, keys: Sequence[str], order: str = "line_number") -> DataFrame:
     """Every line of every repeated key, one row each, so that no key gathers its lines in one place."""
-    repeated = duplicate_keys(df, keys, order).select(*keys, "n_rows", "first_line")
+    repeated = cut(duplicate_keys(df, keys, order).select(*keys, "n_rows", "first_line"))
     lines = lookup_join(df.select(*keys, order), repeated, keys, "inner")
     return lines.withColumn("is_first", F.col(order) == F.col("first_line"))
 
@@ -87,5 +88,6 @@ def colliding_edits(edits: DataFrame, table: DataFrame, old: Sequence[str], new:
     moved = F.lit(False)
     for before, after in zip(old, new, strict=True):
         moved = moved | ~F.col(before).eqNullSafe(F.col(after))
-    held = distinct_keys(table, keys).toDF(*new)
-    return lookup_join(edits.filter(moved), held, new, "left_semi").select(edits.columns)
+    moving = edits.filter(moved)
+    held = cut(existing_keys(moving.select(*new).toDF(*keys), table, keys).toDF(*new))
+    return lookup_join(moving, held, new, "left_semi").select(edits.columns)

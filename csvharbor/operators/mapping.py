@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from csvharbor.functions.cells import trim
 from csvharbor.functions.messages import normalized_header
 from csvharbor.operators.joins import lookup_join, small_side
+from csvharbor.session import cut
 
 MATCH_THRESHOLD = 0.7
 AUTO_APPLY_THRESHOLD = 0.9
@@ -40,7 +41,7 @@ def match_templates(files: DataFrame, templates: DataFrame, threshold: float = M
     shapes = files.select("table_key", "signature").distinct()
     scored = shapes.join(small_side(templates.select("table_key", "template_id", "csv_headers")), "table_key")
     scored = scored.withColumn("score", overlap(F.col("csv_headers"), F.col("signature"))).filter(F.col("score") >= threshold)
-    fits = scored.groupBy("table_key", "signature").agg(F.collect_list(F.struct("template_id", "score")).alias("fits"))
+    fits = cut(scored.groupBy("table_key", "signature").agg(F.collect_list(F.struct("template_id", "score")).alias("fits")))
     matched = lookup_join(files, fits, ["table_key", "signature"])
     return matched.select("table_key", "file", F.inline("fits"))
 

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from csvharbor.operators.filters import Filter, apply_filters, search
+from csvharbor.session import scratch
 from csvharbor.specs import FieldType, TableSpec
 
 PAGE_SIZE = 25
+DEEP_OFFSET = 100_000
 MAX_SORTS = 2
 Sort = tuple[str, str]
 
@@ -63,10 +65,35 @@ def page_info(total_rows: int, page: int, size: int = PAGE_SIZE) -> PageInfo:
     return PageInfo(total_rows, pages, min(max(page, 1), pages), size)
 
 
+def slice_rows(df: DataFrame, order: Sequence[Column], offset: int, size: int, deep: int = DEEP_OFFSET) -> DataFrame:
+    """Rows from ``offset`` on. Up to ``deep`` they come from a top-k; beyond, no task could hold all rows before them.
+
+    Then the sorted rows are written as range-partitioned files, whose counts tell which one or two files hold the slice.
+    """
+    if offset <= deep:
+        return df.orderBy(*order).offset(offset).limit(size)
+    path = scratch(df.sparkSession, "sorted")
+    # Rows that are equal in all sort columns may lie in any order; the number lets them spread over files.
+    df.withColumn("_n", F.monotonically_increasing_id()).orderBy(*order, "_n").write.parquet(path)
+    written = df.sparkSession.read.parquet(path)
+    files = written.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n")).orderBy("f").collect()
+    before, wanted, skipped = 0, [], 0
+    for file in files:
+        if before + file.n <= offset:
+            skipped = before + file.n
+        elif before < offset + size:
+            wanted.append(file.f)
+        before += file.n
+    if not wanted:
+        return df.limit(0)
+    rows = df.sparkSession.read.schema(written.schema).parquet(*wanted)
+    return rows.orderBy(*order, "_n").offset(offset - skipped).limit(size).drop("_n")
+
+
 def page_rows(df: DataFrame, order: Sequence[Column], page: int, size: int = PAGE_SIZE, total: int | None = None) -> DataFrame:
     """One page, the page number clamped to those there are."""
     info = page_info(df.count() if total is None else total, page, size)
-    return df.orderBy(*order).offset(info.offset).limit(info.size)
+    return slice_rows(df, order, info.offset, info.size)
 
 
 def page_after(df: DataFrame, key: Sequence[str], last: Sequence[object], size: int = PAGE_SIZE) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from csvharbor.functions.formats import preview_value, record_key, value_map
 from csvharbor.operators import validate
-from csvharbor.operators.joins import distinct_keys, duplicate_keys, duplicate_lines, lookup_join
+from csvharbor.operators.joins import distinct_keys, duplicate_keys, duplicate_lines, existing_keys, lookup_join
 from csvharbor.plans.ingest import Incoming, typed_columns
+from csvharbor.session import cut
 from csvharbor.sources.records import blank_record
 from csvharbor.specs import TableSpec
 
@@ -25,7 +26,7 @@ def key_of(cells: Mapping[str, Column], spec: TableSpec) -> Column:
 
 def classify(keyed: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``status`` per row: error if it has errors, update if its whole key exists, else new."""
-    present = distinct_keys(existing, keys).withColumn("_hit", F.lit(True))
+    present = cut(existing_keys(keyed, existing, keys).withColumn("_hit", F.lit(True)))
     marked = lookup_join(keyed, present, keys, "left")
     status = F.when(F.size("errors") > 0, "error").when(F.col("_hit"), "update").otherwise("new")
     return marked.withColumn("status", status).drop("_hit")
@@ -66,7 +67,7 @@ def keyed_rows(df: DataFrame, spec: TableSpec) -> DataFrame:
 def current_rows(updates: DataFrame, existing: DataFrame, spec: TableSpec) -> DataFrame:
     """One stored row per updated key; keys are not unique in the table, the least row stands for its key."""
     keys = key_names(spec)
-    mine = lookup_join(keyed_rows(existing, spec), distinct_keys(updates, keys), keys, "left_semi")
+    mine = lookup_join(keyed_rows(existing, spec), cut(distinct_keys(updates, keys)), keys, "left_semi")
     return mine.groupBy(*keys).agg(F.min("row").alias("current"))
 
 
@@ -75,7 +76,7 @@ def diffs(updates: DataFrame, existing: DataFrame, spec: TableSpec, compare: str
 
     ``typed`` compares values; ``text`` compares the cleaned incoming text with the stored value as shown.
     """
-    joined = lookup_join(updates, current_rows(updates, existing, spec), key_names(spec))
+    joined = lookup_join(updates, cut(current_rows(updates, existing, spec)), key_names(spec))
     changed = []
     for f in spec.fields:
         if f.column in spec.key_columns:
@@ -128,7 +129,8 @@ def preview(data: Incoming, existing: DataFrame, as_of_year: int, strict: bool =
     # A row without a usable key keeps NULL key columns, so it can only be new or an error.
     keys = key_names(spec)
     usable = F.col("row_key").isNotNull()
-    rows = rows.withColumns({n: F.when(usable, F.col("row").getField(k)) for n, k in zip(keys, spec.key_columns, strict=True)})
+    # The files are parsed once; every list and count below reads what was parsed.
+    rows = cut(rows.withColumns({n: F.when(usable, F.col("row").getField(k)) for n, k in zip(keys, spec.key_columns, strict=True)}))
     classified = classify(rows, keyed_rows(existing, spec), keys)
     classified = classified.withColumn("status", F.when(F.col("blank"), "blank").otherwise(F.col("status"))).drop("blank")
     of = {s: classified.filter(F.col("status") == s) for s in ("new", "update", "error")}

@@ -44,6 +44,8 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, ends the lineage."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows as a table written once to the shared folder: computed once, safe from executor loss, prunable."""
+    spark = df.sparkSession
+    path = scratch(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

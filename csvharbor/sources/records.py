@@ -130,10 +130,12 @@ def _split_summary(lines: DataFrame, candidate: Column) -> DataFrame:
 def _plain_records(lines: DataFrame, splits: DataFrame) -> DataFrame:
     offsets = splits.select(*SPLIT, "base", "first", "spans")
     joined = lines.join(small_side(offsets, MAX_BROADCAST_SPLITS), SPLIT, "left")
-    # Splits must fall as in the first pass; if the file listing or split size changed, fail rather than misnumber.
-    spans = F.coalesce("spans", F.raise_error(F.lit("input files changed between passes")).cast("int"))
-    number = F.col("first") + F.col("at") - F.col("base") + 1
-    return joined.filter(spans == 0).select("file", number.alias("record_no"), F.col("line").alias("raw"))
+    # Splits must fall as in the first pass. If they do not, fail rather than misnumber: the check sits in
+    # the record number, because a filter on it would let the optimizer turn the join into an inner one.
+    moved = F.raise_error(F.lit("input files changed between passes")).cast("long")
+    number = F.when(F.col("base").isNull(), moved).otherwise(F.col("first") + F.col("at") - F.col("base") + 1)
+    plain = joined.filter(F.coalesce("spans", F.lit(0)) == 0)
+    return plain.select("file", number.alias("record_no"), F.col("line").alias("raw"))
 
 
 def _spanning_records(lines: DataFrame, splits: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import os
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,12 +73,15 @@ class Store:
 
     def _files(self, table: str) -> DataFrame:
         schema = self._schema(table)
-        places = self.commits().filter(F.col("table_key") == table)
-        if places.isEmpty():
+        try:
+            return self.spark.read.schema(schema).parquet(self.path(table))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(table))
 
     def current(self, table: str) -> DataFrame:
+        """Rows of every committed batch at its current generation, with batch and generation."""
         places = self.commits().filter(F.col("table_key") == table).select("batch", "gen")
         return self._files(table).join(small_side(places), ["batch", "gen"], "left_semi")
 

@@ -18,6 +18,12 @@ def doomed(spark, sf):
     return keys.unionByName(keys.select(F.concat(F.lit("99"), "row_key", F.lit("0000000")).alias("row_key")))
 
 
+@query("SELECT * FROM customer WHERE c_custkey % 5 = 0")
+def point_lookups(spark, sf):
+    customers = table(spark, sf, "customer")
+    return changes.rows_of_keys(customers, changes.parse_keys(doomed(spark, sf), CUSTOMER, customers), CUSTOMER)
+
+
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 5 <> 0")
 def delete_keys_single(spark, sf):
     customers = table(spark, sf, "customer")

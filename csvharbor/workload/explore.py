@@ -34,6 +34,13 @@ def page_past_the_end(spark, sf):
     return views.page_rows(table(spark, sf, "customer"), views.ordering([], CUSTOMER), 1_000_000)
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 25 OFFSET (SELECT count(*) // 2 FROM orders)")
+def deep_page(spark, sf):
+    """A page in the middle of the table, by the way taken where the rows before it are too many for one task."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return views.slice_rows(orders, views.ordering([("o_totalprice", "desc")], ORDERS), orders.count() // 2, 25, deep=100)
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE (l_orderkey, l_linenumber) > (200, 3) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 25")
 def next_page_by_key(spark, sf):
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]

@@ -6,9 +6,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from csvharbor.operators import exports
+from csvharbor.operators import audit, exports
 from csvharbor.operators.filters import Filter
-from csvharbor.plans import ingest, preview
+from csvharbor.plans import ingest, preview, retention
 from csvharbor.session import scratch
 from csvharbor.sources import records
 from csvharbor.sources.store import Store
@@ -162,3 +162,22 @@ def audit_feed(spark, sf):
     )
     running.awaitTermination()
     return spark.read.parquet(target).withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
+
+
+@query("""
+    SELECT CASE WHEN ts < TIMESTAMP '2024-01-21' THEN 'archive' ELSE 'log' END AS part, event_type, count(*) AS n FROM events
+    WHERE ts >= TIMESTAMP '2024-01-06' GROUP BY 1, 2""")
+def retention_job(spark, sf):
+    """Stored log: archive after 60 days, then purge after six years counted from a date that cuts off the first days."""
+    store = Store(spark, scratch(spark, "store"), Registry())
+    events = table(spark, sf, "events")
+    late = F.col("event_id") % 2 == 0
+    for batch, part in (("even", events.filter(late)), ("odd", events.filter(~late))):
+        given = part.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("action"), F.col("ts").alias("created_at"))
+        store.write("audit_log", batch, audit.entries(given))
+        store.commit([("audit_log", batch, 0)])
+    retention.run(store, "keep", dt.datetime(2024, 3, 21), days=60, years=6)
+    retention.purge(store, dt.datetime(2030, 1, 6), years=6)
+    log = store.log("audit_log").select(F.lit("log").alias("part"), "action")
+    archive = store.log("audit_log_archive").select(F.lit("archive").alias("part"), "action")
+    return log.unionByName(archive).groupBy("part", F.col("action").alias("event_type")).agg(F.count("*").alias("n"))

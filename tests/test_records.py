@@ -82,3 +82,17 @@ def test_header_search(spark, tmp_path):
 def test_replacement_character(spark, tmp_path):
     rows, _ = read(spark, tmp_path, b"he\x80lo\n", replacement="?")
     assert rows[0][2] == ["he?lo"]
+
+
+def test_moved_splits_fail_loudly(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    lines = records.read_lines(spark, str(tmp_path)).withColumn("at", F.monotonically_increasing_id())
+    splits = records._split_summary(lines, F.lit(True)).withColumn("part", F.col("part") + 1)
+    with pytest.raises(Exception, match="changed between passes"):
+        records._plain_records(lines, splits).collect()
+
+
+def test_strict_quotes(spark):
+    rows = spark.createDataFrame([('a,"b ""x""",c',), ('a,5" b',), ('"a" b,c',), ("plain,x",)], "raw string")
+    found = [r.e is None for r in rows.select(records.strict_error(F.col("raw")).alias("e")).collect()]
+    assert found == [True, False, False, True]
