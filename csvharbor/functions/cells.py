@@ -38,10 +38,34 @@ def is_blank(c: Column) -> Column:
     return trim(c) == ""
 
 
+def _unwrap(c: Column) -> Column:
+    return F.when(c.startswith("="), F.regexp_replace(c, r'(?s)^=(?:"(.*)"\z)?', "$1")).otherwise(c)
+
+
+def _unquote(c: Column) -> Column:
+    return F.btrim(c, F.lit("\"'"))
+
+
+def _unprefix(c: Column) -> Column:
+    return F.when(c.startswith("netsuite:"), F.substring(c, 10, 2**31 - 1)).otherwise(c)
+
+
+# In this order: ``="x"`` or a leading ``=``, outer quotes, a ``netsuite:`` prefix; no second trim.
+_CLEANING = (trim, _unwrap, _unquote, _unprefix)
+
+
 def clean_cell(c: Column) -> Column:
-    """Undo spreadsheet wrappers: ``="x"``, a leading ``=``, outer quotes, a ``netsuite:`` prefix."""
-    unwrapped = F.regexp_replace(trim(c), r'(?s)^=(?:"(.*)"\z)?', "$1")
-    return F.regexp_replace(F.btrim(unwrapped, F.lit("\"'")), "^netsuite:", "")
+    """Undo spreadsheet wrappers."""
+    for step in _CLEANING:
+        c = step(c)
+    return c
+
+
+def clean_cells(cells: Column) -> Column:
+    """The same for an array of cells, step by step, so that no step's result is worked out twice."""
+    for step in _CLEANING:
+        cells = F.transform(cells, step)
+    return cells
 
 
 def to_text(c: Column) -> Column:

@@ -128,7 +128,8 @@ def update_cells(table: DataFrame, edits: DataFrame, spec: TableSpec, as_of_year
     ]
     changes = (
         joined.filter(F.col("_edits").isNotNull())
-        .select(F.lit(spec.key).alias("table_key"), key_text(spec).alias("row_key"), F.inline(F.array_compact(F.array(*touched))))
+        .select(F.lit(spec.key).alias("table_key"), key_text(spec).alias("row_key"), F.inline_outer(F.array_compact(F.array(*touched))))
+        .filter(F.col("column_name").isNotNull())
     )
     return EditOutcome(rows, changes, rejected)
 

@@ -74,7 +74,7 @@ def suggest_mapping(files: DataFrame, expected: Sequence[str]) -> DataFrame:
         F.struct(F.lit(name).alias("expected"), F.lit(i).alias("expected_no"), _best_position(name, F.col("headers")).alias("position"))
         for i, name in enumerate(expected)
     ]
-    return files.select("table_key", "file", F.inline(F.array(*suggested)))
+    return files.select("table_key", "file", F.inline_outer(F.array(*suggested)))
 
 
 def auto_mapping(files: DataFrame, expected: Sequence[str]) -> DataFrame:
@@ -88,7 +88,7 @@ def auto_mapping(files: DataFrame, expected: Sequence[str]) -> DataFrame:
         )
         for i, name in enumerate(expected)
     ]
-    return ranked.select("table_key", "file", F.inline(F.array(*chosen)))
+    return ranked.select("table_key", "file", F.inline_outer(F.array(*chosen)))
 
 
 def initial_mapping(files: DataFrame, templates: DataFrame, expected: Sequence[str]) -> DataFrame:
@@ -105,7 +105,7 @@ def initial_mapping(files: DataFrame, templates: DataFrame, expected: Sequence[s
         )
         for i, name in enumerate(expected)
     ]
-    from_template = chosen.select("table_key", "file", "template_id", F.inline(F.array(*rows)))
+    from_template = chosen.select("table_key", "file", "template_id", F.inline_outer(F.array(*rows)))
     return from_template.unionByName(automatic.withColumn("template_id", F.lit(None).cast("string")), allowMissingColumns=True)
 
 

@@ -39,12 +39,12 @@ def cell_error(value: Column, spec: FieldSpec, as_of_year: int, editing: bool =
     return F.when((value != "") & convert(value, spec, as_of_year).isNull(), message)
 
 
-def _type_mismatch(value: Column, spec: FieldSpec, as_of_year: int) -> Column:
+def _type_mismatch(value: Column, spec: FieldSpec, as_of_year: int, typed: Column | None) -> Column:
     if spec.type is FieldType.ENUM:
         return ~_in_enum(value, spec) if spec.enum_values else F.lit(True)
     if spec.type is FieldType.TEXT:
         return F.lit(False)
-    return convert(value, spec, as_of_year).isNull()
+    return (convert(value, spec, as_of_year) if typed is None else typed).isNull()
 
 
 def row_errors(cells: Cells, fields: Sequence[FieldSpec], as_of_year: int) -> Column:
@@ -68,14 +68,17 @@ def row_errors(cells: Cells, fields: Sequence[FieldSpec], as_of_year: int) -> Co
     return F.array_compact(F.array(*errors))
 
 
-def field_reason(cell: Column, spec: FieldSpec, as_of_year: int, strict: bool = False) -> Column:
-    """Why the cell rejects its row; types count for required fields, with ``strict`` for all."""
+def field_reason(cell: Column, spec: FieldSpec, as_of_year: int, strict: bool = False, typed: Column | None = None) -> Column:
+    """Why the cell rejects its row; types count for required fields, with ``strict`` for all.
+
+    ``typed`` is the converted value where it is at hand, so that the text is converted once.
+    """
     quoted = go_quoted(F.lit(spec.name))
     value = normalized(cell, spec)
     reason = F.lit(None).cast("string")
     if spec.required or strict:
         text = F.concat(F.lit(f"invalid {spec.type.value} for "), quoted, F.lit(": "), go_quoted(value))
-        reason = F.when((value != "") & _type_mismatch(value, spec, as_of_year), text)
+        reason = F.when((value != "") & _type_mismatch(value, spec, as_of_year, typed), text)
     if spec.required and not spec.allow_empty:
         reason = F.when(cell == "", F.concat(F.lit("empty required field "), quoted)).otherwise(reason)
     if spec.required:
@@ -83,12 +86,16 @@ def field_reason(cell: Column, spec: FieldSpec, as_of_year: int, strict: bool =
     return reason
 
 
-def first_reason(cells: Cells, fields: Sequence[FieldSpec], as_of_year: int, strict: bool = False) -> Column:
-    return F.coalesce(F.lit(None).cast("string"), *[field_reason(cells[f.name], f, as_of_year, strict) for f in fields])
+def _reasons(cells: Cells, fields: Sequence[FieldSpec], as_of_year: int, strict: bool, typed: Cells | None) -> list[Column]:
+    return [field_reason(cells[f.name], f, as_of_year, strict, typed[f.name] if typed else None) for f in fields]
+
+
+def first_reason(cells: Cells, fields: Sequence[FieldSpec], as_of_year: int, strict: bool = False, typed: Cells | None = None) -> Column:
+    return F.coalesce(F.lit(None).cast("string"), *_reasons(cells, fields, as_of_year, strict, typed))
 
 
-def all_reasons(cells: Cells, fields: Sequence[FieldSpec], as_of_year: int, strict: bool = False) -> Column:
-    return F.array_compact(F.array(*[field_reason(cells[f.name], f, as_of_year, strict) for f in fields]))
+def all_reasons(cells: Cells, fields: Sequence[FieldSpec], as_of_year: int, strict: bool = False, typed: Cells | None = None) -> Column:
+    return F.array_compact(F.array(*_reasons(cells, fields, as_of_year, strict, typed)))
 
 
 def width_reason(tokens: Column, expected: int) -> Column:
@@ -97,8 +104,8 @@ def width_reason(tokens: Column, expected: int) -> Column:
 
 
 def error_table(df: DataFrame, errors: str, *keys: str) -> DataFrame:
-    """One row per error."""
-    return df.select(*keys, F.explode(errors).alias("e")).select(*keys, "e.*")
+    """One row per error. The outer form keeps Spark from working the errors out a second time for a filter."""
+    return df.select(*keys, F.inline_outer(errors)).filter(F.col("field").isNotNull())
 
 
 def tally_by_code(rejected: DataFrame, reason: str = "reason") -> DataFrame:

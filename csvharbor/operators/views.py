@@ -137,7 +137,7 @@ def column_profile(df: DataFrame, spec: TableSpec) -> DataFrame:
         )
         for f in columns
     ]
-    return df.agg(F.array(*measures).alias("p")).select(F.inline("p"))
+    return df.agg(F.array(*measures).alias("p")).select(F.inline_outer("p"))
 
 
 @dataclass(frozen=True)

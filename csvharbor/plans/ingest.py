@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csvharbor.functions.cells import clean_cell, convert, normalized
+from csvharbor.functions.cells import clean_cells, convert, normalized
 from csvharbor.operators import audit, validate
 from csvharbor.operators.joins import lookup_join
 from csvharbor.session import cut
@@ -68,33 +68,39 @@ def incoming(
         "positions",
         (records.strict_error(F.col("raw")) if strict_quotes else F.lit(None).cast("string")).alias("parse_error"),
     )
-    rows = rows.withColumn("cells", F.transform("positions", lambda p: clean_cell(F.get("tokens", p)))).drop("positions")
+    rows = rows.withColumn("cells", clean_cells(F.transform("positions", lambda p: F.get("tokens", p)))).drop("positions")
     return Incoming(spec, rows, located, rejected)
 
 
 def typed_columns(cells: Mapping[str, Column], spec: TableSpec, as_of_year: int) -> list[Column]:
     """Cleaned cells to the table's stored columns; an absent cell reads as blank."""
-    return [
-        convert(F.coalesce(normalized(cells[f.name], f), F.lit("")), f, as_of_year).alias(f.column) for f in spec.fields
-    ]
+    return [convert(normalized(cells[f.name], f), f, as_of_year).alias(f.column) for f in spec.fields]
+
+
+def with_typed(rows: DataFrame, cells: Mapping[str, Column], spec: TableSpec, as_of_year: int) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with the struct ``row`` of typed values, and those values by field."""
+    rows = rows.withColumn("row", F.struct(*typed_columns(cells, spec, as_of_year)))
+    return rows, {f.name: F.col("row").getField(f.column) for f in spec.fields}
 
 
 def judged(data: Incoming, batch: str, as_of_year: int, strict: bool = False) -> DataFrame:
     """Every record with its outcome (accepted, failed, blank), the reason, and the typed columns."""
     spec, cells = data.spec, data.cells()
+    rows, typed = with_typed(data.rows, cells, spec, as_of_year)
     reason = F.coalesce(
         F.concat(F.lit("CSV parse error: "), F.col("parse_error")),
         validate.width_reason(F.col("tokens"), len(spec.fields)),
-        validate.first_reason(cells, spec.fields, as_of_year, strict),
+        validate.first_reason(cells, spec.fields, as_of_year, strict, typed),
     )
-    rows = data.rows.withColumn("reason", F.when(~records.blank_record(F.col("tokens")), reason))
-    outcome = F.when(records.blank_record(F.col("tokens")), "blank").when(F.col("reason").isNotNull(), "failed").otherwise("accepted")
+    rows = rows.withColumn("blank", records.blank_record(F.col("tokens")))
+    rows = rows.withColumn("reason", F.when(~F.col("blank"), reason))
+    outcome = F.when(F.col("blank"), "blank").when(F.col("reason").isNotNull(), "failed").otherwise("accepted")
     return rows.select(
         upload_id(batch, F.col("file")).alias("upload_id"),
         "line_number",
         "reason",
         F.when(F.col("reason").isNotNull(), F.col("tokens")).alias("row_data"),
-        *typed_columns(cells, spec, as_of_year),
+        "row.*",
         outcome.alias("outcome"),
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from csvharbor.functions.formats import preview_value, record_key, value_map
 from csvharbor.operators import validate
 from csvharbor.operators.joins import distinct_keys, duplicate_keys, duplicate_lines, existing_keys, lookup_join
-from csvharbor.plans.ingest import Incoming, typed_columns
+from csvharbor.plans.ingest import Incoming, with_typed
 from csvharbor.session import cut
 from csvharbor.sources.records import blank_record
 from csvharbor.specs import TableSpec
@@ -112,11 +112,11 @@ class Preview:
 def preview(data: Incoming, existing: DataFrame, as_of_year: int, strict: bool = False, compare: str = "typed") -> Preview:
     spec, cells = data.spec, data.cells()
     narrow = validate.width_reason(F.col("tokens"), len(spec.fields))
-    reasons = validate.all_reasons(cells, spec.fields, as_of_year, strict)
+    read, typed = with_typed(data.rows, cells, spec, as_of_year)
+    reasons = validate.all_reasons(cells, spec.fields, as_of_year, strict, typed)
     errors = F.when(narrow.isNotNull(), F.array(narrow)).otherwise(reasons)
     blank = blank_record(F.col("tokens"))
-    rows = data.rows.withColumn("errors", F.when(blank, F.array().cast("array<string>")).otherwise(errors))
-    typed = F.struct(*typed_columns(cells, spec, as_of_year))
+    rows = read.withColumn("errors", F.when(blank, F.array().cast("array<string>")).otherwise(errors))
     rows = rows.select(
         "file",
         "line_number",
@@ -124,7 +124,7 @@ def preview(data: Incoming, existing: DataFrame, as_of_year: int, strict: bool =
         blank.alias("blank"),
         F.when((F.size("errors") == 0) & ~blank, key_of(cells, spec)).alias("row_key"),
         value_map(cells).alias("values"),
-        typed.alias("row"),
+        "row",
     )
     # A row without a usable key keeps NULL key columns, so it can only be new or an error.
     keys = key_names(spec)

@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from csvharbor.functions.cells import clean_cell
+from csvharbor.functions.cells import clean_cells
 from csvharbor.specs import FieldSpec, TableSpec
 
 
 def header_names(header: Column) -> Column:
-    return F.transform(header, lambda h: F.lower(clean_cell(h)))
+    return F.transform(clean_cells(header), F.lower)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once per row, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def header_index(header: Column) -> Column:
     """Lower-case name to zero-based position; of equal names the last one counts."""
-    names = header_names(header)
-    last = F.transform(
-        F.array_distinct(names),
-        lambda n: F.struct(n.alias("key"), (F.size(names) - F.array_position(F.reverse(names), n)).cast("int").alias("value")),
-    )
-    return F.map_from_entries(last)
+
+    def index(names: Column) -> Column:
+        def entry(name: Column) -> Column:
+            last = F.size(names) - F.array_position(F.reverse(names), name)
+            return F.struct(name.alias("key"), last.cast("int").alias("value"))
+
+        return F.map_from_entries(F.transform(F.array_distinct(names), entry))
+
+    return _bound(header_names(header), index)
 
 
 def mapped_index(mapping: Column, header: Column) -> Column:
@@ -38,14 +46,19 @@ def mapping_literal(mapping: Mapping[str, int]) -> Column:
 
 def positions(index: Column, spec: TableSpec) -> Column:
     """Zero-based position per field of the table, NULL where the file lacks it."""
-    return F.array(*[F.try_element_at(index, F.lit(f.name.lower())) for f in spec.fields])
+    return _bound(index, lambda known: F.array(*[F.try_element_at(known, F.lit(f.name.lower())) for f in spec.fields]))
 
 
 def missing_columns(header: Column, fields: Sequence[FieldSpec]) -> Column:
     """Names of required columns that the header lacks, in table order."""
-    names = header_names(header)
-    gaps = [F.when(~F.array_contains(names, f.name.lower()), f.name) for f in fields if f.required]
-    return F.array_compact(F.array(*gaps)) if gaps else F.array().cast("array<string>")
+    required = [F.struct(F.lit(f.name).alias("name"), F.lit(f.name.lower()).alias("low")) for f in fields if f.required]
+    if not required:
+        return F.array().cast("array<string>")
+
+    def lacking(names: Column) -> Column:
+        return F.filter(F.array(*required), lambda r: ~F.array_contains(names, r["low"]))
+
+    return F.transform(_bound(header_names(header), lacking), lambda r: r["name"])
 
 
 def missing_columns_error(header: Column, fields: Sequence[FieldSpec]) -> Column:

@@ -30,7 +30,7 @@ _INSIDE = r'(?:[^"]++|""|"(?![",]|\z))*+'
 _CELL = rf'(?:"{_INSIDE}"|[^",][^,]*+|)'
 _CLOSED_FROM_OUTSIDE = rf"\A{_CELL}(?:,{_CELL})*+\z"
 _CLOSED_FROM_INSIDE = rf'\A{_INSIDE}"(?:,{_CELL})*+\z'
-_TOKEN = rf',("{_INSIDE}(?:"|\z)|[^",][^,]*+|)'
+_TOKEN = rf',({_CELL})'
 _STRICT_CELL = r'(?:"(?:[^"]++|"")*+"|[^",]*+)'
 _STRICT_RECORD = rf"\A{_STRICT_CELL}(?:,{_STRICT_CELL})*+\z"
 
@@ -39,13 +39,18 @@ def tokenize(raw: Column) -> Column:
     """Record text to its cells, as many as there are."""
 
     def unquote(token: Column) -> Column:
-        inside = F.regexp_extract(token, rf'\A"({_INSIDE})', 1)
+        inside = F.substr(token, F.lit(2), F.length(token) - 2)
         return F.when(token.startswith('"'), F.replace(inside, F.lit('""'), F.lit('"'))).otherwise(token)
 
     quoted = F.transform(F.regexp_extract_all(F.concat(F.lit(","), raw), F.lit(_TOKEN), F.lit(1)), unquote)
     return F.when(raw.contains('"'), quoted).otherwise(F.split(raw, ",", -1))
 
 
+def _closed(raw: Column) -> Column:
+    """A quoted cell that the end of the file cuts off ends there."""
+    return F.when(raw.rlike(_CLOSED_FROM_OUTSIDE), raw).otherwise(F.concat(raw, F.lit('"')))
+
+
 def strict_error(raw: Column) -> Column:
     """What a reader without leniency for stray quotes would refuse."""
     return F.when(raw.contains('"') & ~raw.rlike(_STRICT_RECORD), 'bare or extraneous " in field')
@@ -57,11 +62,10 @@ def blank_record(tokens: Column) -> Column:
 
 def header_matches(tokens: Column, columns: Sequence[str]) -> Column:
     """Leading cells equal the expected columns, in order, in any case."""
-    expected = [F.lower(cells.clean_cell(F.lit(c))) for c in columns]
-    if not expected:
+    if not columns:
         return F.lit(True)
-    found = F.transform(F.slice(tokens, 1, len(columns)), lambda t: F.lower(cells.clean_cell(t)))
-    return (F.size(tokens) >= len(columns)) & (found == F.array(*expected))
+    expected, found = (F.transform(cells.clean_cells(c), F.lower) for c in (F.array(*[F.lit(c) for c in columns]), F.slice(tokens, 1, len(columns))))
+    return (F.size(tokens) >= len(columns)) & (found == expected)
 
 
 @dataclass(frozen=True)
@@ -75,13 +79,12 @@ class Scan:
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], replacement: str = "\ufffd", **options: str) -> DataFrame:
     text = spark.read.options(lineSep="\n", **options).text(paths)
-    # Repair first: a regular expression would already decode the bytes.
-    line = F.regexp_replace(cells.repair_utf8(F.col("value"), replacement), r"\r\z", "")
+    value = F.when(F.col("value").endswith("\r"), F.substr("value", F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))
     return text.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.spark_partition_id().alias("part"),
-        line.alias("line"),
+        cells.repair_utf8(value, replacement).alias("line"),
     )
 
 
@@ -175,7 +178,8 @@ def _spanning_records(lines: DataFrame, splits: DataFrame) -> DataFrame:
     )
     kept = numbered.filter((F.col("open") == 1) | (F.col("line") != ""))
     lines_of = F.sort_array(F.collect_list(F.struct("block", "at", "line")))
-    return kept.groupBy("file", "record_no").agg(F.array_join(F.transform(lines_of, lambda x: x["line"]), "\n").alias("raw"))
+    joined = F.array_join(F.transform(lines_of, lambda x: x["line"]), "\n")
+    return kept.groupBy("file", "record_no").agg(joined.alias("raw")).withColumn("raw", _closed(F.col("raw")))
 
 
 def scan(
