@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from csvharbor.functions.cells import trim
@@ -35,11 +35,29 @@ def overlap(template_headers: Column, headers: Column) -> Column:
     return F.when(total > 0, matched / total).otherwise(F.lit(0.0))
 
 
+def _probes(templates: DataFrame, spread: DataFrame, threshold: float) -> DataFrame:
+    """The rarest headers of each template, as many as any file that fits must share one of.
+
+    A file without any of them has less than the threshold of the template, so it need not be scored.
+    """
+    words = templates.select("table_key", "template_id", F.size("csv_headers").alias("total"), F.explode(_simplified(F.col("csv_headers"))).alias("header"))
+    words = words.groupBy("table_key", "template_id", "total", "header").agg(F.count("*").alias("times"))
+    seen = spread.groupBy("table_key", "header").agg(F.count("*").alias("files"))
+    words = words.join(seen, ["table_key", "header"], "left")
+    rarer = Window.partitionBy("table_key", "template_id").orderBy(F.coalesce("files", F.lit(0)), "header").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("times").over(rarer), F.lit(0))
+    needed = words.withColumn("before", before).filter(F.col("before") <= F.col("total") * (1 - threshold) + 1e-9)
+    return needed.filter(F.col("files").isNotNull()).select("table_key", "header", "template_id")
+
+
 def match_templates(files: DataFrame, templates: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """Templates of the file's table that fit, scored. Files with equal headers are scored once."""
     files = files.withColumn("signature", F.array_sort(F.array_distinct(_simplified(F.col("headers")))))
-    shapes = files.select("table_key", "signature").distinct()
-    scored = shapes.join(small_side(templates.select("table_key", "template_id", "csv_headers")), "table_key")
+    shapes = cut(files.select("table_key", "signature").distinct())
+    spread = shapes.select("table_key", "signature", F.explode("signature").alias("header"))
+    probes = cut(_probes(templates, spread, threshold))
+    pairs = spread.join(small_side(probes), ["table_key", "header"]).select("table_key", "signature", "template_id").distinct()
+    scored = pairs.join(small_side(templates.select("table_key", "template_id", "csv_headers")), ["table_key", "template_id"])
     scored = scored.withColumn("score", overlap(F.col("csv_headers"), F.col("signature"))).filter(F.col("score") >= threshold)
     fits = cut(scored.groupBy("table_key", "signature").agg(F.collect_list(F.struct("template_id", "score")).alias("fits")))
     matched = lookup_join(files, fits, ["table_key", "signature"])

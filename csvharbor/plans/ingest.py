@@ -19,7 +19,7 @@ from csvharbor.sources.headers import header_positions
 from csvharbor.sources.store import Store
 from csvharbor.specs import TableSpec
 
-MAX_FILES_BROADCAST = 1_000_000
+MAX_FILES_BROADCAST = 500_000
 
 
 def upload_id(batch: str, file: Column) -> Column:

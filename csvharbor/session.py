@@ -30,10 +30,12 @@ def build_session(app: str = "csvharbor", master: str | None = None, **conf: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``; a private one only for a local session without it."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="csvharbor-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)

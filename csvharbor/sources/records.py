@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -196,8 +198,9 @@ def scan(
     is_header: Callable[[Column], Column] = lambda raw: F.lit(True)
     if columns is not None:
         is_header = lambda raw: header_matches(tokenize(raw), columns)
-        hint = cells.clean_cell(F.lit(columns[0])) if columns else F.lit("")
-        candidate = F.lower(line).contains(F.lower(hint)) & is_header(line)
+        # A header line holds every name; few data lines do, so few lines are tokenized here.
+        names = [F.lower(line).contains(F.lower(cells.clean_cell(F.lit(c)))) for c in columns if '"' not in c]
+        candidate = reduce(and_, [*names, is_header(line)])
     else:
         candidate = F.lit(True)
     splits = cut(_split_summary(numbered, candidate))

@@ -239,3 +239,10 @@ def test_stream(spark, store, files, tmp_path):
     files("d.csv", HEADER, "4,D,2024-01-15,1,yes,NY")
     run()
     assert sorted(r.id for r in store.rows("people").collect()) == ["1", "2", "4"]
+
+
+def test_unseen_keys(spark):
+    incoming = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 3, "z"), (None, 4, "n"), (None, 5, "n")], "k string, line int, v string")
+    table = spark.createDataFrame([("b",)], "k string")
+    rows = sorted((r.k or "", r.line, r.v) for r in drop.unseen(incoming, table, ["k"], ["line"]).collect())
+    assert rows == [("", 4, "n"), ("", 5, "n"), ("a", 1, "y")]
