@@ -197,7 +197,7 @@ def ip_host(spark, sf):
 
 
 @query("""
-    SELECT doc_id, md5(field) AS field_md5, length(field) AS field_length FROM
+    SELECT doc_id, md5(field) AS field_md5, CAST(length(field) AS INTEGER) AS field_length FROM
       (SELECT doc_id, CASE WHEN regexp_matches(text, '[,"\\r\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS field FROM documents)""")
 def csv_field(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", formats.csv_field(F.col("text")).alias("field"))
@@ -263,7 +263,7 @@ def error_texts(spark, sf):
     return reasons(spark, sf).select("event_id", messages.error_text(r).alias("shown"), messages.is_known_error(r).alias("known"))
 
 
-@query("SELECT p_partkey, levenshtein(p_name, lower(p_type)) AS distance FROM part")
+@query("SELECT p_partkey, CAST(levenshtein(p_name, lower(p_type)) AS INTEGER) AS distance FROM part")
 def edit_distance(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.levenshtein("p_name", F.lower("p_type")).alias("distance"))
 

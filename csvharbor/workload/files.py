@@ -28,7 +28,7 @@ def write_documents(spark, sf) -> str:
     return path
 
 
-@query("SELECT doc_id, lang, source, md5(text) AS text_md5, length(text) AS text_length FROM documents")
+@query("SELECT doc_id, lang, source, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS text_length FROM documents")
 def csv_roundtrip(spark, sf):
     """Whole texts, line breaks, quotes and commas included, written as CSV and scanned back."""
     found = records.scan(spark, write_documents(spark, sf), DOCUMENT, pathGlobFilter="*.csv")

@@ -62,7 +62,7 @@ def latest_per_group(spark, sf):
 
 
 @query("""
-    SELECT event_type, event_id, ts, rn AS rank FROM
+    SELECT event_type, event_id, ts, CAST(rn AS INTEGER) AS rank FROM
       (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5""")
 def last_five_per_group(spark, sf):
     events = table(spark, sf, "events").select("event_type", "event_id", "ts")
@@ -70,7 +70,7 @@ def last_five_per_group(spark, sf):
 
 
 @query(f"""
-    SELECT name, id, status, rows_inserted, rn AS rank FROM
+    SELECT name, id, status, rows_inserted, CAST(rn AS INTEGER) AS rank FROM
       (SELECT *, row_number() OVER (PARTITION BY name ORDER BY uploaded_at DESC, id DESC) AS rn FROM ({UPLOADS_SQL})) WHERE rn <= 5""")
 def upload_history(spark, sf):
     return history.upload_history(uploads(spark, sf)).select("name", "id", "status", "rows_inserted", "rank")
