@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from csvharbor.operators.joins import small_side
+from csvharbor.operators.joins import lookup_join
 from csvharbor.operators.views import slice_rows
 
 HISTORY_LENGTH = 5
@@ -89,4 +89,4 @@ def failed_page(failed: DataFrame, upload_id: str, page: int, size: int = UPLOAD
 def with_upload(rows: DataFrame, uploads: DataFrame) -> DataFrame:
     """Rows beside the load they came from."""
     about = uploads.select(F.col("id").alias("upload_id"), "file_name", "status", "uploaded_at")
-    return rows.join(small_side(about), "upload_id")
+    return lookup_join(rows, about, ["upload_id"])

@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from csvharbor.session import cut
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 512 * 1024 * 1024
 HOT_KEYS = 100_000
 HOT_ROWS = 5_000_000
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """At most ``rows`` rows; stops counting beyond them."""
-    return df.limit(rows + 1).count() <= rows
+def _bytes(field: T.StructField) -> Column:
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 32
+    return F.lit(16)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """At most ``rows`` rows and ``size`` bytes. Counted, not estimated: partial sums meet, rows do not move."""
+    width = reduce(add, [_bytes(f) for f in df.schema.fields])
+    found = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("bytes")).first()
+    return found.rows <= rows and found.bytes <= size
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

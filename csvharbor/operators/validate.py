@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from csvharbor.functions import messages
 from csvharbor.functions.cells import convert, normalized
 from csvharbor.functions.formats import go_quoted
+from csvharbor.operators.joins import existing_keys, lookup_join
+from csvharbor.session import cut
 from csvharbor.specs import FieldSpec, FieldType
 
 Cells = Mapping[str, Column]
@@ -132,4 +134,4 @@ UPLOAD_DOMAINS = {"status": messages.UPLOAD_STATUSES}
 
 def not_yet_present(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """New rows whose key is not taken: the uniqueness rule of an append."""
-    return new.join(existing.select(*keys).distinct(), list(keys), "left_anti")
+    return lookup_join(new, cut(existing_keys(new, existing, keys)), keys, "left_anti").select(new.columns)

@@ -76,7 +76,9 @@ def slice_rows(df: DataFrame, order: Sequence[Column], offset: int, size: int, d
     # Rows that are equal in all sort columns may lie in any order; the number lets them spread over files.
     df.withColumn("_n", F.monotonically_increasing_id()).orderBy(*order, "_n").write.parquet(path)
     written = df.sparkSession.read.parquet(path)
-    files = written.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n")).orderBy("f").collect()
+    counts = written.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"))
+    in_order = F.regexp_extract("f", r"part-(\d+)[^/]*$", 1).cast("int")
+    files = counts.orderBy(in_order, "f").collect()
     before, wanted, skipped = 0, [], 0
     for file in files:
         if before + file.n <= offset:

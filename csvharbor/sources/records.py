@@ -176,12 +176,16 @@ def _spanning_records(lines: DataFrame, splits: DataFrame) -> DataFrame:
     starts = starts.withColumn("first", F.coalesce(F.sum(by_start("n")).over(earlier), F.lit(0)))
     starts = starts.select(*SPLIT, "start", "first")
     numbered = marked.join(small_side(starts, MAX_BROADCAST_SPLITS), SPLIT).select(
-        "file", "block", "at", "line", (F.col("first") + by_start("begun")).alias("record_no"), by_start("before").alias("open")
-    )
-    kept = numbered.filter((F.col("open") == 1) | (F.col("line") != ""))
+        "file", "block", "at", "line", (F.col("first") + by_start("begun")).alias("record_no"),
+        by_start("before").alias("open"), F.when(by_start("before") == 0, F.col("out")).otherwise(F.col("ins")).alias("left_open"),
+    )
+    whole = (F.col("open") == 0) & (F.col("left_open") == 0)
+    single = numbered.filter(whole & (F.col("line") != "")).select("file", "record_no", F.col("line").alias("raw"))
+    # Only lines of records that span lines move; a record is as long as its row of the file.
     lines_of = F.sort_array(F.collect_list(F.struct("block", "at", "line")))
     joined = F.array_join(F.transform(lines_of, lambda x: x["line"]), "\n")
-    return kept.groupBy("file", "record_no").agg(joined.alias("raw")).withColumn("raw", _closed(F.col("raw")))
+    several = numbered.filter(~whole).groupBy("file", "record_no").agg(joined.alias("raw"))
+    return single.unionByName(several.withColumn("raw", _closed(F.col("raw"))))
 
 
 def scan(

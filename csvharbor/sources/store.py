@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from csvharbor.operators.audit import ARCHIVE_SCHEMA, AUDIT_SCHEMA
 from csvharbor.operators.history import UPLOAD_SCHEMA, current_uploads
-from csvharbor.operators.joins import small_side
+from csvharbor.operators.joins import lookup_join, small_side
 from csvharbor.session import cut
 from csvharbor.specs import Registry
 
@@ -96,7 +96,7 @@ class Store:
         columns = self.registry.get(table).schema().names
         accepted = self.current(table).filter("outcome = 'accepted'")
         undone = self.uploads().filter("status = 'rolled_back'").select(F.col("id").alias("upload_id"))
-        active = accepted.join(small_side(undone), "upload_id", "left_anti")
+        active = lookup_join(accepted, undone, ["upload_id"], "left_anti")
         return active.select(*[F.col(f"`{c}`") for c in columns], "upload_id", "batch", "gen")
 
     def rows(self, table: str) -> DataFrame:
