@@ -96,3 +96,55 @@ def test_strict_quotes(spark):
     rows = spark.createDataFrame([('a,"b ""x""",c',), ('a,5" b',), ('"a" b,c',), ("plain,x",)], "raw string")
     found = [r.e is None for r in rows.select(records.strict_error(F.col("raw")).alias("e")).collect()]
     assert found == [True, False, False, True]
+
+
+def lenient(text):
+    """Character by character: what the records of a text are."""
+    lines = text.split("\n")
+    if lines[-1] == "":
+        lines.pop()
+    text = "\n".join(line[:-1] if line.endswith("\r") else line for line in lines)
+    found, at = [], 0
+    while at < len(text):
+        if text[at] == "\n":
+            at += 1
+            continue
+        record = []
+        while True:
+            cell = ""
+            if at < len(text) and text[at] == '"':
+                at += 1
+                while at < len(text):
+                    following = text[at + 1] if at + 1 < len(text) else "\n"
+                    if text[at] == '"' and following == '"':
+                        cell, at = cell + '"', at + 2
+                    elif text[at] == '"' and following in ",\n":
+                        at += 1
+                        break
+                    else:
+                        cell, at = cell + text[at], at + 1
+            else:
+                while at < len(text) and text[at] not in ",\n":
+                    cell, at = cell + text[at], at + 1
+            record.append(cell)
+            if at >= len(text) or text[at] == "\n":
+                at += 1
+                break
+            at += 1
+        found.append(record)
+    return found
+
+
+@pytest.mark.parametrize("split", [1_000_000, 7])
+def test_random_texts(spark, tmp_path, split):
+    import random
+
+    rng = random.Random(11)
+    texts = {f"{i:03d}.csv": "".join(rng.choices('ab,"\n\r', weights=[4, 2, 3, 4, 2, 1], k=rng.randint(1, 60))) for i in range(120)}
+    rows, _ = read(spark, tmp_path, texts, split=split)
+    got = {}
+    for name, number, cells in rows:
+        assert number == len(got.setdefault(name, [])) + 1
+        got[name].append(cells)
+    wrong = [(texts[n], got.get(n, []), lenient(texts[n])) for n in texts if got.get(n, []) != lenient(texts[n])]
+    assert not wrong, (len(wrong), wrong[:3])
