@@ -68,16 +68,30 @@ def clean_cells(cells: Column) -> Column:
     return cells
 
 
+def may_need_cleaning(raw: Column) -> Column:
+    """False for record text in which no cell can have a wrapper; trimming its cells is enough."""
+    return raw.contains('"') | raw.contains("'") | raw.contains("=") | raw.contains("netsuite:")
+
+
 def to_text(c: Column) -> Column:
     return F.nullif(trim(c), F.lit(""))
 
 
+def _plain_number(t: Column) -> Column:
+    """ASCII text that starts like a number and has neither commas nor an exponent: a cast alone reads it."""
+    starts = F.ascii(t).between(ord("+"), ord("9"))
+    odd = t.contains(",") | t.contains("e") | t.contains("E")
+    return starts & ~odd & (F.octet_length(t) == F.length(t))
+
+
 def to_numeric(c: Column) -> Column:
     """Currency signs and thousands commas dropped, ``(x)`` negative, exponents refused."""
-    marked = F.regexp_replace(trim(c), r"(?s)^\((.*)\)\z", "\x01$1")
+    t = trim(c)
+    marked = F.regexp_replace(t, r"(?s)^\((.*)\)\z", "\x01$1")
     plain = F.translate(marked, "$\u20ac\u00a3,", "")
     signed = trim(F.regexp_replace(plain, r"(?U)^\x01\s*", "-"))
-    return F.regexp_extract(signed, r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)\z", 0).try_cast(NUMERIC_TYPE)
+    cleaned = F.regexp_extract(signed, r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)\z", 0).try_cast(NUMERIC_TYPE)
+    return F.when(_plain_number(t), t.try_cast(NUMERIC_TYPE)).otherwise(cleaned)
 
 
 def _iso(c: Column, *rewrites: tuple[str, str]) -> Column:
@@ -89,6 +103,7 @@ def _iso(c: Column, *rewrites: tuple[str, str]) -> Column:
 def to_date(c: Column, as_of_year: int) -> Column:
     """Month-first and ISO shapes with four-digit years, then two-digit years around a moving pivot."""
     t = trim(c)
+    is_iso = (F.length(t) == 10) & (F.substring(t, 5, 1) == "-") & (F.substring(t, 8, 1) == "-")
     numeric = _iso(
         t,
         (r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})\z", "$4-$1-$3"),
@@ -99,7 +114,8 @@ def to_date(c: Column, as_of_year: int) -> Column:
     short = _iso(t, (r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{2})\z", "20$4-$1-$3"))
     latest = min(as_of_year + TWO_DIGIT_YEAR_WINDOW, 2068)
     pivoted = F.when(F.year(short) > latest, F.add_months(short, -1200)).otherwise(short)
-    return F.coalesce(F.when(t.rlike("[A-Za-z]{3}"), named).otherwise(numeric), pivoted)
+    other = F.coalesce(F.when(t.rlike("[A-Za-z]{3}"), named).otherwise(numeric), pivoted)
+    return F.when(is_iso, t.try_cast("date")).otherwise(other)
 
 
 def to_bool(c: Column) -> Column:

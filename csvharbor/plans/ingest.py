@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csvharbor.functions.cells import clean_cells, convert, normalized
+from csvharbor.functions.cells import clean_cells, convert, may_need_cleaning, normalized, trim
 from csvharbor.operators import audit, validate
 from csvharbor.operators.joins import lookup_join
 from csvharbor.session import cut
@@ -66,9 +66,12 @@ def incoming(
         F.col("record_no").alias("line_number"),
         records.tokenize(F.col("raw")).alias("tokens"),
         "positions",
+        may_need_cleaning(F.col("raw")).alias("wrapped"),
         (records.strict_error(F.col("raw")) if strict_quotes else F.lit(None).cast("string")).alias("parse_error"),
     )
-    rows = rows.withColumn("cells", clean_cells(F.transform("positions", lambda p: F.get("tokens", p)))).drop("positions")
+    rows = rows.withColumn("picked", F.transform("positions", lambda p: F.get("tokens", p)))
+    cleaned = F.when(F.col("wrapped"), clean_cells(F.col("picked"))).otherwise(F.transform("picked", trim))
+    rows = rows.withColumn("cells", cleaned).drop("positions", "picked", "wrapped")
     return Incoming(spec, rows, located, rejected)
 
 

@@ -98,3 +98,12 @@ def test_repair_utf8(spark):
     rows = df.select("n", cells.repair_utf8(text).alias("r"), cells.repair_utf8(text, "?").alias("q")).orderBy("n").collect()
     assert [r.r for r in rows] == [e for _, e in cases]
     assert [r.q for r in rows] == [e.replace("�", "?") for _, e in cases]
+
+
+def test_fast_ways_agree_with_slow_ones(spark):
+    odd = ["1٢", "+", "-", ".", "+.5", "-.5", "5.", "1.2.3", "/5", "1 2", "1d", "0x1", "1e5", "9E9", "12345678901234567890", "1" * 30, "+-1"]
+    expected = [None, None, None, None, Decimal("0.5"), Decimal("-0.5"), Decimal(5), None, None, None, None, None, None, None, None, None, None]
+    got = results(spark, odd, cells.to_numeric)
+    assert got == expected
+    days = ["2024-1--15", "202a-01-15", "+024-01-15", "2024-01-1 ", "2024-02-30", "0024-01-15", "1-15-24-99", "2024- 1-15"]
+    assert results(spark, days, lambda c: cells.to_date(c, AS_OF)) == [None, None, None, None, None, dt.date(24, 1, 15), None, None]
