@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once per row, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_blank(c: Column) -> Column:
     return trim(c) == ""
 
@@ -69,12 +76,25 @@ def clean_cells(cells: Column) -> Column:
 
 
 def may_need_cleaning(raw: Column) -> Column:
-    """False for record text in which no cell can have a wrapper; trimming its cells is enough."""
-    return raw.contains('"') | raw.contains("'") | raw.contains("=") | raw.contains("netsuite:")
+    """False for ASCII record text in which no cell can have a wrapper or white space other than blanks."""
+    odd = F.octet_length(raw) != F.length(raw)
+    for mark in ('"', "'", "=", "netsuite:", *WHITE_SPACE[:5]):
+        odd = odd | raw.contains(mark)
+    return odd
+
+
+def clean_record(raw: Column, cells: Column) -> Column:
+    """Cleaned cells of a record; most records need no more than blanks removed, which costs next to nothing."""
+    return F.when(may_need_cleaning(raw), clean_cells(cells)).otherwise(F.transform(cells, lambda c: F.btrim(c)))
 
 
-def to_text(c: Column) -> Column:
-    return F.nullif(trim(c), F.lit(""))
+def trim_record(raw: Column, cleaned: Column) -> Column:
+    """Cleaned cells without outer white space, which only cells in quotes still have."""
+    return F.when(may_need_cleaning(raw), F.transform(cleaned, trim)).otherwise(cleaned)
+
+
+def to_text(c: Column, trimmed: bool = False) -> Column:
+    return F.nullif(c if trimmed else trim(c), F.lit(""))
 
 
 def _plain_number(t: Column) -> Column:
@@ -84,9 +104,9 @@ def _plain_number(t: Column) -> Column:
     return starts & ~odd & (F.octet_length(t) == F.length(t))
 
 
-def to_numeric(c: Column) -> Column:
+def to_numeric(c: Column, trimmed: bool = False) -> Column:
     """Currency signs and thousands commas dropped, ``(x)`` negative, exponents refused."""
-    t = trim(c)
+    t = c if trimmed else trim(c)
     marked = F.regexp_replace(t, r"(?s)^\((.*)\)\z", "\x01$1")
     plain = F.translate(marked, "$\u20ac\u00a3,", "")
     signed = trim(F.regexp_replace(plain, r"(?U)^\x01\s*", "-"))
@@ -100,9 +120,9 @@ def _iso(c: Column, *rewrites: tuple[str, str]) -> Column:
     return F.regexp_extract(c, "^@(.+)$", 1).try_cast("date")
 
 
-def to_date(c: Column, as_of_year: int) -> Column:
+def to_date(c: Column, as_of_year: int, trimmed: bool = False) -> Column:
     """Month-first and ISO shapes with four-digit years, then two-digit years around a moving pivot."""
-    t = trim(c)
+    t = c if trimmed else trim(c)
     is_iso = (F.length(t) == 10) & (F.substring(t, 5, 1) == "-") & (F.substring(t, 8, 1) == "-")
     numeric = _iso(
         t,
@@ -118,8 +138,8 @@ def to_date(c: Column, as_of_year: int) -> Column:
     return F.when(is_iso, t.try_cast("date")).otherwise(other)
 
 
-def to_bool(c: Column) -> Column:
-    word = F.lower(trim(c))
+def to_bool(c: Column, trimmed: bool = False) -> Column:
+    word = F.lower(c if trimmed else trim(c))
     return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 
@@ -155,15 +175,15 @@ def normalize_us_state(c: Column) -> Column:
     )
 
 
-def convert(c: Column, spec: FieldSpec, as_of_year: int) -> Column:
+def convert(c: Column, spec: FieldSpec, as_of_year: int, trimmed: bool = False) -> Column:
     """Cleaned text to the field's stored type; text that does not convert becomes NULL."""
     if spec.type is FieldType.DATE:
-        return to_date(c, as_of_year)
+        return to_date(c, as_of_year, trimmed)
     if spec.type is FieldType.NUMERIC:
-        return to_numeric(c)
+        return to_numeric(c, trimmed)
     if spec.type is FieldType.BOOL:
-        return to_bool(c)
-    return F.coalesce(c, F.lit("")) if spec.not_null else to_text(c)
+        return to_bool(c, trimmed)
+    return F.coalesce(c, F.lit("")) if spec.not_null else to_text(c, trimmed)
 
 
 def normalized(c: Column, spec: FieldSpec) -> Column:

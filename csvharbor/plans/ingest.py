@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csvharbor.functions.cells import clean_cells, convert, may_need_cleaning, normalized, trim
+from csvharbor.functions.cells import bound, clean_record, convert, normalized, trim_record
 from csvharbor.operators import audit, validate
 from csvharbor.operators.joins import lookup_join
 from csvharbor.session import cut
@@ -30,7 +30,7 @@ def upload_id(batch: str, file: Column) -> Column:
 
 @dataclass(frozen=True)
 class Incoming:
-    """``rows``: file, line_number, tokens, cells, parse_error. ``headers``: one row per usable file.
+    """``rows``: file, line_number, tokens, cells, texts, parse_error. ``headers``: one row per usable file.
 
     ``rejected``: file and error for files without a usable header.
     """
@@ -44,6 +44,10 @@ class Incoming:
         """Cleaned cell per field: NULL where the file or record has none."""
         return {f.name: F.get("cells", F.lit(i)) for i, f in enumerate(self.spec.fields)}
 
+    def texts(self) -> dict[str, Column]:
+        """The same without outer white space, ready for conversion."""
+        return {f.name: F.get("texts", F.lit(i)) for i, f in enumerate(self.spec.fields)}
+
 
 def incoming(
     spark: SparkSession,
@@ -61,35 +65,36 @@ def incoming(
     rejected = rejected.select("file", F.lit(f"header not found (expected: {wanted})").alias("error"))
     data = lookup_join(found.records, located.select("file", "header_no", "positions"), ["file"], rows=MAX_FILES_BROADCAST)
     data = data.filter(F.col("record_no") > F.col("header_no"))
+    raw = F.col("raw")
     rows = data.select(
         "file",
         F.col("record_no").alias("line_number"),
-        records.tokenize(F.col("raw")).alias("tokens"),
+        records.tokenize(raw).alias("tokens"),
+        "raw",
         "positions",
-        may_need_cleaning(F.col("raw")).alias("wrapped"),
-        (records.strict_error(F.col("raw")) if strict_quotes else F.lit(None).cast("string")).alias("parse_error"),
+        (records.strict_error(raw) if strict_quotes else F.lit(None).cast("string")).alias("parse_error"),
     )
-    rows = rows.withColumn("picked", F.transform("positions", lambda p: F.get("tokens", p)))
-    cleaned = F.when(F.col("wrapped"), clean_cells(F.col("picked"))).otherwise(F.transform("picked", trim))
-    rows = rows.withColumn("cells", cleaned).drop("positions", "picked", "wrapped")
+    picked = bound(F.col("tokens"), lambda tokens: F.transform("positions", lambda p: F.get(tokens, p)))
+    rows = rows.withColumn("cells", clean_record(raw, picked)).withColumn("texts", trim_record(raw, F.col("cells")))
+    rows = rows.drop("raw", "positions")
     return Incoming(spec, rows, located, rejected)
 
 
-def typed_columns(cells: Mapping[str, Column], spec: TableSpec, as_of_year: int) -> list[Column]:
+def typed_columns(cells: Mapping[str, Column], spec: TableSpec, as_of_year: int, trimmed: bool = False) -> list[Column]:
     """Cleaned cells to the table's stored columns; an absent cell reads as blank."""
-    return [convert(normalized(cells[f.name], f), f, as_of_year).alias(f.column) for f in spec.fields]
+    return [convert(normalized(cells[f.name], f), f, as_of_year, trimmed).alias(f.column) for f in spec.fields]
 
 
-def with_typed(rows: DataFrame, cells: Mapping[str, Column], spec: TableSpec, as_of_year: int) -> tuple[DataFrame, dict[str, Column]]:
+def with_typed(data: Incoming, as_of_year: int) -> tuple[DataFrame, dict[str, Column]]:
     """Rows with the struct ``row`` of typed values, and those values by field."""
-    rows = rows.withColumn("row", F.struct(*typed_columns(cells, spec, as_of_year)))
-    return rows, {f.name: F.col("row").getField(f.column) for f in spec.fields}
+    rows = data.rows.withColumn("row", F.struct(*typed_columns(data.texts(), data.spec, as_of_year, trimmed=True)))
+    return rows, {f.name: F.col("row").getField(f.column) for f in data.spec.fields}
 
 
 def judged(data: Incoming, batch: str, as_of_year: int, strict: bool = False) -> DataFrame:
     """Every record with its outcome (accepted, failed, blank), the reason, and the typed columns."""
     spec, cells = data.spec, data.cells()
-    rows, typed = with_typed(data.rows, cells, spec, as_of_year)
+    rows, typed = with_typed(data, as_of_year)
     reason = F.coalesce(
         F.concat(F.lit("CSV parse error: "), F.col("parse_error")),
         validate.width_reason(F.col("tokens"), len(spec.fields)),

@@ -112,7 +112,7 @@ class Preview:
 def preview(data: Incoming, existing: DataFrame, as_of_year: int, strict: bool = False, compare: str = "typed") -> Preview:
     spec, cells = data.spec, data.cells()
     narrow = validate.width_reason(F.col("tokens"), len(spec.fields))
-    read, typed = with_typed(data.rows, cells, spec, as_of_year)
+    read, typed = with_typed(data, as_of_year)
     reasons = validate.all_reasons(cells, spec.fields, as_of_year, strict, typed)
     errors = F.when(narrow.isNotNull(), F.array(narrow)).otherwise(reasons)
     blank = blank_record(F.col("tokens"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from csvharbor.functions.cells import clean_cells
+from csvharbor.functions.cells import bound, clean_cells
 from csvharbor.specs import FieldSpec, TableSpec
 
 
@@ -15,11 +15,6 @@ def header_names(header: Column) -> Column:
     return F.transform(clean_cells(header), F.lower)
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once per row, however often ``use`` mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def header_index(header: Column) -> Column:
     """Lower-case name to zero-based position; of equal names the last one counts."""
 
@@ -30,7 +25,7 @@ def header_index(header: Column) -> Column:
 
         return F.map_from_entries(F.transform(F.array_distinct(names), entry))
 
-    return _bound(header_names(header), index)
+    return bound(header_names(header), index)
 
 
 def mapped_index(mapping: Column, header: Column) -> Column:
@@ -46,7 +41,7 @@ def mapping_literal(mapping: Mapping[str, int]) -> Column:
 
 def positions(index: Column, spec: TableSpec) -> Column:
     """Zero-based position per field of the table, NULL where the file lacks it."""
-    return _bound(index, lambda known: F.array(*[F.try_element_at(known, F.lit(f.name.lower())) for f in spec.fields]))
+    return bound(index, lambda known: F.array(*[F.try_element_at(known, F.lit(f.name.lower())) for f in spec.fields]))
 
 
 def missing_columns(header: Column, fields: Sequence[FieldSpec]) -> Column:
@@ -58,7 +53,7 @@ def missing_columns(header: Column, fields: Sequence[FieldSpec]) -> Column:
     def lacking(names: Column) -> Column:
         return F.filter(F.array(*required), lambda r: ~F.array_contains(names, r["low"]))
 
-    return F.transform(_bound(header_names(header), lacking), lambda r: r["name"])
+    return F.transform(bound(header_names(header), lacking), lambda r: r["name"])
 
 
 def missing_columns_error(header: Column, fields: Sequence[FieldSpec]) -> Column:

@@ -107,3 +107,14 @@ def test_fast_ways_agree_with_slow_ones(spark):
     assert got == expected
     days = ["2024-1--15", "202a-01-15", "+024-01-15", "2024-01-1 ", "2024-02-30", "0024-01-15", "1-15-24-99", "2024- 1-15"]
     assert results(spark, days, lambda c: cells.to_date(c, AS_OF)) == [None, None, None, None, None, dt.date(24, 1, 15), None, None]
+
+
+def test_records_clean_like_single_cells(spark):
+    pieces = ["x", "12", " 7 ", '="a"', "=b", "'c'", "netsuite:d", "\te", "f ", "3", "0", "1.50", "", "  ", "é", '" q "']
+    records = [pieces[i : i + 4] for i in range(len(pieces))] + [["10", "21", "32", "43"], [" 0", "1 ", " 2 ", "3"]]
+    df = spark.createDataFrame([(r,) for r in records], "t array<string>").withColumn("raw", F.array_join("t", ","))
+    cleaned = cells.clean_record(F.col("raw"), F.col("t"))
+    rows = df.withColumn("c", cleaned).withColumn("x", cells.trim_record(F.col("raw"), F.col("c"))).select(
+        "t", "c", "x", F.transform("t", lambda c: cells.clean_cell(c)).alias("c1"), F.transform("c", lambda c: cells.trim(c)).alias("x1")
+    )
+    assert not [r for r in rows.collect() if r.c != r.c1 or r.x != r.x1]
