@@ -97,7 +97,7 @@ def csv_field(c: Column) -> Column:
     return F.when(c.rlike('[,"\r\n]'), quoted).otherwise(c)
 
 
-def go_quoted(c: Column) -> Column:
+def escaped_text(c: Column) -> Column:
     """Double-quoted text with backslash escapes, as error reasons show values."""
     for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         c = F.replace(c, F.lit(plain), F.lit(escaped))

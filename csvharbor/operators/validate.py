@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from csvharbor.functions import messages
 from csvharbor.functions.cells import convert, normalized
-from csvharbor.functions.formats import go_quoted
+from csvharbor.functions.formats import escaped_text
 from csvharbor.operators.joins import existing_keys, lookup_join
 from csvharbor.session import cut
 from csvharbor.specs import FieldSpec, FieldType
@@ -75,11 +75,11 @@ def field_reason(cell: Column, spec: FieldSpec, as_of_year: int, strict: bool =
 
     ``typed`` is the converted value where it is at hand, so that the text is converted once.
     """
-    quoted = go_quoted(F.lit(spec.name))
+    quoted = escaped_text(F.lit(spec.name))
     value = normalized(cell, spec)
     reason = F.lit(None).cast("string")
     if spec.required or strict:
-        text = F.concat(F.lit(f"invalid {spec.type.value} for "), quoted, F.lit(": "), go_quoted(value))
+        text = F.concat(F.lit(f"invalid {spec.type.value} for "), quoted, F.lit(": "), escaped_text(value))
         reason = F.when((value != "") & _type_mismatch(value, spec, as_of_year, typed), text)
     if spec.required and not spec.allow_empty:
         reason = F.when(cell == "", F.concat(F.lit("empty required field "), quoted)).otherwise(reason)

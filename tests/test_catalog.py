@@ -135,5 +135,5 @@ def test_cell_messages(spark):
         "age": "invalid number format", "born": "invalid date format (use YYYY-MM-DD or similar)", "on": "must be yes/no, true/false, or 1/0",
         "kind": "value must be one of: a, b", "full_name": None,
     }
-    quoted = spark.range(1).select(formats.go_quoted(F.lit('a"b\\c\n')).alias("q")).first().q
+    quoted = spark.range(1).select(formats.escaped_text(F.lit('a"b\\c\n')).alias("q")).first().q
     assert quoted == '"a\\"b\\\\c\\n"'

@@ -239,6 +239,9 @@ def test_stream(spark, store, files, tmp_path):
     files("d.csv", HEADER, "4,D,2024-01-15,1,yes,NY")
     run()
     assert sorted(r.id for r in store.rows("people").collect()) == ["1", "2", "4"]
+    # Handled files move once a later micro-batch has committed; that of the last one is still in place.
+    moved = {p.name for p in (tmp_path / "Uploaded").rglob("*.csv")}
+    assert moved and moved < {"a.csv", "b.csv", "d.csv"}
 
 
 def test_unseen_keys(spark):
