@@ -27,25 +27,25 @@ def _bytes(field: T.StructField) -> Column:
     return F.lit(16)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """At most ``rows`` rows and ``size`` bytes. Counted, not estimated: partial sums meet, rows do not move."""
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    """At most so many rows and ``BROADCAST_BYTES`` bytes. Counted, not estimated: partial sums meet, rows do not move."""
     width = reduce(add, [_bytes(f) for f in df.schema.fields])
     found = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("bytes")).first()
-    return found.rows <= rows and found.bytes <= size
+    return found.rows <= (BROADCAST_ROWS if rows is None else rows) and found.bytes <= BROADCAST_BYTES
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Broadcast behind a size check; a larger side is left to a shuffle join."""
     return F.broadcast(df) if is_small(df, rows) else df
 
 
-def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, hot_rows: int | None = None) -> DataFrame:
     """Join of many rows to unique keys that never sends a frequent key's rows to one task.
 
     Keys with more than ``hot_rows`` rows (at most ``HOT_KEYS`` of them) meet their right rows, one per
     key, by broadcast where they lie; every other key joins by shuffle.
     """
-    on = list(on)
+    on, hot_rows = list(on), HOT_ROWS if hot_rows is None else hot_rows
     counts = left.dropna(subset=on).groupBy(on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
     hot = cut(counts.orderBy(F.desc("_rows")).limit(HOT_KEYS).select(on))
     if hot.isEmpty():
@@ -60,8 +60,8 @@ def lookup_join(
     right: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    rows: int = BROADCAST_ROWS,
-    hot_rows: int = HOT_ROWS,
+    rows: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join to a side with unique keys: broadcast if it is small, else split. NULL keys match nothing."""
     if is_small(right, rows):

@@ -65,12 +65,12 @@ def page_info(total_rows: int, page: int, size: int = PAGE_SIZE) -> PageInfo:
     return PageInfo(total_rows, pages, min(max(page, 1), pages), size)
 
 
-def slice_rows(df: DataFrame, order: Sequence[Column], offset: int, size: int, deep: int = DEEP_OFFSET) -> DataFrame:
+def slice_rows(df: DataFrame, order: Sequence[Column], offset: int, size: int, deep: int | None = None) -> DataFrame:
     """Rows from ``offset`` on. Up to ``deep`` they come from a top-k; beyond, no task could hold all rows before them.
 
     Then the sorted rows are written as range-partitioned files, whose counts tell which one or two files hold the slice.
     """
-    if offset <= deep:
+    if offset <= (DEEP_OFFSET if deep is None else deep):
         return df.orderBy(*order).offset(offset).limit(size)
     path = scratch(df.sparkSession, "sorted")
     # Rows that are equal in all sort columns may lie in any order; the number lets them spread over files.
