@@ -244,6 +244,26 @@ def test_stream(spark, store, files, tmp_path):
     assert moved and moved < {"a.csv", "b.csv", "d.csv"}
 
 
+@pytest.mark.parametrize("key", ["anrok_transactions", "ns_invoice_detail", "ns_so_detail"])
+def test_shipped_tables(store, files, key):
+    spec = store.registry.get(key)
+    texts = {FieldType.TEXT: "x", FieldType.DATE: "Jan 15, 2024", FieldType.NUMERIC: "$1,234.50", FieldType.BOOL: "Yes"}
+    good = ['"' + ("new jersey" if f.normalizer else texts[f.type]) + '"' for f in spec.fields]
+    wrong = ["?" if f.type is not FieldType.TEXT else " " for f in spec.fields]
+    folder = files("a.csv", "Title", ",".join(spec.names), ",".join(good), ",".join(wrong + ["more"]), "too,short")
+    ingest.load(store, spec, folder, "b1", AS_OF)
+    typed = {FieldType.TEXT: "x", FieldType.DATE: dt.date(2024, 1, 15), FieldType.NUMERIC: Decimal("1234.5"), FieldType.BOOL: True}
+    shown = spec.display(store.rows(key))
+    first, second = sorted((tuple(r) for r in shown.collect()), key=lambda r: r[0] is None)
+    assert shown.columns == spec.names
+    assert first == tuple("NJ" if f.normalizer else typed[f.type] for f in spec.fields)
+    assert second == tuple("" if f.not_null else None for f in spec.fields)
+    assert [(r.line_number, r.reason) for r in store.failed(key).collect()] == [(5, f"expected {len(spec.fields)} columns, got 2")]
+    csv = exports.export_view(store.rows(key), spec).first().asDict()
+    expected = {FieldType.TEXT: "x", FieldType.DATE: "2024-01-15", FieldType.NUMERIC: "1234.50", FieldType.BOOL: "Yes"}
+    assert csv == {f.name: "NJ" if f.normalizer else expected[f.type] for f in spec.fields}
+
+
 def test_unseen_keys(spark):
     incoming = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 3, "z"), (None, 4, "n"), (None, 5, "n")], "k string, line int, v string")
     table = spark.createDataFrame([("b",)], "k string")
