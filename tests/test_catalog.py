@@ -9,7 +9,7 @@ from csvharbor.functions import formats, messages
 from csvharbor.operators import filters, validate, views
 from csvharbor.operators.audit import AUDIT_SCHEMA
 from csvharbor.shipped import shipped_registry
-from csvharbor.specs import FieldSpec, FieldType, Registry, TableSpec, column_name
+from csvharbor.specs import FieldSpec, FieldType, TableSpec, column_name
 
 
 def test_shipped_tables():
