@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csvharbor.llm import bpe
+from csvharbor.llm import bpe, langid, minhash
 from csvharbor.llm.registry import query, table
 
 
@@ -23,3 +23,31 @@ def token_digests(docs: DataFrame) -> DataFrame:
 @query()
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def remainder(modulus: int):
+    """crc32 of the doc_id as text, modulo ``modulus``."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.train(docs.where(remainder(5) != 0))
+
+
+@query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", langid.predict(F.col("text"), language_model(docs)).alias("found"))
+    return found.select(
+        "doc_id",
+        F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"),
+        F.col("found.lang").alias("lang_pred"),
+        F.col("found.score").alias("score"),
+        F.col("found.ambiguous").alias("ambiguous"),
+    )
