@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csvharbor.llm import bpe, langid, minhash
+from csvharbor.llm import bpe, langid, minhash, toxicity
 from csvharbor.llm.registry import query, table
 
 
@@ -51,3 +51,24 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("found.score").alias("score"),
         F.col("found.ambiguous").alias("ambiguous"),
     )
+
+
+TOXIC_FROM = 0.3
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.train(docs, labels.where(remainder(4) != 2))
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", toxicity.tag(F.col("text"), model).alias("found"))
+    return found.select(
+        "doc_id",
+        F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"),
+        F.col("found.score").alias("score"),
+        (F.col("found.score") >= TOXIC_FROM).cast("int").alias("predicted"),
+        F.col("found.spans").alias("spans"),
+    )
