@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csvharbor.llm import bpe, langid, minhash, toxicity
+from csvharbor.llm import bpe, langid, minhash, mixing, toxicity
 from csvharbor.llm.registry import query, table
 
 
@@ -72,3 +72,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("found.score") >= TOXIC_FROM).cast("int").alias("predicted"),
         F.col("found.spans").alias("spans"),
     )
+
+
+@query()
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
