@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csvharbor.llm import bpe, langid, minhash, mixing, toxicity
+from csvharbor.llm import bpe, langid, minhash, mixing, quality, toxicity
 from csvharbor.llm.registry import query, table
 
 
@@ -78,3 +78,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+@query(quality.JUDGE_SQL)
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
