@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csvharbor.llm import bpe, langid, minhash, mixing, quality, toxicity
+from csvharbor.llm import bpe, embeddings, langid, minhash, mixing, quality, toxicity
 from csvharbor.llm.registry import query, table
 
 
@@ -83,3 +83,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(quality.JUDGE_SQL)
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_embedding_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"))
