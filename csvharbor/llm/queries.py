@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csvharbor.llm import bpe, embeddings, langid, minhash, mixing, quality, toxicity
+from csvharbor.llm import bpe, embeddings, html, langid, minhash, mixing, quality, toxicity, warc
 from csvharbor.llm.registry import query, table
+from csvharbor.session import scratch
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
@@ -89,3 +90,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_embedding_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+@query()
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), folder if "://" in folder else f"file://{folder}")
+    read = warc.read_archives(archives, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+@query()
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = pages.select("page_id", "url", html.extract(F.col("html"), html.train(pages)).alias("text"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
