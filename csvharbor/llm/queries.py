@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csvharbor.llm import bpe, embeddings, html, langid, minhash, mixing, quality, toxicity, warc
+from csvharbor.llm import bpe, embeddings, html, langid, minhash, mixing, pseudolikelihood, quality, toxicity, warc
 from csvharbor.llm.registry import query, table
 from csvharbor.session import scratch
 
@@ -105,3 +105,15 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = pages.select("page_id", "url", html.extract(F.col("html"), html.train(pages)).alias("text"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", pseudolikelihood.score(F.col("text"), pseudolikelihood.train(docs)).alias("found"))
+    return found.select(
+        "doc_id",
+        F.col("found.words").alias("n_words"),
+        F.col("found.log_likelihood").alias("log_likelihood"),
+        F.when(F.col("found.words") > 0, F.col("found.log_likelihood") / F.col("found.words")).alias("per_word"),
+    )
