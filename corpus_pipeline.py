@@ -1,19 +1,58 @@
-"""Corpus cleaning as a chain of stages; each stage reads what the one before it wrote."""
+"""Corpus cleaning as a chain of stages; each stage reads what the one before it wrote.
+
+Null texts, empty texts, repeated rows and further columns pass through the stages as their operators define it: a text
+without letters is rejected by the language stage, rows that repeat a doc_id are one document to the near-duplicate stage,
+and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from csvharbor.llm import queries
+from csvharbor.llm import langid, minhash, mixing, queries, toxicity
 from csvharbor.session import cut
 
+LEAST_LANGUAGE_SCORE = 0.5
+SHINGLE_WORDS = 5
+SIMILAR_PERCENT = 80
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents whose toxicity score is at the threshold or above."""
+    model = queries.toxicity_model(docs, queries.table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.tag(F.col("text"), model)["score"] < queries.TOXIC_FROM)
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents without a letter and those that no language has most of the score of."""
+    found = langid.predict(F.col("text"), queries.language_model(docs))
+    return docs.where((found["lang"] != langid.UNKNOWN) & (found["score"] >= LEAST_LANGUAGE_SCORE))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least doc_id of every group of near copies; rows without a doc_id stay."""
+    found = minhash.near_duplicates(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    kept = found.where(F.col("doc_id") == F.col("component")).select("doc_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*(c for c, kind in docs.dtypes if not kind.startswith("map"))))
+    own = docs.join(kept, "doc_id", "left_semi").withColumn("_rank", rank).where("_rank = 1")
+    return own.select(docs.columns).union(docs.where(F.col("doc_id").isNull()))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that each source comes to its target of words."""
+    plan = mixing.mix(docs).select(F.struct("doc_id", "source", "size").alias("_row"), "copies").groupBy("_row").agg(F.max("copies").alias("_copies"))
+    row = F.struct("doc_id", F.col("source").cast("string").alias("source"), mixing.word_count(F.col("text")).alias("size"))
+    joined = docs.withColumn("_row", row).join(plan.withColumnRenamed("_row", "_planned"), F.col("_row").eqNullSafe(F.col("_planned")))
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select(docs.columns)
+
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE of what is left."""
+    """Token counts and digests of what is left, a row per copy."""
     return queries.token_digests(docs)
 
 
-STAGES = [("bpe", encoded)]
+STAGES = [("toxicity", not_toxic), ("language", identified), ("near_duplicates", deduplicated), ("mixing", mixed), ("bpe", encoded)]
 #: The learned stages have no SQL; tests hold the run against plain Python.
 ORACLE_SQL = None
 
