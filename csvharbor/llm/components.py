@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from csvharbor.session import cut
 
 
+def spread(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least id that each row and column of the matrix of links reaches within it."""
+    most = np.iinfo(np.int64).max
+    while True:
+        new_rows = np.minimum(rows, np.where(linked, columns[None], most).min(1, initial=most))
+        new_columns = np.minimum(columns, np.where(linked, new_rows[:, None], most).min(0, initial=most))
+        if (new_rows == rows).all() and (new_columns == columns).all():
+            return rows, columns
+        rows, columns = new_rows, new_columns
+
+
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 

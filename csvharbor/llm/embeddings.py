@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from csvharbor.llm.components import components
+from csvharbor.llm.components import components, spread
 from csvharbor.session import cut
 
 BITS = 20
@@ -63,17 +63,6 @@ def _hashed(tables: int, bits: int):
     return hashed
 
 
-def spread(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least id that each row and column of the matrix of links reaches within it."""
-    most = np.iinfo(np.int64).max
-    while True:
-        new_rows = np.minimum(rows, np.where(linked, columns[None], most).min(1))
-        new_columns = np.minimum(columns, np.where(linked, new_rows[:, None], most).min(0))
-        if (new_rows == rows).all() and (new_columns == columns).all():
-            return rows, columns
-        rows, columns = new_rows, new_columns
-
-
 def _counted(cosine: float):
     def counted(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         one, two, table = key[1].as_py(), key[2].as_py(), key[3].as_py()

@@ -39,8 +39,8 @@ class Model:
 def codewords(classes: int, seed: int = 5) -> np.ndarray:
     """All splits of up to 6 classes; for more, the random code of 10 log2(classes) bits with the largest least distance."""
     if classes <= 6:
-        splits = range(1, 1 << (classes - 1)) if classes > 1 else []
-        return np.array([[1 if split >> k & 1 else -1 for split in splits] for k in range(classes)], np.float64).reshape(classes, -1)
+        splits = range(1, 1 << (classes - 1)) if classes > 1 else range(0)
+        return np.array([[1 if split >> k & 1 else -1 for split in splits] for k in range(classes)], np.float64).reshape(classes, len(splits))
     rng, bits, best = np.random.default_rng(seed), math.ceil(10 * math.log2(classes)), (-1, np.empty(0))
     for _ in range(100):
         code = rng.choice([-1.0, 1.0], (classes, bits))
