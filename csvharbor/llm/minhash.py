@@ -15,19 +15,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from csvharbor.llm.components import components
+from csvharbor.llm.components import components, spread
 from csvharbor.llm.textarrays import blocks, mix, shingles, word_hashes, words
 from csvharbor.session import cut
 
-COORDINATES = 400
+COORDINATES = 450
 MISS = 1e-6
+FEW = 32
+BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 500_000
+_COLUMNS = 4096
 
 
 def banding(percent: int, coordinates: int = COORDINATES, miss: float = MISS) -> tuple[int, int]:
-    """(rows, bands): the longest bands for which a pair at the threshold meets in no band with probability ``miss`` at most."""
-    fits = (1, 1)
+    """(rows, bands): the longest bands for which a pair at the threshold meets in fewer than two with probability ``miss`` at most."""
+    fits = (1, 2)
     for rows in range(1, 33):
-        bands = math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** rows)))
+        together, bands = (percent / 100) ** rows, 2
+        while rows * bands <= coordinates and (1 - together) ** bands + bands * together * (1 - together) ** (bands - 1) > miss:
+            bands += 1
         if rows * bands <= coordinates:
             fits = (rows, bands)
     return fits
@@ -105,6 +111,58 @@ def _confirm(width: int, percent: int):
     return confirm
 
 
+def _sets(width: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                found = words(block)
+                lists = [x.astype(np.int64) for x in shingles(word_hashes(block, found), found, width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(lists)), pa.array(lists, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return sets
+
+
+def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sets of two lists. Only members that both lists have are looked at."""
+    owners = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (one, two)]
+    flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (one, two)]
+    shared = np.intersect1d(flat[0], flat[1])
+    out = np.zeros((len(one), len(two)), np.float32)
+    if not len(shared):
+        return out
+    places = [np.searchsorted(shared, x) for x in flat]
+    hits = [shared[np.minimum(p, len(shared) - 1)] == x for p, x in zip(places, flat, strict=True)]
+    for at in range(0, len(shared), _COLUMNS):
+        sides = []
+        for place, hit, owner, lists in zip(places, hits, owners, (one, two), strict=True):
+            here = hit & (place >= at) & (place < at + _COLUMNS)
+            side = np.zeros((len(lists), min(_COLUMNS, len(shared) - at)), np.float32)
+            side[owner[here], place[here] - at] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _blocked(percent: int):
+    """Within two parts of a bucket: each class with the least id that it reaches over links."""
+
+    def blocked(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        one, two = key[1].as_py(), key[2].as_py()
+        ids, part = group.column("id").to_numpy(), group.column("part").to_numpy()
+        sets = [x.values.to_numpy() for x in group.column("shingles").combine_chunks()]
+        a, b = np.flatnonzero(part == one), np.flatnonzero(part == two)
+        both = overlaps([sets[k] for k in a], [sets[k] for k in b])
+        sizes = np.array([len(x) for x in sets], np.float32)
+        linked = (both > 0) & (100 * both >= percent * (sizes[a][:, None] + sizes[b][None] - both))
+        least = ids.copy()
+        rows, columns = spread(linked, ids[a], ids[b])
+        least[a] = rows
+        least[b] = np.minimum(least[b], columns)
+        return pa.table({"u": least[least < ids], "v": ids[least < ids]})
+
+    return blocked
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
     """``id, n_shingles, component`` per row: component is the least id reachable over links of at least ``percent`` Jaccard.
 
@@ -113,9 +171,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     that repeat an id count as one document. A row without an id links with nothing and has no component. Other columns
     are not looked at.
 
-    Equal sets are one class, so copies cost no pairs. In each bucket of a band every class is compared with the bucket's
-    least one; what that leaves in different components is then compared pair by pair, until no pair that meets anywhere
-    is both unconnected and uncompared. Buckets are never gathered: all steps are joins and aggregates on the bucket.
+    Equal sets are one class, so copies cost no pairs. Classes that meet the least one of their bucket in two bands or more
+    are compared with it, first with the one met most often. What then still meets across components is compared in full:
+    the members of buckets of up to ``FEW`` as pairs, if they meet twice, and larger buckets in pairs of blocks of bounded
+    size, which return spanning links and never pairs. No bucket is gathered whole.
     """
     rows, bands = banding(percent)
     source = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
@@ -124,16 +183,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     able = sketches.where("n > 0 AND id IS NOT NULL")
     classes = able.groupBy("lo", "hi", "n").agg(F.min("id").alias("rep"))
     member = cut(able.select("id", "lo", "hi", "n").join(classes, ["lo", "hi", "n"]).select("id", "n", "rep"))
-    reps = member.where("id = rep").select("id").distinct()
-    meets = able.join(reps, "id", "left_semi").select(F.explode("keys").alias("key"), "id", "n")
+    copies = member.where("id != rep").select("id").join(member.select(F.col("rep").alias("id")), "id", "left_anti").distinct()
+    meets = able.join(copies, "id", "left_anti").select(F.explode("keys").alias("key"), "id", "n")
     buckets = meets.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most")
-    meets = cut(meets.join(buckets, "key").select("key", "id", "n", "least"))
+    meets = cut(meets.join(buckets, "key").select("key", "id", "n", "least").distinct())
+    # All comparisons need two meetings, so whoever was met in one bucket only is out. The texts of the rest are fetched once,
+    # by a join that does not change its kind with the size of the input.
+    often = meets.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").select("id")
+    meets = cut(meets.join(often, "id"))
+    texts = cut(source.join(often.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]))
     sizes = member.where("id = rep").select("id", "n").distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) of ids that hold."""
-        needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-        texts = cut(source.join(needed, "id", "left_semi"))
         left = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
         right = texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
         read = pairs.join(right, "v").join(left, "u").select("u", "v", "text_u", "text_v")
@@ -148,25 +210,32 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         """Sets that differ too much in size cannot be linked."""
         return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
-    # First each class with the least one that it meets anywhere, then with the least one of every bucket.
-    led = meets.where("id != least")
-    first = cut(led.groupBy(F.col("id").alias("v")).agg(F.min("least").alias("u")).select("u", "v"))
+    led = cut(meets.where("id != least").groupBy(F.col("least").alias("u"), F.col("id").alias("v")).agg(F.count("*").alias("times")).where("times > 1"))
+    first = cut(led.groupBy("v").agg(F.max(F.struct("times", "u")).alias("most")).select(F.col("most.u").alias("u"), "v"))
     links = cut(confirmed(first))
     groups = cut(components(links))
-    stars = led.select(F.col("least").alias("u"), F.col("id").alias("v"), F.col("n").alias("nv")).distinct().join(first, ["u", "v"], "left_anti")
-    stars = labelled(labelled(stars, groups, "u", "gu"), groups, "v", "gv").where("gu != gv")
-    stars = cut(stars.join(sizes.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u").where(alike("nu", "nv")).select("u", "v"))
+    stars = labelled(labelled(led.join(first, ["u", "v"], "left_anti"), groups, "u", "gu"), groups, "v", "gv").where("gu != gv")
+    for side in ("u", "v"):
+        stars = stars.join(sizes.select(F.col("id").alias(side), F.col("n").alias("n" + side)), side)
+    stars = cut(stars.where(alike("nu", "nv")).select("u", "v"))
     links = cut(links.union(confirmed(stars)))
     groups = cut(components(links))
     # Then whatever still meets across components.
-    placed = labelled(meets, groups, "id", "g")
-    mixed = placed.groupBy("key").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a != b").select("key")
-    placed = cut(placed.join(mixed, "key", "left_semi").select("key", "id", "n", "g"))
-    one, two = placed.select("key", *(F.col(c).alias(c + "u") for c in ("id", "n", "g"))), placed.select("key", *(F.col(c).alias(c + "v") for c in ("id", "n", "g")))
-    rest = one.join(two, "key").where("idu < idv AND gu != gv").where(alike("nu", "nv")).select(F.col("idu").alias("u"), F.col("idv").alias("v")).distinct()
+    placed = labelled(meets.drop("least"), groups, "id", "g")
+    mixed = placed.groupBy("key").agg(F.min("g").alias("a"), F.max("g").alias("b"), F.count("*").alias("members"), F.sum("n").alias("shingles")).where("a != b")
+    placed = cut(placed.join(mixed.drop("a", "b"), "key"))
+    small = placed.where(F.col("members") <= FEW)
+    one, two = (small.select("key", *(F.col(c).alias(c + side) for c in ("id", "n", "g"))) for side in "uv")
+    rest = one.join(two, "key").where("idu < idv AND gu != gv").where(alike("nu", "nv"))
+    rest = rest.groupBy(F.col("idu").alias("u"), F.col("idv").alias("v")).agg(F.count("*").alias("times")).where("times > 1").select("u", "v")
     rest = cut(rest.join(first.union(stars), ["u", "v"], "left_anti"))
-    links = links.union(confirmed(rest))
-    groups = cut(components(cut(links)))
+    large = placed.where(F.col("members") > FEW).withColumn("parts", F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)))
+    large = large.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pieces = large.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "id")
+    kind = dict(source.dtypes)["id"]
+    shingled = texts.join(pieces.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(width), f"id {kind}, shingles array<long>")
+    inside = pieces.join(shingled, "id").groupBy("key", "one", "two").applyInArrow(_blocked(percent), f"u {kind}, v {kind}")
+    groups = cut(components(cut(links.union(confirmed(rest)).union(inside))))
 
     found = member.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
     rest = sketches.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component"))
