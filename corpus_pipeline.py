@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from csvharbor.llm import langid, minhash, mixing, queries, toxicity
+from csvharbor.llm.registry import reached
 from csvharbor.session import cut
 
 LEAST_LANGUAGE_SCORE = 0.5
@@ -52,7 +53,13 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.token_digests(docs)
 
 
-STAGES = [("toxicity", not_toxic), ("language", identified), ("near_duplicates", deduplicated), ("mixing", mixed), ("bpe", encoded)]
+STAGES = [
+    ("toxicity", reached(not_toxic)),
+    ("language", reached(identified)),
+    ("near_duplicates", reached(deduplicated)),
+    ("mixing", reached(mixed)),
+    ("bpe", reached(encoded)),
+]
 #: The learned stages have no SQL; tests hold the run against plain Python.
 ORACLE_SQL = None
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +14,23 @@ from csvharbor.workload.base import Query, table  # noqa: F401
 QUERIES: dict[str, Query] = {}
 
 
+def reached(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Lets Python workers find this package where it is not installed, whatever folder the session was started in."""
+
+    @functools.wraps(run)
+    def call(spark: SparkSession, *rest) -> DataFrame:
+        root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+        paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            known["PYTHONPATH"] = os.pathsep.join([*paths, root])
+        return run(spark, *rest)
+
+    return call
+
+
 def query(sql: str | None = None):
     def register(run: Callable[[SparkSession, str], DataFrame]):
+        run = reached(run)
         QUERIES[run.__name__] = Query(run, sql)
         return run
 
