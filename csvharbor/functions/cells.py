@@ -17,15 +17,17 @@ TRUE_WORDS = ("true", "t", "yes", "y", "1")
 FALSE_WORDS = ("false", "f", "no", "n", "0")
 
 # The 50 states and their codes.
-US_STATES = """
-alabama AL, alaska AK, arizona AZ, arkansas AR, california CA, colorado CO, connecticut CT, delaware DE,
-florida FL, georgia GA, hawaii HI, idaho ID, illinois IL, indiana IN, iowa IA, kansas KS, kentucky KY,
-louisiana LA, maine ME, maryland MD, massachusetts MA, michigan MI, minnesota MN, mississippi MS,
-missouri MO, montana MT, nebraska NE, nevada NV, new hampshire NH, new jersey NJ, new mexico NM,
-new york NY, north carolina NC, north dakota ND, ohio OH, oklahoma OK, oregon OR, pennsylvania PA,
-rhode island RI, south carolina SC, south dakota SD, tennessee TN, texas TX, utah UT, vermont VT,
-virginia VA, washington WA, west virginia WV, wisconsin WI, wyoming WY
-"""
+US_STATES = {
+    "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO",
+    "connecticut": "CT", "delaware": "DE", "florida": "FL", "georgia": "GA", "hawaii": "HI", "idaho": "ID",
+    "illinois": "IL", "indiana": "IN", "iowa": "IA", "kansas": "KS", "kentucky": "KY", "louisiana": "LA",
+    "maine": "ME", "maryland": "MD", "massachusetts": "MA", "michigan": "MI", "minnesota": "MN", "mississippi": "MS",
+    "missouri": "MO", "montana": "MT", "nebraska": "NE", "nevada": "NV", "new hampshire": "NH", "new jersey": "NJ",
+    "new mexico": "NM", "new york": "NY", "north carolina": "NC", "north dakota": "ND", "ohio": "OH",
+    "oklahoma": "OK", "oregon": "OR", "pennsylvania": "PA", "rhode island": "RI", "south carolina": "SC",
+    "south dakota": "SD", "tennessee": "TN", "texas": "TX", "utah": "UT", "vermont": "VT", "virginia": "VA",
+    "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY",
+}
 
 TWO_DIGIT_YEAR_WINDOW = 20
 NUMERIC_TYPE = "decimal(28,10)"
@@ -107,11 +109,20 @@ def _plain_number(t: Column) -> Column:
 def to_numeric(c: Column, trimmed: bool = False) -> Column:
     """Currency signs and thousands commas dropped, ``(x)`` negative, exponents refused."""
     t = c if trimmed else trim(c)
+    return F.coalesce(F.when(_plain_number(t), t.try_cast(NUMERIC_TYPE)), number_text(t).try_cast(NUMERIC_TYPE))
+
+
+def number_text(t: Column) -> Column:
+    """Trimmed text as sign, digits and point only; empty where it is not a number."""
     marked = F.regexp_replace(t, r"(?s)^\((.*)\)\z", "\x01$1")
     plain = F.translate(marked, "$\u20ac\u00a3,", "")
     signed = trim(F.regexp_replace(plain, r"(?U)^\x01\s*", "-"))
-    cleaned = F.regexp_extract(signed, r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)\z", 0).try_cast(NUMERIC_TYPE)
-    return F.when(_plain_number(t), t.try_cast(NUMERIC_TYPE)).otherwise(cleaned)
+    return F.regexp_extract(signed, r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)\z", 0)
+
+
+def number_too_long(c: Column) -> Column:
+    """True for a number with more than 18 digits before the point or ten behind it: the stored type would lose some."""
+    return (F.length(c) > 10) & F.coalesce(number_text(trim(c)).rlike(r"^[+-]?0*[1-9]\d{18}|\.\d{10}\d*[1-9]"), F.lit(False))
 
 
 def _iso(c: Column, *rewrites: tuple[str, str]) -> Column:
@@ -164,13 +175,12 @@ def uuid_text(c: Column) -> Column:
 
 def normalize_us_state(c: Column) -> Column:
     """Full name or any-case code to the code; other text trimmed and kept."""
-    pairs = [entry.strip().rsplit(" ", 1) for entry in US_STATES.strip().split(",")]
-    by_name = F.create_map(*[F.lit(v) for pair in pairs for v in pair])
+    by_name = F.create_map(*[F.lit(v) for pair in US_STATES.items() for v in pair])
     t = trim(c)
     code = F.upper(t)
     return F.coalesce(
         F.try_element_at(by_name, F.lower(t)),
-        F.when(code.isin(*[p[1] for p in pairs]), code),
+        F.when(code.isin(*US_STATES.values()), code),
         t,
     )
 

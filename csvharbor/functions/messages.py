@@ -5,42 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Pattern | code | message | action, tried in this order.
-ERROR_PATTERNS = """
-duplicate key | DB001 | A record with this ID already exists | Download failed rows to review duplicates
-unique constraint | DB002 | This value must be unique but already exists | Check for duplicate entries in your CSV
-violates unique | DB002 | A duplicate value was found | Review your data for duplicate key values
-foreign key constraint | DB003 | Referenced record does not exist | Ensure parent records are uploaded first
-violates foreign key | DB003 | Referenced record does not exist | Ensure parent records are uploaded first
-connection refused | DB004 | Unable to connect to database | Please try again in a few moments
-connection reset | DB005 | Database connection was interrupted | Please try again
-timeout | DB006 | Operation timed out | Try uploading a smaller file or try again later
-deadlock | DB007 | Database was busy with conflicting operations | Please try again
-invalid date | VAL001 | Invalid date format detected | Use YYYY-MM-DD, MM/DD/YYYY, or Jan 15, 2024
-invalid number | VAL002 | Invalid number format detected | Remove currency symbols and use standard decimal format
-required field | VAL003 | Required field is empty | Ensure all required columns have values
-missing required column | VAL004 | Required column is missing from CSV | Check that all required columns are present in your file
-column not found | VAL005 | Expected column not found in CSV | Verify column headers match the template exactly
-invalid enum | VAL006 | Value is not in the allowed list | Check the allowed values for this field
-file too large | FILE001 | File exceeds maximum size limit (100MB) | Split the file into smaller chunks
-invalid csv | FILE002 | File is not a valid CSV | Ensure file is comma-separated with consistent columns
-encoding error | FILE003 | File contains invalid characters | Save file as UTF-8 encoding
-no file provided | FILE004 | No file was selected | Please select a CSV file to upload
-empty file | FILE005 | The uploaded file is empty | Please upload a CSV file with data rows
-upload cancelled | UPL001 | Upload was cancelled | Start a new upload when ready
-too many uploads | UPL002 | System is busy processing other uploads | Please wait a moment and try again
-upload not found | UPL003 | Upload session not found | The upload may have expired. Please start a new upload
-context canceled | UPL004 | Request was cancelled | Please try again
-context deadline exceeded | UPL005 | Request timed out | Try uploading a smaller file or check your connection
-table not found | TBL001 | Table not found | Verify the table name is correct
-unknown table | TBL002 | Unknown table type | This table type is not configured
-rate limit | RATE001 | Too many requests | Please wait a moment before trying again
-"""
+# Pattern, code, message and action, tried in this order.
+ERROR_PATTERNS = (
+    ("duplicate key", "DB001", "A record with this ID already exists", "Download failed rows to review duplicates"),
+    ("unique constraint", "DB002", "This value must be unique but already exists", "Check for duplicate entries in your CSV"),
+    ("violates unique", "DB002", "A duplicate value was found", "Review your data for duplicate key values"),
+    ("foreign key constraint", "DB003", "Referenced record does not exist", "Ensure parent records are uploaded first"),
+    ("violates foreign key", "DB003", "Referenced record does not exist", "Ensure parent records are uploaded first"),
+    ("connection refused", "DB004", "Unable to connect to database", "Please try again in a few moments"),
+    ("connection reset", "DB005", "Database connection was interrupted", "Please try again"),
+    ("timeout", "DB006", "Operation timed out", "Try uploading a smaller file or try again later"),
+    ("deadlock", "DB007", "Database was busy with conflicting operations", "Please try again"),
+    ("invalid date", "VAL001", "Invalid date format detected", "Use YYYY-MM-DD, MM/DD/YYYY, or Jan 15, 2024"),
+    ("invalid number", "VAL002", "Invalid number format detected", "Remove currency symbols and use standard decimal format"),
+    ("required field", "VAL003", "Required field is empty", "Ensure all required columns have values"),
+    ("missing required column", "VAL004", "Required column is missing from CSV", "Check that all required columns are present in your file"),
+    ("column not found", "VAL005", "Expected column not found in CSV", "Verify column headers match the template exactly"),
+    ("invalid enum", "VAL006", "Value is not in the allowed list", "Check the allowed values for this field"),
+    ("file too large", "FILE001", "File exceeds maximum size limit (100MB)", "Split the file into smaller chunks"),
+    ("invalid csv", "FILE002", "File is not a valid CSV", "Ensure file is comma-separated with consistent columns"),
+    ("encoding error", "FILE003", "File contains invalid characters", "Save file as UTF-8 encoding"),
+    ("no file provided", "FILE004", "No file was selected", "Please select a CSV file to upload"),
+    ("empty file", "FILE005", "The uploaded file is empty", "Please upload a CSV file with data rows"),
+    ("upload cancelled", "UPL001", "Upload was cancelled", "Start a new upload when ready"),
+    ("too many uploads", "UPL002", "System is busy processing other uploads", "Please wait a moment and try again"),
+    ("upload not found", "UPL003", "Upload session not found", "The upload may have expired. Please start a new upload"),
+    ("context canceled", "UPL004", "Request was cancelled", "Please try again"),
+    ("context deadline exceeded", "UPL005", "Request timed out", "Try uploading a smaller file or check your connection"),
+    ("table not found", "TBL001", "Table not found", "Verify the table name is correct"),
+    ("unknown table", "TBL002", "Unknown table type", "This table type is not configured"),
+    ("rate limit", "RATE001", "Too many requests", "Please wait a moment before trying again"),
+)
 # Fixed value: used when nothing matches.
 UNKNOWN_ERROR = ("ERR000", "An unexpected error occurred", "Please try again or contact support")
 
-PATTERNS = [tuple(p.strip() for p in line.split("|")) for line in ERROR_PATTERNS.strip().splitlines()]
-
 # Actions by severity; any other action is medium.
 SEVERITIES = {
     "high": ("upload", "upload_rollback", "bulk_edit", "row_delete"),
@@ -61,7 +59,7 @@ LEGACY_ACTIONS = (("edit", "cell_edit", "medium"), ("delete", "row_delete", "hig
 def _first_match(reason: Column, part: int) -> Column:
     low = F.lower(reason)
     picked = F.when(reason.isNull(), F.lit(None).cast("string"))
-    for entry in PATTERNS:
+    for entry in ERROR_PATTERNS:
         picked = picked.when(low.contains(entry[0]), entry[part + 1])
     return picked.otherwise(UNKNOWN_ERROR[part])
 
@@ -106,9 +104,5 @@ def legacy_action(action: Column) -> Column:
     return _legacy(action, 1)
 
 
-def legacy_severity(action: Column) -> Column:
-    return _legacy(action, 2)
-
-
 def normalized_header(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"(?U)[_\s]+", "")

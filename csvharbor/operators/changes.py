@@ -68,16 +68,23 @@ def _one_of(cases: list[tuple[Column, Column]]) -> Column:
     return picked
 
 
-def check_edits(table: DataFrame, edits: DataFrame, spec: TableSpec, as_of_year: int) -> tuple[DataFrame, DataFrame]:
+def check_edits(table: DataFrame, edits: DataFrame, spec: TableSpec, as_of_year: int, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Edits (key columns, ``column``, ``value``) that may be applied, and the others with status and reason.
 
-    Of several edits to one cell the greatest value counts, so that the result does not depend on row order.
+    Of several edits to one cell, however its column is spelled, the last by ``order`` counts (without it, or if they tie,
+    the greatest value) and the others are reported as superseded. The same edit given twice is one edit.
     """
     keys = spec.key_columns
     target = F.lower("column")
     known = [(target == f.name.lower(), F.lit(f.column)) for f in spec.fields]
     error = _one_of([(target == f.name.lower(), cell_error(F.col("value"), f, as_of_year, editing=True)) for f in spec.fields])
-    edits = edits.groupBy(*keys, "column").agg(F.max("value").alias("value"))
+    rank = F.struct(F.col(order) if order else F.lit(0).alias("_at"), "value", "column")
+    named = cut(edits.select(*keys, "column", "value", _one_of(known).alias("stored"), rank.alias("_rank")).distinct())
+    cell = [*keys, F.coalesce("stored", "column").alias("_cell")]
+    last = named.groupBy(*cell).agg(F.max("_rank").alias("_last"))
+    edits = last.select(*keys, F.col("_last.column").alias("column"), F.col("_last.value").alias("value"))
+    earlier = lookup_join(named.select("*", cell[-1]), cut(last), [*keys, "_cell"]).filter(F.col("_rank") != F.col("_last"))
+    earlier = earlier.select(*keys, "column", "value", F.lit("superseded").alias("status"), F.lit("replaced by a later edit of the same cell").alias("reason"))
     checked = cut(edits).withColumn("stored", _one_of(known)).withColumn(
         "reason", F.coalesce(F.when(F.col("stored").isNull(), F.concat(F.lit("column not found: "), F.col("column"))), error)
     )
@@ -96,13 +103,13 @@ def check_edits(table: DataFrame, edits: DataFrame, spec: TableSpec, as_of_year:
     clash = colliding_edits(moving, table, old, new, keys).select(valid.columns).unionByName(contested).distinct()
     clash = clash.withColumn("status", F.lit("duplicate_key")).withColumn("reason", F.lit("key already exists"))
     allowed = valid.join(clash.select(*keys, "column"), [*keys, "column"], "left_anti")
-    return allowed, invalid.unionByName(clash).select(*keys, "column", "value", "status", "reason")
+    return allowed, invalid.unionByName(clash).select(*keys, "column", "value", "status", "reason").unionByName(earlier)
 
 
-def update_cells(table: DataFrame, edits: DataFrame, spec: TableSpec, as_of_year: int) -> EditOutcome:
+def update_cells(table: DataFrame, edits: DataFrame, spec: TableSpec, as_of_year: int, order: str | None = None) -> EditOutcome:
     """Rows with the edits applied (blank text becomes NULL), the old and new values, and the rejected edits."""
     keys = spec.key_columns
-    allowed, rejected = check_edits(table, edits, spec, as_of_year)
+    allowed, rejected = check_edits(table, edits, spec, as_of_year, order)
     # One row per key, with at most as many edits as the table has columns.
     per_key = cut(allowed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("stored", "value"))).alias("_edits")))
     joined = lookup_join(table, per_key, keys, "left")
@@ -175,7 +182,8 @@ def bulk_edit(table: DataFrame, keys: DataFrame, column: str, value: str, spec:
 
 def rollback_preview(rows: DataFrame, uploads: DataFrame, ids: DataFrame) -> DataFrame:
     """Per requested upload: table, rows to delete, whether it can be rolled back, and why not."""
-    counts = rows.groupBy("upload_id").agg(F.count("*").alias("rows_to_delete"))
+    wanted = ids.select(F.col("id").alias("upload_id")).distinct()
+    counts = lookup_join(rows, cut(wanted), ["upload_id"], "left_semi").groupBy("upload_id").agg(F.count("*").alias("rows_to_delete"))
     asked = ids.distinct().join(uploads.select("id", F.col("name").alias("table_key"), "status"), "id", "left")
     asked = asked.join(counts.withColumnRenamed("upload_id", "id"), "id", "left")
     reason = F.when(F.col("table_key").isNull(), "upload not found").when(F.col("status") == "rolled_back", "upload already rolled back")

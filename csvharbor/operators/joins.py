@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,6 @@ from csvharbor.session import cut
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 512 * 1024 * 1024
-HOT_KEYS = 100_000
 HOT_ROWS = 5_000_000
 
 
@@ -42,17 +41,23 @@ def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
 def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, hot_rows: int | None = None) -> DataFrame:
     """Join of many rows to unique keys that never sends a frequent key's rows to one task.
 
-    Keys with more than ``hot_rows`` rows (at most ``HOT_KEYS`` of them) meet their right rows, one per
-    key, by broadcast where they lie; every other key joins by shuffle.
+    Keys with more than ``hot_rows`` rows meet their right rows, one per key, by broadcast where they lie, if these are
+    small; every other key joins by shuffle. Rows with a NULL in their key match nothing and are kept out of the shuffle.
     """
     on, hot_rows = list(on), HOT_ROWS if hot_rows is None else hot_rows
-    counts = left.dropna(subset=on).groupBy(on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
-    hot = cut(counts.orderBy(F.desc("_rows")).limit(HOT_KEYS).select(on))
+    solid = reduce(and_, [F.col(c).isNotNull() for c in on])
+    keyed = left.filter(solid)
+    counts = keyed.groupBy(on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
+    hot = cut(counts.select(on))
     if hot.isEmpty():
-        return left.join(right, on, how)
-    hot = F.broadcast(hot)
-    frequent = left.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on, how)
-    return frequent.unionByName(left.join(hot, on, "left_anti").join(right, on, how))
+        joined = keyed.join(right, on, how)
+    else:
+        matches = cut(right.join(small_side(hot), on, "left_semi"))
+        frequent = keyed.join(small_side(hot), on, "left_semi").join(small_side(matches), on, how)
+        joined = frequent.unionByName(keyed.join(small_side(hot), on, "left_anti").join(right, on, how))
+    if how not in ("left", "left_outer", "left_anti"):
+        return joined
+    return joined.unionByName(left.filter(~solid), allowMissingColumns=True)
 
 
 def lookup_join(
@@ -83,19 +88,24 @@ def existing_keys(requested: DataFrame, table: DataFrame, keys: Sequence[str]) -
     return wanted.join(distinct_keys(table, keys), list(keys), "left_semi")
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str], order: str = "line_number") -> DataFrame:
-    """Keys seen more than once: rows, first line, last line, occurrences after the first."""
-    counted = df.dropna(subset=list(keys)).groupBy(*keys).agg(
-        F.count("*").alias("n_rows"), F.min(order).alias("first_line"), F.max(order).alias("last_line")
-    )
-    return counted.filter("n_rows > 1").withColumn("extra", F.col("n_rows") - 1)
+def duplicate_keys(df: DataFrame, keys: Sequence[str], order: str = "line_number", file: str | None = None) -> DataFrame:
+    """Keys seen more than once: rows, first line, last line, occurrences after the first.
+
+    With ``file``, lines of several files are in order of file and line, and the first and last file are told too.
+    """
+    place = F.struct(*([F.col(file).alias("file")] if file else []), F.col(order).alias("line"))
+    counted = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("n_rows"), F.min(place).alias("first"), F.max(place).alias("last"))
+    shown = [F.col(f"{end}.{part}").alias(f"{end}_{part}") for part in (["file"] if file else []) + ["line"] for end in ("first", "last")]
+    return counted.filter("n_rows > 1").select(*keys, "n_rows", *shown, (F.col("n_rows") - 1).alias("extra"))
 
 
-def duplicate_lines(df: DataFrame, keys: Sequence[str], order: str = "line_number") -> DataFrame:
+def duplicate_lines(df: DataFrame, keys: Sequence[str], order: str = "line_number", file: str | None = None) -> DataFrame:
     """Every line of every repeated key, one row each, so that no key gathers its lines in one place."""
-    repeated = cut(duplicate_keys(df, keys, order).select(*keys, "n_rows", "first_line"))
-    lines = lookup_join(df.select(*keys, order), repeated, keys, "inner")
-    return lines.withColumn("is_first", F.col(order) == F.col("first_line"))
+    first = ["first_line", *(["first_file"] if file else [])]
+    repeated = cut(duplicate_keys(df, keys, order, file).select(*keys, "n_rows", *first))
+    lines = lookup_join(df.select(*keys, *([file] if file else []), order), repeated, keys, "inner")
+    is_first = F.col(order) == F.col("first_line")
+    return lines.withColumn("is_first", is_first & (F.col(file) == F.col("first_file")) if file else is_first)
 
 
 def colliding_edits(edits: DataFrame, table: DataFrame, old: Sequence[str], new: Sequence[str], keys: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from csvharbor.functions import messages
-from csvharbor.functions.cells import convert, normalized
+from csvharbor.functions.cells import convert, normalized, number_too_long
 from csvharbor.functions.formats import escaped_text
 from csvharbor.operators.joins import existing_keys, lookup_join
 from csvharbor.session import cut
@@ -16,11 +16,13 @@ from csvharbor.specs import FieldSpec, FieldType
 
 Cells = Mapping[str, Column]
 
+# Messages for texts that do not fit their type.
 CELL_MESSAGES = {
     FieldType.NUMERIC: "invalid number format",
     FieldType.DATE: "invalid date format (use YYYY-MM-DD or similar)",
     FieldType.BOOL: "must be yes/no, true/false, or 1/0",
 }
+TOO_LONG = "number out of range"
 EDIT_DATE_MESSAGE = "invalid date format (use YYYY-MM-DD)"
 
 
@@ -38,7 +40,8 @@ def cell_error(value: Column, spec: FieldSpec, as_of_year: int, editing: bool =
     if spec.type not in CELL_MESSAGES:
         return none
     message = EDIT_DATE_MESSAGE if editing and spec.type is FieldType.DATE else CELL_MESSAGES[spec.type]
-    return F.when((value != "") & convert(value, spec, as_of_year).isNull(), message)
+    error = F.when((value != "") & convert(value, spec, as_of_year).isNull(), message)
+    return F.when(number_too_long(value), TOO_LONG).otherwise(error) if spec.type is FieldType.NUMERIC else error
 
 
 def _type_mismatch(value: Column, spec: FieldSpec, as_of_year: int, typed: Column | None) -> Column:
@@ -81,6 +84,9 @@ def field_reason(cell: Column, spec: FieldSpec, as_of_year: int, strict: bool =
     if spec.required or strict:
         text = F.concat(F.lit(f"invalid {spec.type.value} for "), quoted, F.lit(": "), escaped_text(value))
         reason = F.when((value != "") & _type_mismatch(value, spec, as_of_year, typed), text)
+    if spec.type is FieldType.NUMERIC:  # whatever the settings, a number is stored whole or its row is refused
+        lost = F.concat(F.lit(TOO_LONG + " for "), quoted, F.lit(": "), escaped_text(value))
+        reason = F.when(number_too_long(value), lost).otherwise(reason)
     if spec.required and not spec.allow_empty:
         reason = F.when(cell == "", F.concat(F.lit("empty required field "), quoted)).otherwise(reason)
     if spec.required:

@@ -6,6 +6,7 @@ import datetime as dt
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,10 @@ def incoming(
     wanted = ", ".join(spec.names)
     rejected = found.files.join(located, "file", "left_anti")
     rejected = rejected.select("file", F.lit(f"header not found (expected: {wanted})").alias("error"))
+    plain = F.replace("file", F.lit(":///"), F.lit(":/"))  # a listing and a read may write the empty host differently
+    given = records.given_files(spark, paths, **options).withColumn("plain", plain)
+    given = given.join(found.files.select(plain.alias("plain")), "plain", "left_anti")
+    rejected = rejected.unionByName(given.select("file", F.lit("empty file").alias("error")))
     data = lookup_join(found.records, located.select("file", "header_no", "positions"), ["file"], rows=MAX_FILES_BROADCAST)
     data = data.filter(F.col("record_no") > F.col("header_no"))
     raw = F.col("raw")
@@ -182,9 +187,14 @@ def rollback(store: Store, ids: DataFrame, batch: str, as_of: dt.datetime) -> Da
     asked = ids.distinct().join(store.uploads(), "id", "left")
     reason = F.when(F.col("name").isNull(), "upload not found").when(F.col("status") == "rolled_back", "upload already rolled back")
     asked = cut(asked.withColumn("reason", reason))
+    # What is there now: rows that were deleted since the load are not deleted again.
+    wanted = asked.select(F.col("id").alias("upload_id"))
+    stored = [lookup_join(store.rows(t.key).select("upload_id"), wanted, ["upload_id"], "left_semi") for t in store.registry.all()]
+    counts = reduce(DataFrame.unionByName, stored).groupBy(F.col("upload_id").alias("id")).agg(F.count("*").alias("rows_deleted"))
+    asked = cut(asked.join(counts, "id", "left").withColumn("rows_deleted", F.when(F.col("name").isNotNull(), F.coalesce("rows_deleted", F.lit(0)))))
     undone = asked.filter("reason is null").withColumn("status", F.lit("rolled_back")).withColumn("seq", F.col("seq") + 1)
-    entries = undone.select("id", F.col("name").alias("table_key"), F.col("rows_inserted").alias("rows_deleted"))
-    store.write("uploads", batch, undone.drop("reason"))
+    entries = undone.select("id", F.col("name").alias("table_key"), "rows_deleted")
+    store.write("uploads", batch, undone.drop("reason", "rows_deleted"))
     store.write("audit_log", batch, audit.rollback_entries(entries, at))
     store.commit([("uploads", batch, 0), ("audit_log", batch, 0)])
-    return asked.select("id", F.col("name").alias("table_key"), F.col("rows_inserted").alias("rows_deleted"), "reason")
+    return asked.select("id", F.col("name").alias("table_key"), "rows_deleted", "reason")

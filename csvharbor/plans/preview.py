@@ -105,7 +105,7 @@ class Preview:
         """The first few of each list, for display; the lists themselves are whole."""
         lists = {"new": self.new, "update": self.updates, "error": self.errors}
         shown = {name: df.orderBy("file", "line_number").limit(SAMPLES[name]) for name, df in lists.items()}
-        shown["duplicate"] = self.duplicates.orderBy("first_line").limit(SAMPLES["duplicate"])
+        shown["duplicate"] = self.duplicates.orderBy("first_file", "first_line").limit(SAMPLES["duplicate"])
         return shown
 
 
@@ -141,6 +141,6 @@ def preview(data: Incoming, existing: DataFrame, as_of_year: int, strict: bool =
         of["new"],
         diffs(of["update"], existing, spec, compare),
         of["error"],
-        duplicate_keys(keyed, ["row_key"]),
-        duplicate_lines(keyed, ["row_key"]),
+        duplicate_keys(keyed, ["row_key"], file="file"),
+        duplicate_lines(keyed, ["row_key"], file="file"),
     )

@@ -90,6 +90,12 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], replacement: str
     )
 
 
+def given_files(spark: SparkSession, paths: str | Sequence[str], **options: str) -> DataFrame:
+    """Every file that the paths name, also those without a byte, from the listing that the driver holds for any read."""
+    names = spark.read.options(**options).text(paths).inputFiles()
+    return spark.createDataFrame([(name,) for name in names], "file string")
+
+
 def _after(line: Column) -> tuple[Column, Column]:
     """Quote state (1 = inside) after the line, had it begun outside and inside."""
     quote = line.contains('"')
@@ -135,10 +141,7 @@ def _split_summary(lines: DataFrame, candidate: Column) -> DataFrame:
 def _plain_records(lines: DataFrame, splits: DataFrame) -> DataFrame:
     offsets = splits.select(*SPLIT, "base", "first", "spans")
     joined = lines.join(small_side(offsets, MAX_BROADCAST_SPLITS), SPLIT, "left")
-    # Splits must fall as in the first pass. If they do not, fail rather than misnumber: the check sits in
-    # the record number, because a filter on it would let the optimizer turn the join into an inner one.
-    moved = F.raise_error(F.lit("input files changed between passes")).cast("long")
-    number = F.when(F.col("base").isNull(), moved).otherwise(F.col("first") + F.col("at") - F.col("base") + 1)
+    number = F.col("first") + F.col("at") - F.col("base") + 1
     plain = joined.filter(F.coalesce("spans", F.lit(0)) == 0)
     return plain.select("file", number.alias("record_no"), F.col("line").alias("raw"))
 
@@ -197,7 +200,8 @@ def scan(
 ) -> Scan:
     """Records of all files; with ``columns`` the header is looked for, without them the first record is it."""
     lines = read_lines(spark, paths, replacement, **options)
-    numbered = lines.filter("line != ''").withColumn("at", F.monotonically_increasing_id())
+    # The lines are written down with their places, so that later steps do not hang on how the files are split again.
+    numbered = cut(lines.filter("line != ''").withColumn("at", F.monotonically_increasing_id()))
     line = F.col("line")
     is_header: Callable[[Column], Column] = lambda raw: F.lit(True)
     if columns is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 from collections.abc import Callable
 
@@ -43,13 +44,18 @@ def start_load(
     on_batch: Callable[[int, LoadResult], None] | None = None,
     **options,
 ) -> StreamingQuery:
-    """Load whatever has arrived, then stop. The batch id comes from the micro-batch, so a retry loads nothing twice."""
+    """Load whatever has arrived, then stop.
+
+    The batch id comes from the checkpoint and the files of the micro-batch: a retry, which has the same files, loads
+    nothing twice, and files of another folder or stream never meet an id that is taken.
+    """
 
     def load_batch(paths: DataFrame, number: int) -> None:
         # At most max_files short paths; the files themselves are read by the executors.
         names = [r.path for r in paths.distinct().collect()]
         if names:
-            result = load(store, spec, names, f"stream-{number}", as_of(), **options)
+            identity = hashlib.sha256("\n".join([checkpoint, *sorted(names)]).encode()).hexdigest()[:32]
+            result = load(store, spec, names, f"stream-{identity}", as_of(), **options)
             if on_batch:
                 on_batch(number, result)
 

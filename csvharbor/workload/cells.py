@@ -36,15 +36,19 @@ def parse_text(spark, sf):
 
 
 @query("""
-    SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 1 THEN -o_totalprice WHEN o_orderkey % 7 < 6 THEN o_totalprice END AS parsed FROM orders""")
+    SELECT o_orderkey, CASE WHEN o_orderkey % 12 IN (1, 7) THEN -o_totalprice WHEN o_orderkey % 12 <> 6 AND o_orderkey % 12 < 10 THEN o_totalprice END AS parsed,
+           o_orderkey % 12 >= 10 AS too_long FROM orders""")
 def parse_numeric(spark, sf):
     price = F.col("o_totalprice")
     commas, plain = F.format_number(price, 2), price.cast("decimal(18,2)").cast("string")
     text = pick(
         key(), F.concat(F.lit("$"), commas), F.concat(F.lit("($ "), commas, F.lit(")")), F.concat(F.lit(" +"), plain, F.lit(" ")),
         F.concat(F.lit("€"), commas), plain, F.concat(F.lit("£"), plain, F.lit("000")), F.concat(plain, F.lit("e1")),
+        F.concat(F.lit("-$"), plain), F.concat(plain, F.lit("$")), F.concat(F.lit("+$"), plain),
+        F.concat(F.lit("91234567890123456789"), plain), F.concat(plain, F.lit("0000000003")),
     )
-    return table(spark, sf, "orders").select("o_orderkey", double(cells.to_numeric(text)).alias("parsed"))
+    parsed = F.when(~cells.number_too_long(text), cells.to_numeric(text))
+    return table(spark, sf, "orders").select("o_orderkey", double(parsed).alias("parsed"), cells.number_too_long(text).alias("too_long"))
 
 
 DATE_FORMATS = ("M/d/yyyy", "MM-dd-yyyy", "yyyy-MM-dd", "MMM d, yyyy", "yyyyMMdd", "M.d.yy", "d MMM yyyy", "yyyy/MM/dd", "M/dd/yy")
@@ -81,7 +85,7 @@ def zero_to_null(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", cells.zero_to_null((F.col("o_custkey") % 4).cast("int")).alias("n"))
 
 
-STATES = [e.strip().rsplit(" ", 1) for e in cells.US_STATES.strip().split(",")]
+STATES = list(cells.US_STATES.items())
 
 
 @query(f"""
@@ -238,9 +242,9 @@ def severity_counts(spark, sf):
     return table(spark, sf, "events").groupBy(messages.severity(action).alias("severity")).agg(F.count("*").alias("n"))
 
 
-SAMPLE_ERRORS = [f"ERROR: {p[0]} on row" for p in messages.PATTERNS] + ["something odd on row"]
+SAMPLE_ERRORS = [f"ERROR: {p[0]} on row" for p in messages.ERROR_PATTERNS] + ["something odd on row"]
 REASON_SQL = f"upper(list_extract({SAMPLE_ERRORS}, CAST(event_id % {len(SAMPLE_ERRORS)} + 1 AS INTEGER))) || ' ' || CAST(event_id AS VARCHAR)"
-CODE_SQL = "CASE " + " ".join(f"WHEN contains(lower(reason), '{p[0]}') THEN '{p[1]}'" for p in messages.PATTERNS) + " ELSE 'ERR000' END"
+CODE_SQL = "CASE " + " ".join(f"WHEN contains(lower(reason), '{p[0]}') THEN '{p[1]}'" for p in messages.ERROR_PATTERNS) + " ELSE 'ERR000' END"
 
 
 def reasons(spark, sf):
@@ -253,7 +257,7 @@ def error_codes(spark, sf):
     return tally_by_code(reasons(spark, sf))
 
 
-_TEXT_SQL = "CASE " + " ".join(f"WHEN contains(lower(reason), '{p[0]}') THEN '{p[2]} (Code: {p[1]}). {p[3]}'" for p in messages.PATTERNS)
+_TEXT_SQL = "CASE " + " ".join(f"WHEN contains(lower(reason), '{p[0]}') THEN '{p[2]} (Code: {p[1]}). {p[3]}'" for p in messages.ERROR_PATTERNS)
 _TEXT_SQL += " ELSE 'An unexpected error occurred (Code: ERR000). Please try again or contact support' END"
 
 

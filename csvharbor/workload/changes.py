@@ -53,14 +53,15 @@ def delete_keys_composite(spark, sf):
 
 
 def edits(spark, sf):
-    """New balances, some unreadable; cleared segments; unknown columns."""
+    """New balances, some unreadable, each after an older one under another spelling; cleared segments; unknown columns."""
     c = table(spark, sf, "customer")
     key, rest = F.col("c_custkey"), F.col("c_custkey") % 4
     balance = F.when(key % 16 == 0, "lots").otherwise(F.concat(F.lit("$"), key.cast("string"), F.lit(".25")))
     return (
-        c.filter(rest == 0).select("c_custkey", F.lit("C_AcctBal").alias("column"), balance.alias("value"))
-        .unionByName(c.filter(key % 6 == 0).select("c_custkey", F.lit("c_mktsegment").alias("column"), F.lit("").alias("value")))
-        .unionByName(c.filter(rest == 3).select("c_custkey", F.lit("nothing").alias("column"), F.lit("x").alias("value")))
+        c.filter(rest == 0).select("c_custkey", F.lit("C_AcctBal").alias("column"), balance.alias("value"), F.lit(2).alias("at"))
+        .unionByName(c.filter(rest == 0).select("c_custkey", F.lit("c_acctbal").alias("column"), F.lit("999999").alias("value"), F.lit(1).alias("at")))
+        .unionByName(c.filter(key % 6 == 0).select("c_custkey", F.lit("c_mktsegment").alias("column"), F.lit("").alias("value"), F.lit(1).alias("at")))
+        .unionByName(c.filter(rest == 3).select("c_custkey", F.lit("nothing").alias("column"), F.lit("x").alias("value"), F.lit(1).alias("at")))
     )
 
 
@@ -72,7 +73,7 @@ GOOD_EDIT = "c_custkey % 4 = 0 AND c_custkey % 16 <> 0"
            CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment END AS c_mktsegment
     FROM customer""")
 def update_cell(spark, sf):
-    out = changes.update_cells(table(spark, sf, "customer"), edits(spark, sf), CUSTOMER, AS_OF_YEAR)
+    out = changes.update_cells(table(spark, sf, "customer"), edits(spark, sf), CUSTOMER, AS_OF_YEAR, "at")
     return out.rows.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
 
 
@@ -83,15 +84,16 @@ def update_cell(spark, sf):
     FROM customer WHERE {GOOD_EDIT}
     UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'c_mktsegment', c_mktsegment, NULL, 'cell_edit', 'medium' FROM customer WHERE c_custkey % 6 = 0""")
 def update_cell_audit(spark, sf):
-    out = changes.update_cells(table(spark, sf, "customer"), edits(spark, sf), CUSTOMER, AS_OF_YEAR)
+    out = changes.update_cells(table(spark, sf, "customer"), edits(spark, sf), CUSTOMER, AS_OF_YEAR, "at")
     return audit.edit_entries(out.changes, at()).select("row_key", "column_name", "old_value", "new_value", "action", "severity")
 
 
 @query("""
     SELECT c_custkey, 'C_AcctBal' AS "column", 'invalid' AS status, 'invalid number format' AS reason FROM customer WHERE c_custkey % 16 = 0
+    UNION ALL SELECT c_custkey, 'c_acctbal', 'superseded', 'replaced by a later edit of the same cell' FROM customer WHERE c_custkey % 4 = 0
     UNION ALL SELECT c_custkey, 'nothing', 'invalid', 'column not found: nothing' FROM customer WHERE c_custkey % 4 = 3""")
 def rejected_edits(spark, sf):
-    out = changes.update_cells(table(spark, sf, "customer"), edits(spark, sf), CUSTOMER, AS_OF_YEAR)
+    out = changes.update_cells(table(spark, sf, "customer"), edits(spark, sf), CUSTOMER, AS_OF_YEAR, "at")
     return out.rejected.select("c_custkey", "column", "status", "reason")
 
 
@@ -129,9 +131,11 @@ def bulk_edit_unmatched(spark, sf):
     return bulk(spark, sf).unmatched
 
 
-@query("SELECT * FROM orders WHERE false")
+@query("SELECT 'table_reset' AS action, 'orders' AS table_key, CAST(count(*) AS INTEGER) AS rows_affected, 0 AS rows_left FROM orders")
 def reset_table(spark, sf):
-    return changes.reset_table(table(spark, sf, "orders"), "orders").rows
+    change = changes.reset_table(table(spark, sf, "orders"), "orders")
+    left = change.rows.agg(F.count("*").cast("int").alias("rows_left"))
+    return audit.reset_entries(change.changes, at()).select("action", "table_key", "rows_affected").join(left)
 
 
 @query(" UNION ALL ".join(f"SELECT 'table_reset' AS action, 'critical' AS severity, '{t}' AS table_key, CAST(count(*) AS INTEGER) AS rows_affected FROM {t}" for t in TABLES))

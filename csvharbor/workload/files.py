@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from csvharbor.operators import audit, exports
 from csvharbor.operators.filters import Filter
+from csvharbor.operators.joins import small_side
 from csvharbor.plans import ingest, preview, retention
 from csvharbor.session import scratch
 from csvharbor.sources import records
@@ -32,7 +33,7 @@ def write_documents(spark, sf) -> str:
 def csv_roundtrip(spark, sf):
     """Whole texts, line breaks, quotes and commas included, written as CSV and scanned back."""
     found = records.scan(spark, write_documents(spark, sf), DOCUMENT, pathGlobFilter="*.csv")
-    rows = found.records.join(F.broadcast(found.headers), "file").filter("record_no > header_no")
+    rows = found.records.join(small_side(found.headers), "file").filter("record_no > header_no")
     cells = rows.select(records.tokenize(F.col("raw")).alias("t"))
     cell = [F.get("t", F.lit(i)) for i in range(len(DOCUMENT))]
     return cells.select(
@@ -41,8 +42,8 @@ def csv_roundtrip(spark, sf):
     )
 
 
-def write_forms(spark, sf) -> str:
-    """Orders as messy text, broken at the places the validation queries use."""
+def write_forms(spark, sf, part=None) -> str:
+    """Orders, or a part of them, as messy text, broken at the places the validation queries use."""
     key = F.col("o_orderkey")
     good = {
         "order": F.format_string('="%d"', key),
@@ -53,7 +54,8 @@ def write_forms(spark, sf) -> str:
     }
     cells = [F.when(key % BROKEN[n] == 0, WRONG_TEXT[n]).otherwise(c).alias(n) for n, c in good.items()]
     path = scratch(spark, "forms")
-    exports.write_csv(table(spark, sf, "orders").select(*cells), path)
+    orders = table(spark, sf, "orders")
+    exports.write_csv((orders if part is None else orders.filter(part)).select(*cells), path)
     return path
 
 
@@ -89,10 +91,11 @@ def load_job(spark, sf):
 @query(f"""
     SELECT status, count(*) AS rows_inserted, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS total FROM ({LOADED_SQL}) GROUP BY status""")
 def stream_ingest(spark, sf):
-    """The same files arriving in a drop directory, a few per micro-batch."""
+    """The same files arriving in two drop directories, each with a checkpoint of its own, a few per micro-batch."""
     store = forms_store(spark)
-    started = drop.start_load(store, FORM, write_forms(spark, sf), scratch(spark, "progress"), lambda: AS_OF, max_files=4)
-    started.awaitTermination()
+    for part in (F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 2 == 1):
+        started = drop.start_load(store, FORM, write_forms(spark, sf, part), scratch(spark, "progress"), lambda: AS_OF, max_files=4)
+        started.awaitTermination()
     totals = store.rows(FORM.key).groupBy("status").agg(F.count("*").alias("rows_inserted"), F.sum("price").alias("total"))
     return totals.withColumn("total", double("total"))
 
@@ -134,7 +137,7 @@ def export_table(spark, sf):
     path = scratch(spark, "export")
     exports.write_csv(exports.export_view(table(spark, sf, "orders"), ORDERS, "low", chosen), path)
     found = records.scan(spark, path, ORDERS.names, pathGlobFilter="*.csv")
-    rows = found.records.join(F.broadcast(found.headers), "file").filter("record_no > header_no").select(records.tokenize(F.col("raw")).alias("t"))
+    rows = found.records.join(small_side(found.headers), "file").filter("record_no > header_no").select(records.tokenize(F.col("raw")).alias("t"))
     wanted = ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     return rows.select(*[F.get("t", F.lit(ORDERS.names.index(c))).alias(c) for c in wanted])
 
