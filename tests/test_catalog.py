@@ -124,7 +124,7 @@ def test_error_codes(spark):
     got = {r.t: (r.c, r.s, r.k) for r in df.select("t", messages.error_code(F.col("t")).alias("c"), messages.error_text(F.col("t")).alias("s"), messages.is_known_error(F.col("t")).alias("k")).collect()}
     assert {t: v[0] for t, v in got.items() if t} == cases and got[None] == (None, "", False)
     assert got["rate limit exceeded"][1] == "Too many requests (Code: RATE001). Please wait a moment before trying again"
-    assert not got["some random internal error"][2] and len(messages.PATTERNS) == 28
+    assert not got["some random internal error"][2] and len(messages.ERROR_PATTERNS) == 28
 
 
 def test_cell_messages(spark):
