@@ -2,7 +2,7 @@
 
 Words score above zero and tags below, by weights counted on pages whose article is marked up as such; one linear scan
 finds the run with the largest sum. Elements that never hold an article's text (menus, forms, adverts, reader comments
-and the like) score as tags only, and their words are left out wherever they stand.
+and the like) are left out wherever they stand.
 """
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ BESIDE = frozenset(
     " paywall teaser".split()
 )
 HEADERS = frozenset(("header", "masthead"))
+# Tags that articles are made of; they are taken to be cheap until pages say otherwise.
+CONTENT = INLINE | frozenset("p br h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre hr figure figcaption picture table caption thead tbody tfoot tr td th section".split())
+LEFT_OUT = -0.2
+PRIOR = 5.0
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -46,10 +50,23 @@ class Weights:
     word: float = 1.0
     linked: float = 0.1
     tags: dict[str, float] = field(default_factory=dict)
-    tag: float = -2.0
     beside: frozenset[str] = frozenset()
     within: frozenset[str] = frozenset()
 
+    def of(self, item: Item) -> float:
+        """Words count unless they are left out; tags of what is left out cost nothing in an article and little elsewhere."""
+        if item.text is not None:
+            return 0.0 if item.out else (self.linked if item.linked else self.word) * len(item.text.split())
+        if item.out:
+            return 0.0 if item.inside else LEFT_OUT
+        return self.tags.get(item.name, _cost(item.name, 0, 0))
+
+
+def _cost(name: str, within: int, beside: int) -> float:
+    """From -0.1 for a tag that is always in an article to -8 for one that never is; ``PRIOR`` sightings are taken for granted."""
+    share = (within + PRIOR * (0.97 if name in CONTENT else 0.5)) / (within + beside + PRIOR)
+    return -(0.1 + 7.9 * (1 - share))
+
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """``(kind, name, rest)``: "text" with the raw text, or "open" and "close" with a tag's name and attributes."""
@@ -119,8 +136,9 @@ def read(page: str, weights: Weights) -> list[Item]:
         if kind == "close":
             place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
             if place >= 0:
+                out = stack[place][1]
                 close(place)
-            items.append(Item(name, None, block, False, bool(stack) and stack[-1][1], articles > 0))
+            items.append(Item(name, None, block, False, out, articles > 0))
             continue
         names: frozenset[str] = frozenset()
         if name in ("article", "main"):  # whatever was left open before it
@@ -150,22 +168,23 @@ def count(page: str) -> Counter | None:
             if not item.out:
                 seen["linked" if item.linked else "word", item.inside] += len(item.text.split())
         else:
-            seen[f"<{item.name}>", item.inside] += 1
+            if not item.out:
+                seen[f"<{item.name}>", item.inside] += 1
             for name in item.names:
                 seen[f".{name}", item.inside] += 1
     return seen
 
 
-def weigh(counts: Counter, pages: int) -> Weights:
-    """Tags cost from 0.1, if always in an article, to 8 if never; words gain from 0.05 to 1 the other way round.
+def weigh(counts: Counter) -> Weights:
+    """Tags cost more the oftener they stand beside articles; words gain the more the oftener they stand in them.
 
-    A class or id name counts as beside (or within) articles when it was seen there only, on 5 pages at least on average.
+    A class or id name counts as beside (or within) articles when it was seen there only, five times at least.
     """
-    share = lambda key: (counts[key, True] + 0.5) / (counts[key, True] + counts[key, False] + 1)
+    share = lambda key: (counts[key, True] + 1) / (counts[key, True] + counts[key, False] + 1)
     names = {key for key, _ in counts}
-    tags = {key[1:-1]: -(0.1 + 7.9 * (1 - share(key))) for key in names if key[0] == "<"}
+    tags = {key[1:-1]: _cost(key[1:-1], counts[key, True], counts[key, False]) for key in names if key[0] == "<"}
     only = lambda here: frozenset(k[1:] for k in names if k[0] == "." and counts[k, here] >= 5 and not counts[k, not here])
-    return Weights(max(0.05, share("word")), max(0.05, share("linked") - 0.5), tags, -2.0, only(False), only(True)) if pages else Weights()
+    return Weights(max(0.05, share("word")), max(0.05, share("linked") - 0.5), tags, only(False), only(True))
 
 
 def train(pages: DataFrame, html: str = "html", key: str = "page_id", sample_pages: int = SAMPLE_PAGES) -> Weights:
@@ -182,7 +201,7 @@ def train(pages: DataFrame, html: str = "html", key: str = "page_id", sample_pag
     marked = pages.where(F.contains(F.lower(html), F.lit("<article"))).select(html, F.xxhash64(key).alias("draw"), key)
     sample = marked.orderBy("draw", key, html).limit(sample_pages).select(html)
     rows = sample.mapInArrow(counted, "k string, i boolean, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).collect()
-    return weigh(Counter({(r.k, r.i): r.n for r in rows}), len(rows))
+    return weigh(Counter({(r.k, r.i): r.n for r in rows}))
 
 
 def main_text(page: str, weights: Weights) -> str:
@@ -190,10 +209,7 @@ def main_text(page: str, weights: Weights) -> str:
     items = read(page, weights)
     best, low, high, total, start = 0.0, 0, 0, 0.0, 0
     for k, item in enumerate(items):
-        if item.text is None:
-            total += weights.tags.get(item.name, weights.tag)
-        elif not item.out:
-            total += (weights.linked if item.linked else weights.word) * len(item.text.split())
+        total += weights.of(item)
         if total <= 0:
             total, start = 0.0, k + 1
         elif total > best:
