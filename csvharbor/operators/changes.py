@@ -108,8 +108,13 @@ def check_edits(table: DataFrame, edits: DataFrame, spec: TableSpec, as_of_year:
 
 def update_cells(table: DataFrame, edits: DataFrame, spec: TableSpec, as_of_year: int, order: str | None = None) -> EditOutcome:
     """Rows with the edits applied (blank text becomes NULL), the old and new values, and the rejected edits."""
-    keys = spec.key_columns
     allowed, rejected = check_edits(table, edits, spec, as_of_year, order)
+    return apply_edits(table, allowed, rejected, spec, as_of_year)
+
+
+def apply_edits(table: DataFrame, allowed: DataFrame, rejected: DataFrame, spec: TableSpec, as_of_year: int) -> EditOutcome:
+    """Edits that ``check_edits`` has let through, applied to the table or to a part of it."""
+    keys = spec.key_columns
     # One row per key, with at most as many edits as the table has columns.
     per_key = cut(allowed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("stored", "value"))).alias("_edits")))
     joined = lookup_join(table, per_key, keys, "left")

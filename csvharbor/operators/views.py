@@ -13,7 +13,7 @@ from csvharbor.session import scratch
 from csvharbor.specs import FieldType, TableSpec
 
 PAGE_SIZE = 25
-DEEP_OFFSET = 100_000
+DEEP_OFFSET = 5_000
 MAX_SORTS = 2
 Sort = tuple[str, str]
 

@@ -32,6 +32,13 @@ LOAD_COLUMNS = [
     T.StructField("reason", T.StringType()),
     T.StructField("row_data", T.ArrayType(T.StringType())),
 ]
+
+
+def failed_key(table: str) -> str:
+    """Under this name the commit log counts generations of a table's rejected rows."""
+    return f"{table}/failed"
+
+
 LOG_SCHEMAS = {"uploads": UPLOAD_SCHEMA, "audit_log": AUDIT_SCHEMA, "audit_log_archive": ARCHIVE_SCHEMA}
 
 
@@ -102,11 +109,17 @@ class Store:
     def rows(self, table: str) -> DataFrame:
         return self.placed_rows(table).drop("batch", "gen")
 
+    def placed_failed(self, table: str) -> DataFrame:
+        """Rejected rows with their batch and generation: the first, or a later one that a deletion of theirs has made."""
+        commits = self.commits()
+        loaded = commits.filter(F.col("table_key") == table).select("batch")
+        later = commits.filter(F.col("table_key") == failed_key(table)).select("batch", "gen")
+        places = loaded.join(later, "batch", "left").select("batch", F.coalesce("gen", F.lit(0)).alias("gen"))
+        rejected = self._files(table).filter("outcome = 'failed'")
+        return rejected.join(small_side(places), ["batch", "gen"], "left_semi")
+
     def failed(self, table: str) -> DataFrame:
-        """Rejected rows; they stay with the first generation of their batch."""
-        batches = self.commits().filter(F.col("table_key") == table).select("batch")
-        rejected = self._files(table).filter("gen = 0 and outcome = 'failed'")
-        return rejected.join(small_side(batches), "batch", "left_semi").select("upload_id", "line_number", "reason", "row_data")
+        return self.placed_failed(table).select("upload_id", "line_number", "reason", "row_data")
 
     def staged(self, table: str, batch: str) -> DataFrame:
         """What a batch holds, committed or not."""
@@ -122,12 +135,22 @@ class Store:
         change: Callable[[DataFrame], DataFrame],
         touched: DataFrame,
         committed: Iterable[tuple[str, str, int]] = (),
+        failed: bool = False,
     ) -> None:
-        """Next generation of the touched batches; ``committed`` names written batches to publish with it."""
+        """Next generation of the touched batches; ``committed`` names written batches to publish with it.
+
+        One writer at a time: if the generation that was read is no longer the current one, nothing is committed.
+        """
         partitions = ["batch", "gen"] if table in LOG_SCHEMAS else ["batch", "gen", "outcome"]
-        current = self.current(table) if table in LOG_SCHEMAS else self.placed_rows(table).withColumn("outcome", F.lit("accepted"))
+        if failed:
+            current = self.placed_failed(table)
+        else:
+            current = self.current(table) if table in LOG_SCHEMAS else self.placed_rows(table).withColumn("outcome", F.lit("accepted"))
         touched = cut(touched.select("batch").distinct())
-        places = self.commits().filter(F.col("table_key") == table).join(small_side(touched), "batch", "left_semi")
+        key = failed_key(table) if failed else table
+        generations = lambda: self.commits().filter(F.col("table_key") == key)
+        places = touched.join(generations().select("batch", "gen"), "batch", "left")
+        places = cut(places.select(F.lit(key).alias("table_key"), "batch", F.coalesce("gen", F.lit(0)).alias("gen")))
         mine = current.join(small_side(touched), "batch", "left_semi")
         changed = change(mine).withColumn("gen", F.col("gen") + 1)
         # Leftovers of an uncommitted try would double the rows: replace the partitions that are written.
@@ -137,6 +160,9 @@ class Store:
             .partitionBy(*partitions)
             .parquet(self.path(table))
         )
+        moved = generations().withColumnRenamed("gen", "now").join(places, ["table_key", "batch"]).filter("now <> gen")
+        if not moved.isEmpty():
+            raise RuntimeError(f"{table} was changed by another writer meanwhile")
         following = places.select("table_key", "batch", (F.col("gen") + 1).alias("gen"))
         named = self.spark.createDataFrame(list(committed), COMMIT_SCHEMA)
         self.commit(cut(following.unionByName(named)))
