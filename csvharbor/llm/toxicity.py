@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,21 +17,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 2500
+SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 20_000
 HASH_BITS = 18
 SIGNIFICANT = 24.0
 RATIO = 10.0
-FORMS_KEPT = 200_000
+FORMS_KEPT = 400_000
 CHARS_AT_ONCE = 1 << 20
+WORDS_AT_ONCE = 100_000
 _WORD = re.compile(r"\w+")
 _STRIDE = 64
 
 
 def features(word: str) -> list[str]:
-    """The whole form, and fronts and tails of three to six characters."""
+    """The whole form, fronts of three to five characters and a tail of four."""
     word = word.lower()
-    return [word, *("^" + word[:k] for k in (3, 4, 5, 6) if len(word) > k), *(word[-k:] + "$" for k in (3, 4, 5, 6) if len(word) > k)]
+    return [word, *("^" + word[:k] for k in (3, 4, 5) if len(word) > k), *([word[-4:] + "$"] if len(word) > 4 else [])]
 
 
 def places(word: str) -> list[int]:
@@ -120,26 +120,46 @@ def summed(toxic: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tags(docs: list[list[str]], labels: np.ndarray) -> dict[str, int]:
-    """1 for the word forms that stand out in toxic documents."""
-    seen = {w for words in docs for w in words}
-    made = {w: features(w) for w in seen}
-    inside, outside = Counter(), Counter()
-    for words, label in zip(docs, labels, strict=True):
-        (inside if label else outside).update({x for w in set(words) for x in made[w]})
-    toxic, clean = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
+@dataclass
+class _Forms:
+    """The word forms of a sample: those of each document by number, and each form's features as ``spot[heads[k]:heads[k + 1]]``."""
+
+    docs: list[np.ndarray]
+    heads: np.ndarray
+    spot: np.ndarray
+    owner: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> _Forms:
+        numbers: dict[str, int] = {}
+        docs = [np.array([numbers.setdefault(w, len(numbers)) for w in _WORD.findall(t)], np.int32) for t in texts]
+        lists = [places(w) for w in numbers]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        return cls(docs, np.concatenate([[0], np.cumsum(sizes)]), np.array([p for x in lists for p in x], np.int32), np.repeat(np.arange(len(lists), dtype=np.int32), sizes))
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, weights[self.spot], len(self.heads) - 1)
+
+    def marked(self, flags: np.ndarray) -> np.ndarray:
+        """Forms with a flagged feature."""
+        return np.bincount(self.owner, flags[self.spot], len(self.heads) - 1) > 0
+
+
+def _standing_out(forms: _Forms, chosen: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Flags of features that toxic documents have much more often than chance allows."""
+    seen = np.zeros((2, 1 << HASH_BITS))
+    for k in chosen:
+        own = np.unique(forms.docs[k])
+        seen[int(labels[k])][np.unique(np.concatenate([forms.spot[forms.heads[w] : forms.heads[w + 1]] for w in own]) if len(own) else [])] += 1
+    clean, toxic = (max(1, int((labels[chosen] == y).sum())) for y in (0, 1))
     chance = toxic / (toxic + clean)
-
-    def stands_out(x: str) -> bool:
-        a, b = inside[x], outside[x]
-        gain = 2 * (a * np.log(a / ((a + b) * chance)) + (b * np.log(b / ((a + b) * (1 - chance))) if b else 0)) if a else 0
-        return gain >= SIGNIFICANT and (a / toxic) >= RATIO * (b / clean)
-
-    marked = {x for x in inside if stands_out(x)}
-    return {w: int(any(x in marked for x in made[w])) for w in seen}
+    outside, inside = seen
+    both = np.maximum(inside + outside, 1)
+    gain = 2 * (inside * np.log(np.maximum(inside, 1) / (both * chance)) + outside * np.log(np.maximum(outside, 1) / (both * (1 - chance))))
+    return (gain >= SIGNIFICANT) & (inside > 0) & (inside / toxic >= RATIO * (outside / clean))
 
 
-def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 40) -> Model:
+def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 20) -> Model:
     """``share`` is the part of toxic documents among all labelled ones, which the sample may not keep.
 
     Three of four documents train the field by gradient steps over all their words; the rest sets the weights of the score.
@@ -148,34 +168,43 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 40) ->
     if not len(texts) or labels.min() == labels.max():
         model.final = np.array([np.log(max(share, 1e-3) / max(1 - share, 1e-3)), 0.0, 0.0, 0.0])
         return model
-    docs = [_WORD.findall(t) for t in texts]
-    forms = {w: k for k, w in enumerate(dict.fromkeys(w for words in docs for w in words))}
-    ids = [np.fromiter((forms[w] for w in words), np.int64, len(words)) for words in docs]
-    held = np.arange(len(docs)) % 4 == 3
-    train = [k for k in np.flatnonzero(~held) if len(docs[k])]
-    tags = _tags([docs[k] for k in np.flatnonzero(~held)], labels[~held])
-    lists = [places(w) for w in forms]
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    spot = np.concatenate([np.array(x) for x in lists]) if lists else np.empty(0, np.int64)
-    emitted = lambda: np.bincount(owner, model.weights[spot], len(lists))
+    forms = _Forms.of(texts)
+    ids = forms.docs
+    held = np.arange(len(ids)) % 4 == 3
+    train = [k for k in np.flatnonzero(~held) if len(ids[k])]
     if train:
-        word = np.concatenate([ids[k] for k in train])
-        heads = np.cumsum([0, *(len(ids[k]) for k in train)])[:-1]
-        tag_of = np.array([tags.get(w, 0) for w in forms])
-        y = tag_of[word] * np.repeat(labels[train], [len(ids[k]) for k in train])
-        later = np.ones(len(word), bool)
-        later[heads] = False
-        pair = np.stack([np.bincount(2 * np.concatenate([[0], y[:-1]])[later] + y[later], minlength=4)]).reshape(2, 2)
-        first = np.bincount(y[heads], minlength=2)
+        tag_of = forms.marked(_standing_out(forms, np.array(train), labels))
+        groups, size = [[]], 0
+        for k in train:  # whole documents, about WORDS_AT_ONCE words together
+            if size >= WORDS_AT_ONCE:
+                groups.append([])
+                size = 0
+            groups[-1].append(k)
+            size += len(ids[k])
+        parts, pair, first = [], np.zeros((2, 2)), np.zeros(2)
+        for group in groups:
+            word, lengths = np.concatenate([ids[k] for k in group]), [len(ids[k]) for k in group]
+            heads = np.cumsum([0, *lengths])[:-1]
+            y = tag_of[word] & np.repeat(labels[group] == 1, lengths)
+            later = np.ones(len(word), bool)
+            later[heads] = False
+            pair += np.bincount((2 * np.concatenate([[0], y[:-1]]) + y)[later], minlength=4).reshape(2, 2)
+            first += np.bincount(y[heads].astype(int), minlength=2)
+            parts.append((word, heads, y, later))
         squares = [np.zeros(len(model.weights)), np.zeros((2, 2)), np.zeros(2)]
         for _ in range(rounds):
-            toxic, joint = marginals(emitted()[word], heads, model, pairs=True)
-            by_form = np.bincount(word, toxic - y, len(lists))
-            slopes = [np.bincount(spot, by_form[owner], len(model.weights)) + 0.05 * model.weights, joint[later].sum(0) - pair, np.array([(1 - toxic[heads]).sum(), toxic[heads].sum()]) - first]
+            scores, by_form = forms.scores(model.weights), np.zeros(len(forms.heads) - 1)
+            turn, begin = -pair, -first
+            for word, heads, y, later in parts:
+                toxic, joint = marginals(scores[word], heads, model, pairs=True)
+                by_form += np.bincount(word, toxic - y, len(by_form))
+                turn = turn + joint[later].sum(0)
+                begin = begin + np.array([(1 - toxic[heads]).sum(), toxic[heads].sum()])
+            slopes = [np.bincount(forms.spot, by_form[forms.owner], len(model.weights)) + 0.05 * model.weights, turn, begin]
             for square, slope, part in zip(squares, slopes, (model.weights, model.turn, model.begin), strict=True):
                 square += slope**2
                 part -= (0.5 * slope / (np.sqrt(square) + 1e-6)).astype(part.dtype)
-    scores = emitted()
+    scores = forms.scores(model.weights)
     sums = np.vstack([summed(marginals(scores[ids[k]], np.array([0]), model)[0] if len(ids[k]) else np.empty(0), np.array([len(ids[k])])) for k in np.flatnonzero(held)])
     target, weight = labels[held].astype(float), np.zeros(4)
     if 0 < target.mean() < 1:
@@ -204,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         part = rows.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample_rows)
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") <= sample_chars).join(F.broadcast(chosen), "k")
-    found = sorted((tuple(r) for r in texts.orderBy(F.xxhash64("k"), "k", "t").limit(2 * sample_rows).collect()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
+    found = sorted((tuple(r) for r in texts.select("k", "t", "y").limit(2 * sample_rows).collect()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
     return fit([t for _, t, _ in found], np.array([y for *_, y in found]), total.get(1, 0) / sum(total.values()))
 
 
@@ -214,11 +243,12 @@ def tag(text: Column, model: Model) -> Column:
     A span is a run of words whose toxic marginal is one half or more, with the largest of them. Null texts are empty.
     """
     known: dict[str, float] = {}
+    weights: list[float] = []
 
     def emission(word: str) -> float:
         if len(known) > FORMS_KEPT:
             known.clear()
-        value = known[word] = float(model.weights[places(word)].sum())
+        value = known[word] = sum([weights[p] for p in places(word)])
         return value
 
     def spans(content: str, toxic: np.ndarray) -> list[dict]:
@@ -234,6 +264,8 @@ def tag(text: Column, model: Model) -> Column:
         return out
 
     def scored(texts: pa.Array) -> pa.Array:
+        if not weights:
+            weights.extend(model.weights.tolist())
         scores: list[float] = []
         found: list[list[dict]] = []
         at = 0
