@@ -30,7 +30,13 @@ def _in_enum(value: Column, spec: FieldSpec) -> Column:
     return F.lower(value).isin(*[v.lower() for v in spec.enum_values])
 
 
-def cell_error(value: Column, spec: FieldSpec, as_of_year: int, editing: bool = False) -> Column:
+def with_values(df: DataFrame, cells: Cells, fields: Sequence[FieldSpec], as_of_year: int) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows with every cell's converted value as a column of its own, worked out once, and these columns by field."""
+    made = {f"_value_{k}": convert(normalized(cells[f.name], f), f, as_of_year) for k, f in enumerate(fields)}
+    return df.withColumns(made), {f.name: F.col(f"_value_{k}") for k, f in enumerate(fields)}
+
+
+def cell_error(value: Column, spec: FieldSpec, as_of_year: int, editing: bool = False, typed: Column | None = None) -> Column:
     """Message for text that does not fit the field's type; blank text always fits."""
     none = F.lit(None).cast("string")
     if spec.type is FieldType.ENUM:
@@ -40,7 +46,7 @@ def cell_error(value: Column, spec: FieldSpec, as_of_year: int, editing: bool =
     if spec.type not in CELL_MESSAGES:
         return none
     message = EDIT_DATE_MESSAGE if editing and spec.type is FieldType.DATE else CELL_MESSAGES[spec.type]
-    error = F.when((value != "") & convert(value, spec, as_of_year).isNull(), message)
+    error = F.when((value != "") & (convert(value, spec, as_of_year) if typed is None else typed).isNull(), message)
     return F.when(number_too_long(value), TOO_LONG).otherwise(error) if spec.type is FieldType.NUMERIC else error
 
 
@@ -52,8 +58,11 @@ def _type_mismatch(value: Column, spec: FieldSpec, as_of_year: int, typed: Colum
     return (convert(value, spec, as_of_year) if typed is None else typed).isNull()
 
 
-def row_errors(cells: Cells, fields: Sequence[FieldSpec], as_of_year: int) -> Column:
-    """Every error of the row as (field, value, message); optional fields are checked too."""
+def row_errors(cells: Cells, fields: Sequence[FieldSpec], as_of_year: int, typed: Cells | None = None) -> Column:
+    """Every error of the row as (field, value, message), NULL for a field without one; optional fields are checked too.
+
+    The array is left as it is made, because that much runs as generated code; ``error_table`` drops the NULLs.
+    """
     kind = "struct<field:string,value:string,message:string>"
     errors = []
     for spec in fields:
@@ -63,14 +72,14 @@ def row_errors(cells: Cells, fields: Sequence[FieldSpec], as_of_year: int) -> Co
         def entry(shown: Column, message: Column, spec: FieldSpec = spec) -> Column:
             return F.struct(F.lit(spec.name).alias("field"), shown.alias("value"), message.alias("message")).cast(kind)
 
-        found = cell_error(value, spec, as_of_year)
+        found = cell_error(value, spec, as_of_year, typed=typed[spec.name] if typed else None)
         error = F.when(found.isNotNull(), entry(value, found))
         if spec.required and not spec.allow_empty:
             error = F.when(cell == "", entry(F.lit(""), F.lit("required field is empty"))).otherwise(error)
         if spec.required:
             error = F.when(cell.isNull(), entry(F.lit(""), F.lit("missing required column"))).otherwise(error)
         errors.append(error)
-    return F.array_compact(F.array(*errors))
+    return F.array(*errors)
 
 
 def field_reason(cell: Column, spec: FieldSpec, as_of_year: int, strict: bool = False, typed: Column | None = None) -> Column:
@@ -106,6 +115,11 @@ def all_reasons(cells: Cells, fields: Sequence[FieldSpec], as_of_year: int, stri
     return F.array_compact(F.array(*_reasons(cells, fields, as_of_year, strict, typed)))
 
 
+def reason_text(cells: Cells, fields: Sequence[FieldSpec], as_of_year: int, strict: bool = False, typed: Cells | None = None) -> Column:
+    """All reasons in one text, without the array in between."""
+    return F.concat_ws("; ", *_reasons(cells, fields, as_of_year, strict, typed))
+
+
 def width_reason(tokens: Column, expected: int) -> Column:
     got = F.size(tokens)
     return F.when(got < expected, F.format_string(f"expected {expected} columns, got %d", got))

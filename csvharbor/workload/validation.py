@@ -71,7 +71,8 @@ def when_sql(name: str) -> str:
     + f" UNION ALL SELECT {K}, 'status', '', 'missing required column' FROM orders WHERE {K} % 31 = 0"
 )
 def row_errors_all(spark, sf):
-    checked = forms(spark, sf).withColumn("errors", validate.row_errors(cells_of_form(), FORM.fields, AS_OF_YEAR))
+    rows, typed = validate.with_values(forms(spark, sf), cells_of_form(), FORM.fields, AS_OF_YEAR)
+    checked = rows.withColumn("errors", validate.row_errors(cells_of_form(), FORM.fields, AS_OF_YEAR, typed))
     return validate.error_table(checked, "errors", K)
 
 
@@ -82,7 +83,8 @@ FIRST_SQL = "CASE " + " ".join(
 
 @query(f"SELECT {K}, {FIRST_SQL} AS reason FROM orders")
 def first_error(spark, sf):
-    return forms(spark, sf).select(K, validate.first_reason(cells_of_form(), FORM.fields, AS_OF_YEAR).alias("reason"))
+    rows, typed = validate.with_values(forms(spark, sf), cells_of_form(), FORM.fields, AS_OF_YEAR)
+    return rows.select(K, validate.first_reason(cells_of_form(), FORM.fields, AS_OF_YEAR, typed=typed).alias("reason"))
 
 
 @query(f"""SELECT {K}, coalesce({FIRST_SQL}, CASE WHEN {when_sql('urgent')} THEN 'invalid bool for "urgent": "maybe"' END) AS reason FROM orders""")
@@ -97,7 +99,8 @@ ALL_SQL = "concat_ws('; ', " + ", ".join(
 
 @query(f"SELECT {K}, {ALL_SQL} AS reasons FROM orders")
 def preview_errors(spark, sf):
-    return forms(spark, sf).select(K, F.array_join(validate.all_reasons(cells_of_form(), FORM.fields, AS_OF_YEAR), "; ").alias("reasons"))
+    rows, typed = validate.with_values(forms(spark, sf), cells_of_form(), FORM.fields, AS_OF_YEAR)
+    return rows.select(K, validate.reason_text(cells_of_form(), FORM.fields, AS_OF_YEAR, typed=typed).alias("reasons"))
 
 
 @query(f"""
