@@ -165,6 +165,7 @@ def _blocked(percent: int):
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
     """``id, n_shingles, component`` per row: component is the least id reachable over links of at least ``percent`` Jaccard.
+    Ids are integers.
 
     Words are lower-cased (A-Z) runs without white space; a text's set holds its distinct shingles of ``width`` words, or
     the whole of a shorter text. Texts that are null or without words link with nothing and are their own component. Rows

@@ -94,8 +94,7 @@ def op8_embedding_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch(spark, "warc")
-    archives = warc.write_archives(table(spark, sf_dir, "pages"), folder if "://" in folder else f"file://{folder}")
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     read = warc.read_archives(archives, payloads=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 

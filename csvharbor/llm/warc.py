@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from csvharbor.session import cut
@@ -181,6 +181,13 @@ def _writer(folder: str, dictionary: bytes, archive_bytes: int):
     return write
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and host that Spark gives it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full)
+
+
 def write_archives(
     pages: DataFrame, folder: str, id_column: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = 0, archive_bytes: int = ARCHIVE_BYTES
 ) -> DataFrame:
@@ -196,6 +203,7 @@ def write_archives(
     rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), F.sha1(content).alias("sum"), F.octet_length(content).alias("bytes"))
     shared = rows.where(F.col("bytes") >= revisit_from).groupBy("sum", "bytes").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     marked = rows.join(shared, ["sum", "bytes"], "left").select("id", "url", "html", F.when(F.col("id") != F.col("head"), F.col("head")).alias("head"))
+    folder = qualified(spark, folder)
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
     return cut(marked.mapInArrow(_writer(folder, train_dictionary(pages, html), archive_bytes), "path string, records long"))

@@ -99,7 +99,7 @@ def test_round_trip_of_a_table(spark, tmp_path, least):
     long = "<p>long text</p>" * 30_000
     rows = [(k, f"http://h/{k}", t) for k, t in enumerate(["same payload"] * 30 + ["short"] * 3 + [long, long, "", "", None, "ü\r\n\r\nWARC/1.1"])] + [(None, None, "same payload"), (3, "x", "same payload")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("head", F.lit(1)).repartition(4)
-    archives = warc.write_archives(df, f"file://{tmp_path}/warc", revisit_from=least, archive_bytes=2000)
+    archives = warc.write_archives(df, f"{tmp_path}/warc", revisit_from=least, archive_bytes=2000)
     assert archives.agg(F.sum("records")).first()[0] == len(rows) and archives.count() > 4
     (tmp_path / "warc" / "left-over.warc.zst").write_bytes(b"of a task that was lost")
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.error) for r in warc.read_archives(archives).collect()), key=str)
