@@ -30,9 +30,9 @@ _STRIDE = 64
 
 
 def features(word: str) -> list[str]:
-    """The whole form, fronts of three to five characters and a tail of four."""
+    """What all words share, so that unknown ones have a score; the whole form; fronts of three to five characters; a tail of four."""
     word = word.lower()
-    return [word, *("^" + word[:k] for k in (3, 4, 5) if len(word) > k), *([word[-4:] + "$"] if len(word) > 4 else [])]
+    return ["", word, *("^" + word[:k] for k in (3, 4, 5) if len(word) > k), *([word[-4:] + "$"] if len(word) > 4 else [])]
 
 
 def places(word: str) -> list[int]:
@@ -46,7 +46,7 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << HASH_BITS, np.float32))
     turn: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     begin: np.ndarray = field(default_factory=lambda: np.zeros(2))
-    final: np.ndarray = field(default_factory=lambda: np.array([-2.0, 0.0, 0.0, 0.0]))
+    final: np.ndarray = field(default_factory=lambda: np.array([-2.0, 0.0, 0.0]))
 
 
 def _forward(steps: np.ndarray) -> np.ndarray:
@@ -107,16 +107,15 @@ def marginals(emissions: np.ndarray, heads: np.ndarray, model: Model, pairs: boo
 
 
 def summed(toxic: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Per document (ending at ``ends``): a constant, log of the expected toxic words, log odds of the likeliest, log length."""
+    """Per document (ending at ``ends``): a constant, log of the expected toxic words, log odds of the likeliest."""
     n = np.diff(np.concatenate([[0], ends]))
-    out = np.tile([1.0, np.log(1e-6), np.log(1e-6), 0.0], (len(ends), 1))
+    out = np.tile([1.0, np.log(1e-6), np.log(1e-6)], (len(ends), 1))
     full = n > 0
     if full.any():
         heads = (ends - n)[full]
         top = np.clip(np.maximum.reduceat(toxic, heads), 1e-6, 1 - 1e-6)
         out[full, 1] = np.log(np.add.reduceat(toxic, heads) + 1e-6)
         out[full, 2] = np.log(top / (1 - top))
-        out[full, 3] = np.log(n[full])
     return out
 
 
@@ -159,6 +158,15 @@ def _standing_out(forms: _Forms, chosen: np.ndarray, labels: np.ndarray) -> np.n
     return (gain >= SIGNIFICANT) & (inside > 0) & (inside / toxic >= RATIO * (outside / clean))
 
 
+def _logistic(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Weights of a ridge logistic regression, its first column a constant, by Newton steps."""
+    weight, ridge = np.zeros(x.shape[1]), np.diag([0.0, *[0.05] * (x.shape[1] - 1)])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ weight, -30, 30)))
+        weight = weight - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(weight)), x.T @ (p - target) + ridge @ weight)
+    return weight
+
+
 def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 20) -> Model:
     """``share`` is the part of toxic documents among all labelled ones, which the sample may not keep.
 
@@ -166,7 +174,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 20) ->
     """
     model = Model()
     if not len(texts) or labels.min() == labels.max():
-        model.final = np.array([np.log(max(share, 1e-3) / max(1 - share, 1e-3)), 0.0, 0.0, 0.0])
+        model.final = np.array([np.log(max(share, 1e-3) / max(1 - share, 1e-3)), 0.0, 0.0])
         return model
     forms = _Forms.of(texts)
     ids = forms.docs
@@ -206,16 +214,19 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 20) ->
                 part -= (0.5 * slope / (np.sqrt(square) + 1e-6)).astype(part.dtype)
     scores = forms.scores(model.weights)
     sums = np.vstack([summed(marginals(scores[ids[k]], np.array([0]), model)[0] if len(ids[k]) else np.empty(0), np.array([len(ids[k])])) for k in np.flatnonzero(held)])
-    target, weight = labels[held].astype(float), np.zeros(4)
+    target = labels[held].astype(float)
     if 0 < target.mean() < 1:
-        for _ in range(30):  # Newton steps of a ridge logistic regression
-            p = 1 / (1 + np.exp(-np.clip(sums @ weight, -30, 30)))
-            ridge = np.diag([0, 0.05, 0.05, 0.05])
-            weight = weight - np.linalg.solve((sums * (p * (1 - p))[:, None]).T @ sums + ridge + 1e-9 * np.eye(4), sums.T @ (p - target) + ridge @ weight)
+        used, weight = [0, 1, 2], np.zeros(3)
+        while True:
+            found = _logistic(sums[:, used], target)
+            if (found[1:] >= 0).all():
+                break
+            del used[1 + int(found[1:].argmin())]  # more signs of toxicity may not speak against it
+        weight[used] = found
         weight[0] += np.log(share / (1 - share)) - np.log(target.mean() / (1 - target.mean()))
         model.final = weight
     else:
-        model.final = np.array([-3.0, 1.0, 0.0, 0.0])
+        model.final = np.array([-3.0, 1.0, 0.0])
     return model
 
 
