@@ -46,16 +46,16 @@ def encode_text(text: str, ranks: str = RANKS, pattern: str = public_tokenizers.
     return [i for piece in pieces(text, size) for i in tokens.encode_ordinary(piece)]
 
 
-def _id_lists(found: list[list[int]]) -> pa.ListArray:
+def _id_lists(found: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, found)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter((i for ids in found for i in ids), np.int32, ends[-1])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
 
 
 def encode(text: Column, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Column:
     """Token ids of a text column, ``array<int>``. Null and empty texts have none."""
 
     def ids(texts: pa.Array) -> pa.Array:
-        return _id_lists([encode_text(t or "", ranks, pattern) for t in texts.to_pylist()])
+        return _id_lists([np.array(encode_text(t.as_py() or "", ranks, pattern), np.int32) for t in texts])
 
     return F.arrow_udf(ids, "array<int>")(text)
 
@@ -75,7 +75,11 @@ def round_trip(text: Column, ranks: str = RANKS, pattern: str = public_tokenizer
 
     def both(texts: pa.Array) -> pa.Array:
         tokens = encoding(ranks, pattern)
-        found = [encode_text(t or "", ranks, pattern) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([_id_lists(found), pa.array(map(tokens.decode_bytes, found), pa.binary())], ["ids", "decoded"])
+        found, decoded = [], []
+        for text in texts:  # one text's ids as Python numbers at a time
+            ids = encode_text(text.as_py() or "", ranks, pattern)
+            found.append(np.array(ids, np.int32))
+            decoded.append(tokens.decode_bytes(ids))
+        return pa.StructArray.from_arrays([_id_lists(found), pa.array(decoded, pa.binary())], ["ids", "decoded"])
 
     return F.arrow_udf(both, "ids array<int>, decoded binary")(text)
