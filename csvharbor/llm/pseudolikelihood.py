@@ -1,6 +1,7 @@
 """Masked pseudo-likelihood of documents under a small bidirectional window network.
 
-Every word is predicted from the words on both sides of it, itself masked. The vocabulary is counted over all documents.
+Every word is predicted from the words on both sides of it, itself masked. The vocabulary is counted over all documents. The
+most frequent words have numbers of their own; the others share some, and each has its share of its number by its own count.
 Training passes over all documents too: in each round every task starts from the same parameters, learns from the words that
 the round masks in its part of the corpus, and the results are averaged by the number of words.
 """
@@ -8,7 +9,7 @@ the round masks in its part of the corpus, and the results are averaged by the n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,13 @@ _SHAPES = {
 
 @dataclass
 class Model:
-    """Hashes of the known words in order, the number of each, and the network's parameters."""
+    """Hashes of the known words in order, the number of each, the network's parameters, and how often the other words of each
+    shared number stand in the corpus."""
 
     hashes: np.ndarray
     numbers: np.ndarray
     parts: dict[str, np.ndarray]
+    masses: np.ndarray = field(default_factory=lambda: np.zeros(SPREAD))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.parts[name].ravel() for name in _SHAPES])
@@ -50,34 +53,42 @@ class Model:
     def replaced(self, values: np.ndarray) -> Model:
         cuts = np.cumsum([int(np.prod(shape)) for shape in _SHAPES.values()])[:-1]
         pieces = zip(_SHAPES.items(), np.split(values.astype(np.float32), cuts), strict=True)
-        return Model(self.hashes, self.numbers, {name: piece.reshape(shape).copy() for (name, shape), piece in pieces})
+        return Model(self.hashes, self.numbers, {name: piece.reshape(shape).copy() for (name, shape), piece in pieces}, self.masses)
 
 
-def begin(hashes: np.ndarray, counts: np.ndarray, total: int, seed: int = 3) -> Model:
-    """The untrained model: it gives every word its share in the corpus. ``hashes`` come with the most frequent first."""
+def begin(hashes: np.ndarray, counts: np.ndarray, total: int, seed: int = 3, masses: np.ndarray | None = None) -> Model:
+    """The untrained model: it gives every word its share in the corpus. ``hashes`` come with the most frequent first.
+
+    Without ``masses`` the words that are not among them count as spread evenly over the shared numbers.
+    """
+    masses = np.full(SPREAD, max(0, total - counts.sum()) / SPREAD) if masses is None else masses
     order = np.argsort(hashes)
     rng = np.random.default_rng(seed)
     mass = np.ones(SIDE * SIDE)
     mass[: len(counts)] += counts
-    mass[KNOWN:] += max(0, total - counts.sum()) / SPREAD
+    mass[KNOWN:] += masses
     share = mass.reshape(SIDE, SIDE)
     parts = {name: (rng.standard_normal(shape) * (0.3 if name == "embed" else 0.1)).astype(np.float32) for name, shape in _SHAPES.items()}
     parts["inner_bias"] = np.zeros(HIDDEN, np.float32)
     parts["high_bias"] = np.log(share.sum(1) / share.sum()).astype(np.float32)
     parts["low_bias"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
-    return Model(hashes[order], order, parts)
+    return Model(hashes[order], order, parts, masses)
+
 
+def _shared(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> np.uint64(40)) % np.uint64(SPREAD)).astype(np.int64)
 
-def numbered(block: Block, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per word of the block its number and its row; and the words of each row."""
+
+def numbered(block: Block, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word of the block its number, row and hash; and the words of each row."""
     found = words(block)
     hashes = word_hashes(block, found)
-    out = (KNOWN + (hashes >> np.uint64(40)) % np.uint64(SPREAD)).astype(np.int64)
+    out = KNOWN + _shared(hashes)
     if len(model.hashes):
         place = np.minimum(np.searchsorted(model.hashes, hashes), len(model.hashes) - 1)
         known = model.hashes[place] == hashes
         out[known] = model.numbers[place[known]]
-    return out, found.rows, found.counts
+    return out, found.rows, hashes, found.counts
 
 
 def contexts(numbers: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -140,7 +151,7 @@ def _round(model: Model, turn: int):
         done, held, size = 0, [], 0
         for batch in batches:
             for block in blocks(batch.column(0)):
-                numbers, rows, _ = numbered(block, model)
+                numbers, rows, _, _ = numbered(block, model)
                 masked = mix(np.arange(len(numbers), dtype=np.uint64) + np.uint64(1)) % np.uint64(MASK_ONE_IN) == turn
                 held.append((contexts(numbers, rows)[masked], numbers[masked]))
                 size += int(masked.sum())
@@ -169,13 +180,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(counts.astype(np.int64))], ["hash", "n"])
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
-    """A model of all texts. The driver gets the known words' counts and averaged parameters, both of fixed size."""
+def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``hash, n``: how often each word stands in all texts."""
+    return cut(docs.select(text).mapInArrow(_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
+
+
+def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, counts: DataFrame | None = None) -> Model:
+    """A model of all texts; ``counts`` as by ``counted``. The driver gets the known words' counts, the masses of the shared
+    numbers and averaged parameters, all of fixed size."""
     texts = docs.select(text)
-    counts = cut(texts.mapInArrow(_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts = counted(docs, text) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "hash").limit(KNOWN).collect()
-    model = begin(np.array([r["hash"] for r in top], np.int64).astype(np.uint64), np.array([r["n"] for r in top], np.int64), total)
+    hashes, often = np.array([r["hash"] for r in top], np.int64).astype(np.uint64), np.array([r["n"] for r in top], np.int64)
+    masses = np.zeros(SPREAD)
+    for r in counts.groupBy((F.shiftrightunsigned("hash", 40) % SPREAD).alias("k")).agg(F.sum("n").alias("n")).collect():
+        masses[r["k"]] = r["n"]
+    total = int(masses.sum())
+    np.subtract.at(masses, _shared(hashes), often)
+    model = begin(hashes, often, total, masses=masses)
     for turn in range(rounds):
         summed = texts.mapInArrow(_round(model, turn), "place int, value double, words long").groupBy("place").agg((F.sum("value") / F.sum("words")).alias("value"))
         rows = summed.collect()
@@ -186,20 +208,45 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
     return model
 
 
-def score(text: Column, model: Model) -> Column:
+def score(text: Column, model: Model, rare: bool = False) -> Column:
     """``struct<words long, log_likelihood double>``: the sum over all words of the log-probability given both sides.
 
-    Null texts and texts without words have 0 words and sum 0.
+    A word without a number of its own has the share of a word that the corpus holds once, or not at all; ``likelihoods`` has
+    the share by its count. ``rare`` adds the hashes of these words, ``rare array<long>``. Null texts and texts without words
+    have 0 words and sum 0.
     """
+    once = np.log1p(model.masses)
 
     def scored(texts: pa.Array) -> pa.Array:
-        n, sums = [], []
+        n, sums, ends, others = [], [], [np.zeros(1, np.int64)], []
         for block in blocks(texts):
-            numbers, rows, counts = numbered(block, model)
+            numbers, rows, hashes, counts = numbered(block, model)
             values = log_probabilities(model, contexts(numbers, rows), numbers)
+            shared = numbers >= KNOWN
+            values[shared] -= once[numbers[shared] - KNOWN]
             n.append(counts)
             sums.append(np.bincount(rows, values, len(counts)))
+            if rare:
+                ends.append(ends[-1][-1] + np.cumsum(np.bincount(rows[shared], minlength=len(counts))))
+                others.append(hashes[shared])
         full = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if parts else np.empty(0, kind))
-        return pa.StructArray.from_arrays([full(n, np.int64), full(sums, np.float64)], ["words", "log_likelihood"])
+        out = {"words": full(n, np.int64), "log_likelihood": full(sums, np.float64)}
+        if rare:
+            out["rare"] = pa.ListArray.from_arrays(full(ends, np.int32), full(others, np.int64))
+        return pa.StructArray.from_arrays(list(out.values()), list(out))
+
+    return F.arrow_udf(scored, "words long, log_likelihood double" + (", rare array<long>" if rare else ""))(text)
+
 
-    return F.arrow_udf(scored, "words long, log_likelihood double")(text)
+def likelihoods(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text") -> DataFrame:
+    """The rows without ``text``, with ``words`` and ``log_likelihood``, every word by its own share of its number.
+
+    The shares come from a join with ``counts``; a word that is counted once has the share of one never seen, 1 / (mass + 1),
+    so only words counted more often are joined. None is hot: those with numbers of their own are more frequent.
+    """
+    others = [c for c in docs.columns if c != text]
+    found = cut(docs.select(F.struct(*others).alias("own"), F.monotonically_increasing_id().alias("row"), score(F.col(text), model, rare=True).alias("f")))
+    rare = found.select("row", F.explode("f.rare").alias("hash"))
+    shares = rare.join(counts.where("n > 1"), "hash").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    summed = F.col("f.log_likelihood") + F.coalesce("more", F.lit(0.0))
+    return found.join(shares, "row", "left").select(*(F.col("own")[c].alias(c) for c in others), F.col("f.words").alias("words"), summed.alias("log_likelihood"))

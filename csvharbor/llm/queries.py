@@ -109,10 +109,6 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", pseudolikelihood.score(F.col("text"), pseudolikelihood.train(docs)).alias("found"))
-    return found.select(
-        "doc_id",
-        F.col("found.words").alias("n_words"),
-        F.col("found.log_likelihood").alias("log_likelihood"),
-        F.when(F.col("found.words") > 0, F.col("found.log_likelihood") / F.col("found.words")).alias("per_word"),
-    )
+    counts = pseudolikelihood.counted(docs)
+    found = pseudolikelihood.likelihoods(docs.select("doc_id", "text"), pseudolikelihood.train(docs, counts=counts), counts)
+    return found.select("doc_id", F.col("words").alias("n_words"), "log_likelihood", F.when(F.col("words") > 0, F.col("log_likelihood") / F.col("words")).alias("per_word"))

@@ -177,3 +177,20 @@ def test_likelihood_of_odd_documents(spark, docs):
     assert [r.f.log_likelihood < 0 for r in rows] == [False, False, True, True, True, True] and rows[4].f == rows[5].f
     empty = pseudolikelihood.train(docs.where("false"))
     assert docs.where("false").select(pseudolikelihood.score(F.col("text"), empty)).count() == 0
+
+
+def test_rare_words_have_their_own_shares(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(pseudolikelihood.KNOWN))) for k in range(100, 150)] + [(None, "seen " * 40), (60, "seen"), (60, "seen"), (61, "once"), (62, None), (63, "w7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = pseudolikelihood.counted(docs)
+    model = pseudolikelihood.train(docs, rounds=0, counts=counts)
+    got = pseudolikelihood.likelihoods(docs, model, counts).collect()
+    alone = docs.select("text", pseudolikelihood.score(F.col("text"), model).alias("f")).collect()
+    assert sorted(r.words for r in got) == sorted(r.f.words for r in alone) == [0, 1, 1, 1, 1, 40, *[pseudolikelihood.KNOWN] * 50]
+    network = {r.text: r.f.log_likelihood for r in alone}
+    more = lambda i: [r.log_likelihood for r in got if r.doc_id == i]
+    assert more(60) == [pytest.approx(network["seen"] + math.log(42))] * 2 and more(None) == [pytest.approx(network["seen " * 40] + 40 * math.log(42))]
+    assert more(61) == [pytest.approx(network["once"])] and more(62) == [0] and more(63) == [pytest.approx(network["w7"])]
+    new = spark.createDataFrame([(1, "never"), (2, "seen")], "doc_id long, text string")
+    shares = {r.doc_id: r.log_likelihood for r in pseudolikelihood.likelihoods(new, model, counts).collect()}
+    assert shares[2] > shares[1] + 3
