@@ -3,7 +3,8 @@
 Every word is predicted from the words on both sides of it, itself masked. The vocabulary is counted over all documents. The
 most frequent words have numbers of their own; the others share some, and each has its share of its number by its own count.
 Training passes over all documents too: in each round every task starts from the same parameters, learns from the words that
-the round masks in its part of the corpus, and the results are averaged by the number of words.
+the round masks in its part of the corpus, and the results are averaged by the number of words. The rounds mask different
+words of each text, by their places in it, and together every word once.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ PAD = SIDE * SIDE
 WINDOW = 2
 WIDTH = 16
 HIDDEN = 48
-MASK_ONE_IN = 16
 ROUNDS = 2
 BATCH = 512
 POSITIONS = 8192
@@ -132,29 +132,45 @@ def learn(parts: dict[str, np.ndarray], squares: dict[str, np.ndarray], around:
     d_high[n, target // SIDE] -= 1
     d_low[n, target % SIDE] -= 1
     d_pre = (d_high @ parts["high"].T + d_low @ parts["low"].T) * (1 - h * h)
-    embed = np.zeros_like(parts["embed"])
-    np.add.at(embed, around.ravel(), (d_pre @ parts["inner"].T).reshape(-1, WIDTH))
-    low_bias = np.zeros_like(parts["low_bias"])
-    np.add.at(low_bias, target // SIDE, d_low)
+    words, embed = _summed(around.ravel(), (d_pre @ parts["inner"].T).reshape(-1, WIDTH))
+    digits, low_bias = _summed(target // SIDE, d_low)
+    every = slice(None)
     slopes = {
-        "embed": embed, "inner": x.T @ d_pre, "inner_bias": d_pre.sum(0), "high": h.T @ d_high, "high_bias": d_high.sum(0), "low": h.T @ d_low, "low_bias": low_bias,
+        "embed": (words, embed), "inner": (every, x.T @ d_pre), "inner_bias": (every, d_pre.sum(0)), "high": (every, h.T @ d_high),
+        "high_bias": (every, d_high.sum(0)), "low": (every, h.T @ d_low), "low_bias": (digits, low_bias),
     }
-    for name, slope in slopes.items():
-        squares[name] += slope**2
-        parts[name] -= rate * slope / np.sqrt(squares[name])
+    for name, (rows, slope) in slopes.items():
+        square = squares[name][rows] + slope * slope
+        squares[name][rows] = square
+        parts[name][rows] -= rate * slope / np.sqrt(square)
 
 
-def _round(model: Model, turn: int):
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sums of the values of each."""
+    rows = rows.astype(np.uint16)  # sorted by digits
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order].astype(np.int64)
+    heads = np.flatnonzero(np.diff(ordered, prepend=-1))
+    return ordered[heads], np.add.reduceat(values[order], heads)
+
+
+def masked(rows: np.ndarray, counts: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Which words the round predicts: by their places in their texts, whatever texts stand beside them."""
+    places = np.arange(len(rows)) - (np.cumsum(counts) - counts)[rows]
+    return mix(places.astype(np.uint64) + np.uint64(1)) % np.uint64(rounds) == turn
+
+
+def _round(model: Model, turn: int, rounds: int):
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.replaced(model.flat())
         squares = {name: np.full(shape, 1.0, np.float32) for name, shape in _SHAPES.items()}
         done, held, size = 0, [], 0
         for batch in batches:
             for block in blocks(batch.column(0)):
-                numbers, rows, _, _ = numbered(block, model)
-                masked = mix(np.arange(len(numbers), dtype=np.uint64) + np.uint64(1)) % np.uint64(MASK_ONE_IN) == turn
-                held.append((contexts(numbers, rows)[masked], numbers[masked]))
-                size += int(masked.sum())
+                numbers, rows, _, counts = numbered(block, model)
+                own_turn = masked(rows, counts, turn, rounds)
+                held.append((contexts(numbers, rows)[own_turn], numbers[own_turn]))
+                size += int(own_turn.sum())
                 if size >= BATCH:
                     around, target = (np.concatenate(x) for x in zip(*held, strict=True))
                     for at in range(0, size - BATCH + 1, BATCH):
@@ -199,7 +215,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, counts: Dat
     np.subtract.at(masses, _shared(hashes), often)
     model = begin(hashes, often, total, masses=masses)
     for turn in range(rounds):
-        summed = texts.mapInArrow(_round(model, turn), "place int, value double, words long").groupBy("place").agg((F.sum("value") / F.sum("words")).alias("value"))
+        summed = texts.mapInArrow(_round(model, turn, rounds), "place int, value double, words long").groupBy("place").agg((F.sum("value") / F.sum("words")).alias("value"))
         rows = summed.collect()
         if rows:
             values = np.empty(len(rows))

@@ -194,3 +194,22 @@ def test_rare_words_have_their_own_shares(spark):
     new = spark.createDataFrame([(1, "never"), (2, "seen")], "doc_id long, text string")
     shares = {r.doc_id: r.log_likelihood for r in pseudolikelihood.likelihoods(new, model, counts).collect()}
     assert shares[2] > shares[1] + 3
+
+
+def test_rounds_mask_every_word_once():
+    alone, beside = np.array([5]), np.array([3, 0, 5, 700])
+    rows = lambda counts: np.repeat(np.arange(len(counts)), counts)
+    for rounds in (1, 2, 3):
+        turns = [pseudolikelihood.masked(rows(beside), beside, turn, rounds) for turn in range(rounds)]
+        assert (np.sum(turns, 0) == 1).all() and all(turn.any() for turn in turns)
+        for turn in range(rounds):
+            assert (turns[turn][3:8] == pseudolikelihood.masked(rows(alone), alone, turn, rounds)).all()
+
+
+def test_training_learns_from_every_word(monkeypatch):
+    words, batches = " ".join(f"w{k % 700}" for k in range(5000)), []
+    monkeypatch.setattr(pseudolikelihood, "learn", lambda parts, squares, around, target: batches.append(len(target)))
+    model = pseudolikelihood.begin(np.empty(0, np.uint64), np.empty(0, np.int64), 10)
+    texts = [pa.RecordBatch.from_arrays([pa.array([words, None, "one", words])], ["text"])]
+    given = sum(b.column("words")[0].as_py() for turn in range(2) for b in pseudolikelihood._round(model, turn, 2)(iter(texts)))
+    assert sum(batches) == given == 10_001
