@@ -26,8 +26,14 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents without a letter and those that no language has most of the score of."""
-    found = langid.predict(F.col("text"), queries.language_model(docs))
+    """Leaves out documents without a letter and those that no language has most of the score of.
+
+    If no row tells a language, nothing can be learnt and only documents without a letter go.
+    """
+    model = queries.language_model(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.predict(F.col("text"), model)
     return docs.where((found["lang"] != langid.UNKNOWN) & (found["score"] >= LEAST_LANGUAGE_SCORE))
 
 

@@ -152,6 +152,14 @@ def test_pipeline_of_nothing(spark, tmp_path, fixture_dir):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_language_stage_without_languages(spark):
+    rows = [(1, "Some words of a text", None), (2, "123 --- !", None), (3, None, None), (None, "ähnlich", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for given in (docs, docs.withColumn("lang", F.when(F.col("doc_id") == 2, "en"))):
+        kept = corpus_pipeline.identified(spark, given, "").collect()
+        assert {r.doc_id for r in kept} == {1, None} and len(kept) == 2
+
+
 @pytest.fixture(scope="module")
 def db():
     from tests.compare import connect
