@@ -87,17 +87,16 @@ def tilts(cells: DataFrame, aims: DataFrame, most: int = MOST) -> DataFrame:
 
 def _rounded(most: int):
     def rounded(slice_: pd.DataFrame) -> pd.DataFrame:
-        """Large documents first; what rounding leaves over goes to the next."""
-        slice_ = slice_.sort_values(["size", "id"], ascending=[False, True], kind="stable")
+        """Large documents first; what rounding leaves over goes to the next. A row stands for ``alike`` documents."""
+        slice_ = slice_.sort_values(["size", "id", "part"], ascending=[False, True, True], kind="stable")
         left, copies = 0.0, []
-        for size, rate in zip(slice_["size"].tolist(), slice_["rate"].tolist(), strict=True):
-            if size == 0:
-                copies.append(1)
-                continue
-            want = rate * size + left
-            copies.append(min(most, max(0, int(want / size + 0.5))))
-            left = want - copies[-1] * size
-        return slice_.assign(copies=copies).drop(columns="rate")
+        for size, rate, alike in zip(slice_["size"].tolist(), slice_["rate"].tolist(), slice_["alike"].tolist(), strict=True):
+            copies.append([1] * alike)
+            for k in range(alike if size else 0):
+                want = rate * size + left
+                copies[-1][k] = min(most, max(0, int(want / size + 0.5)))
+                left = want - copies[-1][k] * size
+        return slice_.assign(copies=copies).drop(columns=["rate", "part", "alike"])
 
     return rounded
 
@@ -110,7 +109,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     nothing. A null source is a source of its own; other columns are not looked at. An empty table gives an empty result.
 
     Rounding goes over slices of about ``SLICE_ROWS`` rows that a hash makes within each source, so that a large source is
-    never gathered in one task.
+    never gathered in one task. Rows alike in id, source and size are counted first and dealt in parts of ``SLICE_ROWS``.
     """
     sized = cut(
         docs.select(F.col(id_column).alias("id"), F.col(source).isNull().alias("void"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("name"), word_count(F.col(text)).alias("size"))
@@ -118,9 +117,14 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     cells = cut(sized.groupBy(*SOURCE, "size").agg(F.count("*").alias("rows")))
     sources = cells.groupBy(*SOURCE).agg(F.sum(F.col("size") * F.col("rows")).alias("words"), F.sum("rows").alias("rows"))
     aims = cut(tilts(cells, targets(sources, shares, total, most), most))
-    placed = sized.join(aims, SOURCE).withColumn("rate", _rate(most))
-    slices = F.pmod(F.xxhash64("id", "size"), F.ceil(F.col("rows") / SLICE_ROWS))
-    placed = placed.select("id", *SOURCE, "size", F.col("words").alias("source_size"), "target", "rate", slices.alias("slice"))
+    last = F.floor((F.col("n") - 1) / SLICE_ROWS)
+    parts = sized.groupBy("id", *SOURCE, "size").agg(F.count("*").alias("n")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
+    alike = F.least(F.lit(SLICE_ROWS).cast("long"), F.col("n") - F.col("part") * SLICE_ROWS)
+    placed = parts.withColumn("alike", alike).join(aims, SOURCE).withColumn("rate", _rate(most))
+    drawn = F.when(F.col("part") == 0, F.xxhash64("id", "size")).otherwise(F.xxhash64("id", "size", "part"))
+    slices = F.pmod(drawn, F.ceil(F.col("rows") / SLICE_ROWS))
+    placed = placed.select("id", *SOURCE, "size", F.col("words").alias("source_size"), "target", "rate", slices.alias("slice"), "part", "alike")
     kind = dict(sized.dtypes)["id"]
-    done = placed.groupBy(*SOURCE, "slice").applyInPandas(_rounded(most), f"id {kind}, void boolean, name string, size long, source_size long, target double, slice long, copies int")
+    done = placed.groupBy(*SOURCE, "slice").applyInPandas(_rounded(most), f"id {kind}, void boolean, name string, size long, source_size long, target double, slice long, copies array<int>")
+    done = done.withColumn("copies", F.explode("copies"))
     return done.select("id", F.when(~F.col("void"), F.col("name")).alias("source"), "size", "source_size", "target", F.col("copies").cast("long").alias("copies")).withColumnRenamed("id", id_column)

@@ -50,6 +50,29 @@ def test_mix_of_odd_documents(spark):
     assert mixed(spark, []) == [] and [r.copies for r in mixed(spark, [(1, None, None)])] == [1]
 
 
+def test_mix_deals_rows_alike_to_many_slices(spark, monkeypatch):
+    rows = [(None, "two words", "a")] * 3000 + [(7, "one", "a")] * 500 + [(k, "w " * (k % 9 + 1), "b") for k in range(500)]
+    seen = []
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 100)
+    plain = mixing._rounded
+
+    def watched(most):
+        work, widest = plain(most), spark.sparkContext.accumulator(0)
+        seen.append(widest)
+
+        def rounded(slice_):
+            widest.add(int(slice_["alike"].sum() > 1000))
+            return work(slice_)
+
+        return rounded
+
+    monkeypatch.setattr(mixing, "_rounded", watched)
+    got = mixed(spark, rows)
+    assert sorted((r.doc_id or 0, r.size) for r in got) == sorted((i or 0, len(t.split())) for i, t, _ in rows)
+    assert seen[0].value == 0
+    near(rows, got, 80)
+
+
 def test_targets_of_many_sources(spark):
     rows = [(k, "w " * (1 + (k * k) % 50), f"s{k % 40:02d}") for k in range(200)]
     near(rows, mixed(spark, rows), 30)
