@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csvharbor.llm import bpe, embeddings, html, langid, minhash, mixing, pseudolikelihood, quality, toxicity, warc
+from csvharbor.llm import bpe, embeddings, html, langid, merkle, minhash, mixing, negatives, pseudolikelihood, quality, secrets, toxicity, warc
 from csvharbor.llm.registry import query, table
 from csvharbor.session import scratch
 
@@ -112,3 +112,47 @@ def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = pseudolikelihood.counted(docs)
     found = pseudolikelihood.likelihoods(docs.select("doc_id", "text"), pseudolikelihood.train(docs, counts=counts), counts)
     return found.select("doc_id", F.col("words").alias("n_words"), "log_likelihood", F.when(F.col("words") > 0, F.col("log_likelihood") / F.col("words")).alias("per_word"))
+
+
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query(merkle.MANIFEST_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    own = {c: F.col(c) for c in MANIFEST_FIELDS}
+    more = F.when(remainder(7) == 0, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    manifest = merkle.build(docs, "doc_id", "lang", merkle.leaf_digest([*own.values()]), merkle.leaf_digest([*(own | {"n_chars": more}).values()]))
+    return merkle.prove(manifest).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query(secrets.SCAN_SQL)
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.Ledger(spark, scratch(spark, "secrets")).scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+    kinds = [r.kind for r in secrets.BASE]
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(secrets.shown(of(*kinds)), 256).alias("base_sha256"), secrets.shown(F.col("spans")).alias("spans"),
+    )
+
+
+def whole_numbers(vector: str, times: float) -> Column:
+    """Components times a number, rounded down; those too large to have a fraction stay."""
+
+    def rounded(x: Column) -> Column:
+        scaled = x.cast("double") * times
+        return F.when(F.abs(scaled) < 2.0**53, F.floor(scaled).cast("double")).otherwise(scaled)
+
+    return F.transform(vector, rounded)
+
+
+@query(negatives.NEGATIVES_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", whole_numbers("embedding", 256.0).alias("embedding"), label.alias("label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
