@@ -71,9 +71,14 @@ def upload_history(uploads: DataFrame, n: int = HISTORY_LENGTH) -> DataFrame:
     return newest_per(uploads, "name", ["uploaded_at", "id"], n)
 
 
-def table_stats(tables: Mapping[str, DataFrame], uploads: DataFrame) -> DataFrame:
+def with_latest(counts: DataFrame, uploads: DataFrame) -> DataFrame:
+    """Counts by table beside the newest active load of each."""
     last = latest_active(uploads).select(F.col("name").alias("table_key"), "file_name", "rows_inserted", "rows_skipped", "uploaded_at")
-    return table_counts(tables).join(last, "table_key", "left")
+    return counts.join(last, "table_key", "left")
+
+
+def table_stats(tables: Mapping[str, DataFrame], uploads: DataFrame) -> DataFrame:
+    return with_latest(table_counts(tables), uploads)
 
 
 def failed_counts(failed: DataFrame) -> DataFrame:

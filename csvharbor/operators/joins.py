@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from csvharbor.session import cut
 
 BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 512 * 1024 * 1024
+BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 5_000_000
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from csvharbor.functions.cells import bound, clean_record, convert, normalized, trim_record
@@ -96,8 +96,11 @@ def with_typed(data: Incoming, as_of_year: int) -> tuple[DataFrame, dict[str, Co
     return rows, {f.name: F.col("row").getField(f.column) for f in data.spec.fields}
 
 
-def judged(data: Incoming, batch: str, as_of_year: int, strict: bool = False) -> DataFrame:
-    """Every record with its outcome (accepted, failed, blank), the reason, and the typed columns."""
+def judged(data: Incoming, batch: str, as_of_year: int, strict: bool = False, keep: bool = False) -> DataFrame:
+    """Every record with its outcome (accepted, failed, blank), the reason, and the typed columns.
+
+    Failed records have their cells as ``row_data``; with ``keep``, all have them.
+    """
     spec, cells = data.spec, data.cells()
     rows, typed = with_typed(data, as_of_year)
     reason = F.coalesce(
@@ -112,7 +115,7 @@ def judged(data: Incoming, batch: str, as_of_year: int, strict: bool = False) ->
         upload_id(batch, F.col("file")).alias("upload_id"),
         "line_number",
         "reason",
-        F.when(F.col("reason").isNotNull(), F.col("tokens")).alias("row_data"),
+        (F.col("tokens") if keep else F.when(F.col("reason").isNotNull(), F.col("tokens"))).alias("row_data"),
         "row.*",
         outcome.alias("outcome"),
     )
@@ -129,8 +132,18 @@ def outcome_counts(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class LoadResult:
+    """``counts``: total_rows, rows_inserted, rows_skipped, as the write saw them; empty if nothing was written."""
+
     uploads: DataFrame
     rejected_files: DataFrame
+    counts: dict[str, int]
+
+
+def observed(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """Rows that count themselves by outcome while they are written."""
+    seen = Observation("load")
+    of = lambda outcome: F.count_if(F.col("outcome") == outcome)
+    return rows.observe(seen, F.count("*").alias("total_rows"), of("accepted").alias("rows_inserted"), of("failed").alias("rows_skipped")), seen
 
 
 def load(
@@ -143,18 +156,27 @@ def load(
     strict: bool = False,
     strict_quotes: bool = False,
     replacement: str = "�",
+    admit: Callable[[str, DataFrame, dt.datetime], DataFrame] | None = None,
     **options: str,
 ) -> LoadResult:
     """Load files as one batch. A batch that is already committed is left as it is.
 
     The records are written once, split by outcome; counts come from what was written, and one commit
-    makes rows, load records and audit entries visible together.
+    makes rows, load records and audit entries visible together. ``admit`` may turn accepted records into
+    failed ones first, by what other loads have brought.
     """
     spark = store.spark
     began = time.monotonic()
     data = incoming(spark, spec, paths, mapping, strict_quotes, replacement, **options)
+    totals: dict[str, int] = {}
     if not store.is_committed(spec.key, batch):
-        store.write(spec.key, batch, judged(data, batch, as_of.year, strict), partition_by=["outcome"])
+        rows = judged(data, batch, as_of.year, strict, keep=admit is not None)
+        if admit:
+            rows = admit(batch, cut(rows), as_of)
+            rows = rows.withColumn("row_data", F.when(F.col("reason").isNotNull(), F.col("row_data")))
+        rows, seen = observed(rows)
+        store.write(spec.key, batch, rows, partition_by=["outcome"])
+        totals = seen.get
         counts = outcome_counts(store.staged(spec.key, batch))
         at = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
         files = data.headers.select(upload_id(batch, F.col("file")).alias("upload_id"), "file", F.col("header").alias("csv_headers"))
@@ -177,8 +199,9 @@ def load(
         written = uploads.withColumn("table_key", F.col("name"))
         store.write("audit_log", name, audit.upload_entries(written, at))
         store.commit([(spec.key, batch, 0), ("uploads", name, 0), ("audit_log", name, 0)])
+    store.settle(spec.key)
     mine = data.headers.select(upload_id(batch, F.col("file")).alias("id"))
-    return LoadResult(store.uploads().join(mine, "id", "left_semi"), data.rejected)
+    return LoadResult(store.uploads().join(mine, "id", "left_semi"), data.rejected, totals)
 
 
 def rollback(store: Store, ids: DataFrame, batch: str, as_of: dt.datetime) -> DataFrame:

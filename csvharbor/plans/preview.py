@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from csvharbor.operators import validate
 from csvharbor.operators.joins import distinct_keys, duplicate_keys, duplicate_lines, existing_keys, lookup_join
 from csvharbor.plans.ingest import Incoming, with_typed
 from csvharbor.session import cut
+from csvharbor.sources.keys import row_digest
 from csvharbor.sources.records import blank_record
 from csvharbor.specs import TableSpec
 
@@ -71,11 +72,37 @@ def current_rows(updates: DataFrame, existing: DataFrame, spec: TableSpec) -> Da
     return mine.groupBy(*keys).agg(F.min("row").alias("current"))
 
 
-def diffs(updates: DataFrame, existing: DataFrame, spec: TableSpec, compare: str = "typed") -> DataFrame:
+def unchanged(updates: DataFrame, digests: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
+    """Update rows whose key stands once in the table with the same digest, with no changes, and the other update rows.
+
+    ``digests`` has the stored keys under the table's names with ``digest``; no stored row is read.
+    """
+    keys = key_names(spec)
+    named = digests.select(*[F.col(f"`{k}`").alias(n) for n, k in zip(keys, spec.key_columns, strict=True)], "digest")
+    wanted = cut(updates.select(*keys).distinct())
+    stored = lookup_join(named, wanted, keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("_n"), F.min("digest").alias("_digest"))
+    marked = cut(lookup_join(updates, cut(stored), keys, "left"))
+    same = (F.col("_n") == 1) & (F.col("_digest") == row_digest(spec, F.col("row")))
+    told = marked.filter(same).withColumn("current", F.col("row")).withColumn("changed", F.array().cast("array<string>"))
+    rest = marked.filter(~F.coalesce(same, F.lit(False)))
+    return told.drop("_n", "_digest"), rest.drop("_n", "_digest")
+
+
+def diffs(
+    updates: DataFrame, existing: DataFrame | Callable[[DataFrame], DataFrame], spec: TableSpec, compare: str = "typed", digests: DataFrame | None = None
+) -> DataFrame:
     """Changed columns of every update row (key columns, ``row`` with the typed values, ``values`` with the texts).
 
-    ``typed`` compares values; ``text`` compares the cleaned incoming text with the stored value as shown.
+    ``typed`` compares values; ``text`` compares the cleaned incoming text with the stored value as shown. With ``digests``,
+    typed rows that did not change are told from these alone; ``existing`` may be a function that gives the stored rows of
+    some keys, and is asked for the other rows' keys only.
     """
+    if digests is not None and compare == "typed":
+        told, rest = unchanged(updates, digests, spec)
+        return told.unionByName(diffs(rest, existing, spec, compare).select(told.columns))
+    if not isinstance(existing, DataFrame):
+        asked = distinct_keys(updates, key_names(spec))
+        existing = existing(asked.select(*[F.col(n).alias(k) for n, k in zip(key_names(spec), spec.key_columns, strict=True)]))
     joined = lookup_join(updates, cut(current_rows(updates, existing, spec)), key_names(spec))
     changed = []
     for f in spec.fields:
@@ -109,7 +136,15 @@ class Preview:
         return shown
 
 
-def preview(data: Incoming, existing: DataFrame, as_of_year: int, strict: bool = False, compare: str = "typed") -> Preview:
+def preview(
+    data: Incoming, existing: DataFrame | Callable[[DataFrame], DataFrame], as_of_year: int, strict: bool = False, compare: str = "typed",
+    stored_keys: DataFrame | None = None,
+) -> Preview:
+    """What a load of the files would do to the rows in ``existing``.
+
+    With ``stored_keys`` (key columns and digest, as a store's key table has them), keys and unchanged rows are known from
+    these, and ``existing`` may be a function that gives the stored rows of some keys.
+    """
     spec, cells = data.spec, data.cells()
     narrow = validate.width_reason(F.col("tokens"), len(spec.fields))
     read, typed = with_typed(data, as_of_year)
@@ -131,7 +166,11 @@ def preview(data: Incoming, existing: DataFrame, as_of_year: int, strict: bool =
     usable = F.col("row_key").isNotNull()
     # The files are parsed once; every list and count below reads what was parsed.
     rows = cut(rows.withColumns({n: F.when(usable, F.col("row").getField(k)) for n, k in zip(keys, spec.key_columns, strict=True)}))
-    classified = classify(rows, keyed_rows(existing, spec), keys)
+    if stored_keys is None:
+        known = keyed_rows(existing, spec)
+    else:
+        known = stored_keys.select(*[F.col(f"`{k}`").alias(n) for n, k in zip(keys, spec.key_columns, strict=True)])
+    classified = classify(rows, known, keys)
     classified = classified.withColumn("status", F.when(F.col("blank"), "blank").otherwise(F.col("status"))).drop("blank")
     of = {s: classified.filter(F.col("status") == s) for s in ("new", "update", "error")}
     keyed = classified.filter("row_key is not null")
@@ -139,7 +178,7 @@ def preview(data: Incoming, existing: DataFrame, as_of_year: int, strict: bool =
         classified,
         summary(classified, keys),
         of["new"],
-        diffs(of["update"], existing, spec, compare),
+        diffs(of["update"], existing, spec, compare, stored_keys),
         of["error"],
         duplicate_keys(keyed, ["row_key"], file="file"),
         duplicate_lines(keyed, ["row_key"], file="file"),

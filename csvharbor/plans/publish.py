@@ -27,12 +27,18 @@ def _at(as_of: dt.datetime) -> Column:
 def _publish(store: Store, table: str, change: Rows, touched: DataFrame, entries: DataFrame, batch: str, failed: bool = False) -> None:
     store.write("audit_log", batch, entries)
     store.rewrite(table, change, touched, committed=[("audit_log", batch, 0)], failed=failed)
+    store.settle(table)
 
 
 def _done(store: Store, batch: str) -> bool:
     return store.is_committed("audit_log", batch)
 
 
+def _rows_near(store: Store, keys: DataFrame, spec: TableSpec) -> DataFrame:
+    """Rows of the batches that hold any of the keys, if the store knows them; else all rows."""
+    return store.placed_rows(spec.key, store.batches_of(spec.key, keys))
+
+
 def _batches_of(rows: DataFrame, keys: DataFrame, spec: TableSpec) -> DataFrame:
     return lookup_join(rows, cut(distinct_keys(keys, spec.key_columns)), spec.key_columns, "left_semi").select("batch").distinct()
 
@@ -41,16 +47,16 @@ def delete(store: Store, spec: TableSpec, keys: DataFrame, batch: str, as_of: dt
     """Rows of the given keys leave the table; every one is kept in the audit log."""
     if _done(store, batch):
         return
-    rows = store.placed_rows(spec.key)
+    rows = _rows_near(store, keys, spec)
     entries = audit.delete_entries(changes.delete_rows(rows, keys, spec).changes, _at(as_of))
     _publish(store, spec.key, lambda df: changes.delete_rows(df, keys, spec).rows, _batches_of(rows, keys, spec), entries, batch)
 
 
 def edit(store: Store, spec: TableSpec, edits: DataFrame, batch: str, as_of: dt.datetime, order: str | None = None) -> DataFrame:
     """Cell edits; gives back the rejected ones. Edits are checked against the whole table before a part of it is rewritten."""
-    allowed, rejected = (cut(x) for x in changes.check_edits(store.rows(spec.key), edits, spec, as_of.year, order))
+    allowed, rejected = (cut(x) for x in changes.check_edits(store.keys(spec.key), edits, spec, as_of.year, order))
     if not _done(store, batch):
-        rows = store.placed_rows(spec.key)
+        rows = _rows_near(store, allowed, spec)
         apply: Rows = lambda df: changes.apply_edits(df, allowed, rejected, spec, as_of.year).rows
         entries = audit.edit_entries(changes.apply_edits(rows, allowed, rejected, spec, as_of.year).changes, _at(as_of))
         _publish(store, spec.key, apply, _batches_of(rows, allowed, spec), entries, batch)
@@ -61,7 +67,7 @@ def bulk_edit(store: Store, spec: TableSpec, keys: DataFrame, column: str, value
     """One value for a column of many rows; an entry per changed cell and one for the whole."""
     if _done(store, batch):
         return
-    rows = store.placed_rows(spec.key)
+    rows = _rows_near(store, keys, spec)
     made = changes.bulk_edit(rows, keys, column, value, spec, as_of.year)
     entries = audit.edit_entries(made.changes, _at(as_of)).unionByName(audit.bulk_edit_entries(made.summary, _at(as_of)))
     again: Rows = lambda df: changes.bulk_edit(df, keys, column, value, spec, as_of.year).rows

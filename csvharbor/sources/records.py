@@ -138,10 +138,14 @@ def _split_summary(lines: DataFrame, candidate: Column) -> DataFrame:
     )
 
 
+def _moved() -> Column:
+    return F.raise_error(F.lit("files changed between passes")).cast("long")
+
+
 def _plain_records(lines: DataFrame, splits: DataFrame) -> DataFrame:
     offsets = splits.select(*SPLIT, "base", "first", "spans")
     joined = lines.join(small_side(offsets, MAX_BROADCAST_SPLITS), SPLIT, "left")
-    number = F.col("first") + F.col("at") - F.col("base") + 1
+    number = F.when(F.col("base").isNull(), _moved()).otherwise(F.col("first") + F.col("at") - F.col("base") + 1)
     plain = joined.filter(F.coalesce("spans", F.lit(0)) == 0)
     return plain.select("file", number.alias("record_no"), F.col("line").alias("raw"))
 
@@ -172,12 +176,17 @@ def _spanning_records(lines: DataFrame, splits: DataFrame) -> DataFrame:
         F.max_by(after[1], "at").alias("end1"),
         F.max("begun0").alias("n0"),
         F.max("begun1").alias("n1"),
+        F.count_if(F.col("line") != "").alias("lines"),
     )
     across = Window.partitionBy("file").orderBy("block")
     starts = _chain(ends, "end0", "end1", across).withColumn("start", F.col("before0"))
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.withColumn("first", F.coalesce(F.sum(by_start("n")).over(earlier), F.lit(0)))
-    starts = starts.select(*SPLIT, "start", "first")
+    # The lines are read a second time, blank ones too: a file must have as many others as in the first pass.
+    seen = splits.groupBy("file").agg(F.sum("n").alias("seen"))
+    starts = starts.withColumn("now", F.sum("lines").over(Window.partitionBy("file"))).join(small_side(seen), "file", "left")
+    first = F.when(F.col("now").eqNullSafe(F.col("seen")), F.col("first")).otherwise(_moved()).alias("first")
+    starts = starts.select(*SPLIT, "start", first)
     numbered = marked.join(small_side(starts, MAX_BROADCAST_SPLITS), SPLIT).select(
         "file", "block", "at", "line", (F.col("first") + by_start("begun")).alias("record_no"),
         by_start("before").alias("open"), F.when(by_start("before") == 0, F.col("out")).otherwise(F.col("ins")).alias("left_open"),

@@ -15,22 +15,28 @@ from csvharbor.operators.joins import distinct_keys, lookup_join
 from csvharbor.plans.ingest import LoadResult, load
 from csvharbor.sources.store import Store
 from csvharbor.specs import TableSpec
+from csvharbor.streaming.progress import LoadProgress
+from csvharbor.streaming.unique import KeyGate
 
 MAX_FILES_PER_TRIGGER = 1_000
 PATH_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 PROGRESS_SCHEMA = "query string, micro_batch bigint, phase string, files bigint, rows_inserted bigint, rows_skipped bigint, total_rows bigint, percent double"
 
 
-def arriving_files(spark: SparkSession, directory: str, archive: str | None = None, max_files: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
-    """Paths of new files; their content is left unread. With ``archive``, handled files move there.
+def arriving_files(
+    spark: SparkSession, directory: str, archive: str | None = None, max_files: int = MAX_FILES_PER_TRIGGER, max_bytes: int | None = None
+) -> DataFrame:
+    """Paths and sizes of new files; their content is left unread. With ``archive``, handled files move there.
 
-    A file moves when a later micro-batch commits, so the newest batch's files stay until then.
+    A file moves when a later micro-batch commits, so the newest batch's files stay until then. With ``max_bytes``, a
+    micro-batch takes files up to that size together, however many; a larger file comes alone.
     """
-    reader = spark.readStream.format("binaryFile").schema(PATH_SCHEMA).option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.format("binaryFile").schema(PATH_SCHEMA)
+    reader = reader.option("maxBytesPerTrigger", max_bytes) if max_bytes else reader.option("maxFilesPerTrigger", max_files)
     reader = reader.option("pathGlobFilter", "*.csv")
     if archive:
         reader = reader.options(cleanSource="archive", sourceArchiveDir=archive)
-    return reader.load(directory).select("path")
+    return reader.load(directory).select("path", "length")
 
 
 def start_load(
@@ -42,24 +48,37 @@ def start_load(
     archive: str | None = None,
     max_files: int = MAX_FILES_PER_TRIGGER,
     on_batch: Callable[[int, LoadResult], None] | None = None,
+    unique_within: dt.timedelta | None = None,
+    max_bytes: int | None = None,
+    progress_log: LoadProgress | None = None,
     **options,
 ) -> StreamingQuery:
     """Load whatever has arrived, then stop.
 
+    With ``unique_within``, rows whose key another row of this stream had less than that time before become failed rows; the
+    keys are remembered beside the checkpoint, see ``KeyGate``.
+
     The batch id comes from the checkpoint and the files of the micro-batch: a retry, which has the same files, loads
     nothing twice, and files of another folder or stream never meet an id that is taken.
     """
 
+    gate = KeyGate(store.spark, f"{checkpoint}-keys", spec, unique_within) if unique_within else None
+
     def load_batch(paths: DataFrame, number: int) -> None:
         # At most max_files short paths; the files themselves are read by the executors.
-        names = [r.path for r in paths.distinct().collect()]
+        given = paths.distinct().collect()
+        names = [r.path for r in given]
         if names:
             identity = hashlib.sha256("\n".join([checkpoint, *sorted(names)]).encode()).hexdigest()[:32]
-            result = load(store, spec, names, f"stream-{identity}", as_of(), **options)
+            result = load(store, spec, names, f"stream-{identity}", as_of(), admit=gate.admit if gate else None, **options)
+            if progress_log:
+                progress_log.loaded(number, len(names), sum(r.length for r in given), result.counts)
             if on_batch:
                 on_batch(number, result)
 
-    files = arriving_files(store.spark, directory, archive, max_files)
+    files = arriving_files(store.spark, directory, archive, max_files, max_bytes)
+    if progress_log:
+        progress_log.follow(directory)
     return (
         files.writeStream.foreachBatch(load_batch)
         .option("checkpointLocation", checkpoint)

@@ -15,6 +15,7 @@ from csvharbor.sources import records
 from csvharbor.sources.store import Store
 from csvharbor.specs import Registry
 from csvharbor.streaming import drop, feed
+from csvharbor.streaming.progress import LoadProgress
 from csvharbor.workload.base import AS_OF_YEAR, ORDERS, double, query, table
 from csvharbor.workload.history import failed_rows
 from csvharbor.workload.validation import BROKEN, FIRST_SQL, FORM, WRONG_TEXT
@@ -125,6 +126,28 @@ def preview_job(spark, sf):
     return updates.unionByName(rest[0]).unionByName(rest[1])
 
 
+COUNTS_SQL = f"""
+    SELECT count(*) AS total_rows, count(*) FILTER (({FILE_REASON_SQL}) IS NULL) AS rows_inserted, count(*) FILTER (({FILE_REASON_SQL}) IS NOT NULL) AS rows_skipped
+    FROM orders"""
+
+
+@query(COUNTS_SQL)
+def load_counts(spark, sf):
+    """The counts of a load as its write observed them; what was written is not read again for them."""
+    counts = ingest.load(forms_store(spark), FORM, write_forms(spark, sf), "b1", AS_OF, pathGlobFilter="*.csv").counts
+    return spark.createDataFrame([tuple(counts[c] for c in ("total_rows", "rows_inserted", "rows_skipped"))], "total_rows long, rows_inserted long, rows_skipped long")
+
+
+@query(f"SELECT 'starting' AS phase, 0 AS total_rows, 0 AS rows_inserted, 0 AS rows_skipped, 0.0::DOUBLE AS percent UNION ALL SELECT 'complete', *, 100.0 FROM ({COUNTS_SQL})")
+def load_progress(spark, sf):
+    """First and last note of a streaming load whose micro-batches are bounded by bytes."""
+    store, source = forms_store(spark), write_forms(spark, sf)
+    noted = LoadProgress(spark, scratch(spark, "progress"), f"load_{FORM.key}")
+    drop.start_load(store, FORM, source, scratch(spark, "checkpoint"), lambda: AS_OF, max_bytes=4_000_000, progress_log=noted).awaitTermination()
+    noted.finished()
+    return noted.rows().filter("phase IN ('starting', 'complete')").select("phase", "total_rows", "rows_inserted", "rows_skipped", "percent")
+
+
 PRICE = "CASE WHEN o_totalprice = floor(o_totalprice) THEN printf('%.0f', o_totalprice) ELSE printf('%.2f', o_totalprice) END"
 
 
@@ -167,11 +190,8 @@ def audit_feed(spark, sf):
     return spark.read.parquet(target).withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
 
 
-@query("""
-    SELECT CASE WHEN ts < TIMESTAMP '2024-01-21' THEN 'archive' ELSE 'log' END AS part, event_type, count(*) AS n FROM events
-    WHERE ts >= TIMESTAMP '2024-01-06' GROUP BY 1, 2""")
-def retention_job(spark, sf):
-    """Stored log: archive after 60 days, then purge after six years counted from a date that cuts off the first days."""
+def event_log(spark, sf) -> Store:
+    """Events as audit entries in two batches."""
     store = Store(spark, scratch(spark, "store"), Registry())
     events = table(spark, sf, "events")
     late = F.col("event_id") % 2 == 0
@@ -179,8 +199,35 @@ def retention_job(spark, sf):
         given = part.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("action"), F.col("ts").alias("created_at"))
         store.write("audit_log", batch, audit.entries(given))
         store.commit([("audit_log", batch, 0)])
+    return store
+
+
+def parts(store: Store):
+    log = store.log("audit_log").select(F.lit("log").alias("part"), "action", "id")
+    archive = store.log("audit_log_archive").select(F.lit("archive").alias("part"), "action", "id")
+    return log.unionByName(archive).withColumnRenamed("action", "event_type")
+
+
+@query("""
+    SELECT CASE WHEN ts < TIMESTAMP '2024-01-21' THEN 'archive' ELSE 'log' END AS part, event_type, count(*) AS n FROM events
+    WHERE ts >= TIMESTAMP '2024-01-06' GROUP BY 1, 2""")
+def retention_job(spark, sf):
+    """Stored log: archive after 60 days, then purge after six years counted from a date that cuts off the first days."""
+    store = event_log(spark, sf)
     retention.run(store, "keep", dt.datetime(2024, 3, 21), days=60, years=6)
     retention.purge(store, dt.datetime(2030, 1, 6), years=6)
-    log = store.log("audit_log").select(F.lit("log").alias("part"), "action")
-    archive = store.log("audit_log_archive").select(F.lit("archive").alias("part"), "action")
-    return log.unionByName(archive).groupBy("part", F.col("action").alias("event_type")).agg(F.count("*").alias("n"))
+    return parts(store).groupBy("part", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT CASE WHEN ts < TIMESTAMP '2024-01-21' THEN 'archive' ELSE 'log' END AS part, event_type, count(*) AS n, count(DISTINCT event_id) AS ids, 1 AS late_moves
+    FROM events GROUP BY 1, 2""")
+def archive_in_steps(spark, sf):
+    """The move in steps of days that is stopped after two of them and taken up again: nothing lost, nothing twice."""
+    store, as_of = event_log(spark, sf), dt.datetime(2024, 3, 21)
+    step = max(1, table(spark, sf, "events").count() // 12)
+    retention.archive_steps(store, "first", as_of, days=60, step_rows=step, most_steps=2)
+    retention.archive_steps(store, "again", as_of, days=60, step_rows=step)
+    several = retention.moves(store).agg((F.count_if(F.col("move").startswith("again")) >= 1).cast("int").alias("late_moves"))
+    counts = parts(store).groupBy("part", "event_type").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    return counts.withColumn("late_moves", F.lit(several.first().late_moves))

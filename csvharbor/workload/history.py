@@ -105,6 +105,17 @@ def failed_page(spark, sf):
     return history.failed_page(failed_rows(spark, sf), "u7", 2, 2).select("upload_id", "line_number", "reason")
 
 
+@query("""
+    SELECT o_orderpriority AS upload_id, o_orderkey AS line_number, 'expected 6 columns, got 2' AS reason
+    FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' ORDER BY line_number LIMIT 10 OFFSET 20""")
+def failed_third_page(spark, sf):
+    """The third page of an upload with many failed rows: an upload per priority."""
+    rows = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(
+        F.col("o_orderpriority").alias("upload_id"), F.col("o_orderkey").alias("line_number"), F.lit("expected 6 columns, got 2").alias("reason")
+    )
+    return history.failed_page(rows, "1-URGENT", 3, 10)
+
+
 @query("""
     SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey = 8 ORDER BY o_orderkey LIMIT 4 OFFSET 4""")
 def load_page(spark, sf):

@@ -92,6 +92,18 @@ def test_moved_splits_fail_loudly(spark, tmp_path):
         records._plain_records(lines, splits).collect()
 
 
+def test_changed_files_fail_loudly(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\n\ny"\n')
+    lines = records.read_lines(spark, str(tmp_path))
+    splits = records._split_summary(lines.filter("line != ''").withColumn("at", F.monotonically_increasing_id()), F.lit(True))
+    splits = spark.createDataFrame(splits.collect(), splits.schema)
+    assert [r.raw for r in records._spanning_records(lines, splits).orderBy("record_no").collect()] == ["a,b", '1,"x\n\ny"']
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\n\ny"\n2,z\n')
+    lines = records.read_lines(spark, str(tmp_path))
+    with pytest.raises(Exception, match="changed between passes"):
+        records._spanning_records(lines, splits).collect()
+
+
 def test_strict_quotes(spark):
     rows = spark.createDataFrame([('a,"b ""x""",c',), ('a,5" b',), ('"a" b,c',), ("plain,x",)], "raw string")
     found = [r.e is None for r in rows.select(records.strict_error(F.col("raw")).alias("e")).collect()]
