@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from csvharbor.llm.components import components, spread
+from csvharbor.operators.joins import lookup_join
 from csvharbor.session import cut
 
 BITS = 20
@@ -96,8 +97,9 @@ def near_duplicates(
     """``id, n_links, component`` per row, for links of at least ``cosine`` between rows of one label.
 
     Rows whose label or vector is null, zero, or holds a null or non-finite number link with nothing, nor do vectors of
-    different lengths. Equal vectors are one class with a count; each row counts all other rows that it links with. A row
-    without an id links with nothing. Other columns are not looked at.
+    different lengths. Equal vectors are one class with a count; each row counts all other rows that it links with. Rows that
+    repeat an id are in one component, whatever their vectors, and each counts the links of its own vector. A row without
+    an id links with nothing. Other columns are not looked at.
     """
     tables = table_count(cosine, bits)
     source = vectors.select(
@@ -113,10 +115,10 @@ def near_duplicates(
         .withColumn("size", F.size("vector")).withColumn("lo", F.xxhash64("vector")).withColumn("hi", F.xxhash64(F.lit(7), "vector"))
     )
     same = ["label", "size", "lo", "hi"]
-    classes = hashed.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    member = cut(hashed.select("id", *same).join(classes, same).select("id", "rep", "copies"))
-    reps = hashed.join(classes.select(F.col("rep").alias("id"), *same, "copies"), ["id", *same]).dropDuplicates(["id"])
-    reps = cut(reps.select("id", "copies", "vector", "label", "size", "codes"))
+    classes = cut(hashed.groupBy(*same).agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("class", F.monotonically_increasing_id()))
+    member = cut(hashed.select("id", *same).join(classes, same).select("id", "class", "copies"))
+    reps = hashed.join(classes.select(F.col("least").alias("id"), *same, "class", "copies"), ["id", *same]).dropDuplicates(["class"])
+    reps = cut(reps.select(F.col("class").alias("id"), "copies", "vector", "label", "size", "codes"))
     entries = reps.select("id", "label", "size", F.posexplode("codes").alias("t", "code")).select("id", "t", F.xxhash64("label", "size", "t", "code").alias("key"))
     buckets = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("parts"))
     met = entries.join(buckets, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
@@ -125,10 +127,20 @@ def near_duplicates(
     )
     work = pieces.join(reps.select("id", "copies", "vector", "codes"), "id")
     counted = cut(work.groupBy("key", "one", "two", "t").applyInArrow(_counted(cosine), "id long, n long, least long"))
-    totals = counted.groupBy("id").agg(F.sum("n").alias("n"))
-    groups = components(counted.where("least < id").select(F.col("id").alias("u"), F.col("least").alias("v")))
-    found = member.join(totals.withColumnRenamed("id", "rep"), "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    found = found.select("id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    able = hashed.select("id").distinct()
-    rest = source.select("id").where("id IS NOT NULL").join(able, "id", "left_anti").union(source.select("id").where("id IS NULL"))
-    return found.union(rest.select("id", F.lit(0).cast("long"), "id")).withColumnRenamed("id", id_column)
+    totals = counted.groupBy(F.col("id").alias("class")).agg(F.sum("n").alias("n"))
+    # Classes are linked by cosine, or because rows of one id stand in both.
+    held = member.groupBy("id").agg(F.min("class").alias("v"), F.max("class").alias("last")).where("v != last").select("id", "v")
+    shared = member.join(held, "id").select(F.col("class").alias("u"), "v")
+    groups = components(counted.where("least < id").select(F.col("id").alias("u"), F.col("least").alias("v")).union(shared))
+    grouped = cut(member.join(groups.withColumnRenamed("id", "class"), "class", "left").withColumn("g", F.coalesce("component", "class")).drop("component"))
+    smallest = grouped.groupBy("g").agg(F.min("id").alias("component"))
+    found = lookup_join(grouped.join(totals, "class", "left"), cut(smallest), ["g"])
+    found = found.select("id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component")
+    # Rows that cannot link: as many of an id as have no vector among the hashed; the id's component is theirs too.
+    every, able = (f.groupBy("id").agg(F.count("*").alias(n)) for f, n in ((source.where("id IS NOT NULL"), "every"), (hashed, "able")))
+    void = every.join(able, "id", "left").select("id", (F.col("every") - F.coalesce("able", F.lit(0))).alias("n")).where("n > 0")
+    owned = found.groupBy("id").agg(F.min("component").alias("component"))
+    void = void.join(owned, "id", "left").select("id", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"), "component")
+    found = found.union(void.select("id", F.lit(0).cast("long"), F.coalesce("component", "id")))
+    nameless = source.select("id").where("id IS NULL")
+    return found.union(nameless.select("id", F.lit(0).cast("long"), "id")).withColumnRenamed("id", id_column)

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from csvharbor.llm.components import components, spread
+from csvharbor.llm.ranks import numbered
 from csvharbor.llm.textarrays import blocks, mix, shingles, word_hashes, words
+from csvharbor.operators.joins import lookup_join
 from csvharbor.session import cut
 
 COORDINATES = 450
@@ -127,7 +129,7 @@ def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     owners = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (one, two)]
     flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (one, two)]
     shared = np.intersect1d(flat[0], flat[1])
-    out = np.zeros((len(one), len(two)), np.float32)
+    out = np.zeros((len(one), len(two)), np.int64)
     if not len(shared):
         return out
     places = [np.searchsorted(shared, x) for x in flat]
@@ -139,7 +141,7 @@ def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
             side = np.zeros((len(lists), min(_COLUMNS, len(shared) - at)), np.float32)
             side[owner[here], place[here] - at] = 1
             sides.append(side)
-        out += sides[0] @ sides[1].T
+        out += (sides[0] @ sides[1].T).astype(np.int64)
     return out
 
 
@@ -152,7 +154,7 @@ def _blocked(percent: int):
         sets = [x.values.to_numpy() for x in group.column("shingles").combine_chunks()]
         a, b = np.flatnonzero(part == one), np.flatnonzero(part == two)
         both = overlaps([sets[k] for k in a], [sets[k] for k in b])
-        sizes = np.array([len(x) for x in sets], np.float32)
+        sizes = np.array([len(x) for x in sets], np.int64)
         linked = (both > 0) & (100 * both >= percent * (sizes[a][:, None] + sizes[b][None] - both))
         least = ids.copy()
         rows, columns = spread(linked, ids[a], ids[b])
@@ -163,23 +165,49 @@ def _blocked(percent: int):
     return blocked
 
 
+def apart(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """Rows ``(given, id, ...)`` with ids under which one text stands only, and the ids that were made up, ``(id, given)``, if any.
+
+    Of an id's texts one keeps it; each other one gets an id of its own above all given ones. All columns of the rows stay,
+    in a struct ``doc``. Null ids stay null.
+    """
+    rows = docs.select(F.col(id_column).alias("given"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    held = rows.where("given IS NOT NULL").groupBy("given").agg(F.min("h").alias("first"), F.max("h").alias("last"))
+    several = cut(held.where("first != last").select("given", "first"))
+    if several.isEmpty():
+        return rows.withColumn("id", F.col("given")), None
+    highest = rows.agg(F.max("given")).first()[0]
+    others = rows.select("given", "h").join(several, "given").where("h != first").select("given", "h").distinct()
+    made = numbered(cut(others.withColumn("one", F.lit(0))), ["one"], ["given", "h"])
+    made = cut(made.select("given", "h", (F.col("place") + (highest + 1)).alias("new")))
+    joined = lookup_join(rows, made, ["given", "h"], "left")
+    return joined.withColumn("id", F.coalesce("new", "given")).drop("new"), made.select(F.col("new").alias("id"), "given")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
     """``id, n_shingles, component`` per row: component is the least id reachable over links of at least ``percent`` Jaccard.
     Ids are integers.
 
     Words are lower-cased (A-Z) runs without white space; a text's set holds its distinct shingles of ``width`` words, or
     the whole of a shorter text. Texts that are null or without words link with nothing and are their own component. Rows
-    that repeat an id count as one document. A row without an id links with nothing and has no component. Other columns
-    are not looked at.
+    that repeat an id are in one component; if their texts differ, each row's links are those of its own text. A row without
+    an id links with nothing and has no component. Other columns are not looked at.
 
     Equal sets are one class, so copies cost no pairs. Classes that meet the least one of their bucket in two bands or more
     are compared with it, first with the one met most often. What then still meets across components is compared in full:
     the members of buckets of up to ``FEW`` as pairs, if they meet twice, and larger buckets in pairs of blocks of bounded
     size, which return spanning links and never pairs. No bucket is gathered whole.
     """
+    named = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    rows, made = apart(named, "id", "text")
+    found = _near_duplicates(rows.select("id", F.col("doc.text").alias("text")), made, width, percent)
+    given = found if made is None else lookup_join(found, made, ["id"], "left").withColumn("id", F.coalesce("given", "id")).select("id", "n", "component")
+    return given.withColumnRenamed("n", "n_shingles").withColumnRenamed("id", id_column)
+
+
+def _near_duplicates(source: DataFrame, made: DataFrame | None, width: int, percent: int) -> DataFrame:
+    """``id, n, component`` of rows whose ids have one text each; ``made`` ids belong with the given ones."""
     rows, bands = banding(percent)
-    source = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    spark = docs.sparkSession
     sketches = cut(source.mapInArrow(_sketch(width, rows, bands), f"id {dict(source.dtypes)['id']}, n long, lo long, hi long, keys array<long>"))
     able = sketches.where("n > 0 AND id IS NOT NULL")
     classes = able.groupBy("lo", "hi", "n").agg(F.min("id").alias("rep"))
@@ -236,8 +264,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     kind = dict(source.dtypes)["id"]
     shingled = texts.join(pieces.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(width), f"id {kind}, shingles array<long>")
     inside = pieces.join(shingled, "id").groupBy("key", "one", "two").applyInArrow(_blocked(percent), f"u {kind}, v {kind}")
-    groups = cut(components(cut(links.union(confirmed(rest)).union(inside))))
+    links = links.union(confirmed(rest)).union(inside)
+    if made is not None:  # a made-up id and the given one are one document, though their texts need not be alike
+        reps = member.select("id", "rep").distinct()
+        own = made.join(reps, "id", "left").select(F.coalesce("rep", "id").alias("u"), F.col("given").alias("id")).join(reps, "id", "left")
+        links = links.union(own.select("u", F.coalesce("rep", "id").alias("v")))
+    groups = cut(components(cut(links)))
 
     found = member.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
-    rest = sketches.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component"))
-    return found.union(rest).withColumnRenamed("n", "n_shingles").withColumnRenamed("id", id_column)
+    rest = sketches.where("n = 0 OR id IS NULL").select("id", "n")
+    if made is None:
+        return found.union(rest.select("id", "n", F.col("id").alias("component")))
+    return found.union(lookup_join(rest, groups, ["id"], "left").select("id", "n", F.coalesce("component", "id").alias("component")))

@@ -1,6 +1,7 @@
 """Mixing, quality rules, the pipeline, and the registered queries."""
 
 import hashlib
+from collections import Counter
 
 import duckdb
 import public_tokenizers
@@ -169,6 +170,47 @@ def test_pipeline_stage_by_stage(spark, fixture_dir):
     assert coded == sorted((i, len(t := tokens.encode_ordinary(x)), sha(",".join(map(str, t)).encode()), sha(x.encode())) for i, x in texts)
 
 
+CLASHING = "_rank long, _copies string, _row int, doc struct<a:int>, name string, copies int, id string, tags array<map<string,int>>, `odd name.x` map<string,string>"
+
+
+def clashing(spark, rows):
+    """Rows with further columns whose names the stages might use, and of types that cannot be compared."""
+    full = [(*r, 7, "c", 3, (1,), "n", 9, "i", [{"k": 1}], {"a": "b"}) for r in rows]
+    return spark.createDataFrame(full, f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}")
+
+
+def extras(rows):
+    return {(r._rank, r._copies, r._row, r.doc.a, r.name, r.copies, r.id, str(r.tags), str(r["odd name.x"])) for r in rows}
+
+
+def test_near_duplicate_stage_keeps_further_columns_and_other_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    rows = [(1, a, "en", "s", 1), (1, a, "de", "s", 1), (1, b, "en", "s", 1), (2, a + " more", "en", "s", 1), (3, b, "en", "s", 1), (None, a, "en", "s", 1), (None, a, "en", "s", 1), (4, None, None, None, None)]
+    docs = clashing(spark, rows)
+    kept = corpus_pipeline.deduplicated(spark, docs, "")
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    found = kept.collect()
+    ids = lambda texts: sorted((r.doc_id, r.lang) for r in found if r.text in texts and r.doc_id is not None)
+    assert ids([a, a + " more"]) in ([(1, "de")], [(2, "en")]) and ids([b]) in ([(1, "en")], [(3, "en")])
+    assert len(found) == 5 and [r.text for r in found if r.doc_id is None] == [a, a] and [r.text for r in found if r.doc_id == 4] == [None]
+    assert extras(found) == extras(docs.collect())
+
+
+def test_mixing_stage_without_ids(spark):
+    rows = [(None, "w " * 10, "en", "a", k) for k in range(900)] + [(k % 3, "v " * (k % 7 + 1), "en", "b", k) for k in range(600)] + [(5, None, None, None, None)]
+    docs = clashing(spark, rows)
+    taken = corpus_pipeline.mixed(spark, docs, "")
+    assert taken.columns == docs.columns and taken.dtypes == docs.dtypes
+    found = taken.collect()
+    sizes = {"a": 9000, "b": sum(k % 7 + 1 for k in range(600)), None: 0}
+    target = brute.targets(sizes)
+    for source in ("a", "b"):
+        of = [r for r in found if r.source == source]
+        assert abs(sum(len(brute.words(r.text)) for r in of) - target[source]) <= 20, source
+        assert max(Counter(r.n_chars for r in of).values()) <= 2
+    assert [r.doc_id for r in found if r.source is None] == [5] and extras(found) == extras(docs.collect())
+
+
 def test_pipeline_of_nothing(spark, tmp_path, fixture_dir):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{fixture_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")

@@ -59,6 +59,15 @@ def test_rows_that_repeat_or_have_no_id(spark):
     assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, None), (None, 0, None), (3, 1, 3)], key=str)
 
 
+def test_texts_that_differ_under_one_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (2, b + " x"), (7, a + " y"), (9, c), (9, c), (9, None), (1, c + " z"), (6, ""), (6, "one two"), (8, "One TWO"), (None, a), (None, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component) for r in minhash.near_duplicates(df).collect()), key=str)
+    component = {5: 2, 2: 2, 7: 2, 9: 1, 1: 1, 6: 6, 8: 6, None: None}
+    assert got == sorted(((i, len(brute.shingle_set(t, 3)), component[i]) for i, t in rows), key=str)
+
+
 def test_no_documents(spark):
     assert near(spark, []) == {}
 
@@ -85,6 +94,12 @@ def test_overlaps(monkeypatch):
     assert (minhash.overlaps(sets[:5], sets[5:]) == [[len(np.intersect1d(x, y)) for y in sets[5:]] for x in sets[:5]]).all()
 
 
+def test_large_sets_are_counted_exactly():
+    sets = [np.arange(795_293), np.arange(675_999)]
+    both = minhash.overlaps(sets[:1], sets[1:])
+    assert both[0, 0] == 675_999 and both.dtype == np.int64 and not (100 * both >= 85 * (795_293 + 675_999 - both)).any()
+
+
 def close(spark, rows):
     df = spark.createDataFrame([(i, v, k, "x") for i, v, k in rows], "vec_id long, embedding array<float>, label int, n string")
     return sorted(((r.vec_id, r.n_links, r.component) for r in embeddings.near_duplicates(df).collect()), key=str)
@@ -126,6 +141,14 @@ def test_odd_vectors(spark):
     assert got == expected(rows) and (1, 3, 1) in got
 
 
+def test_vectors_that_differ_under_one_id(spark):
+    a, b, c = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1], [0.1, 0.0, 1.0]
+    rows = [(1, a, 0), (5, a, 0), (5, b, 0), (9, b, 0), (9, b, 0), (5, None, 0), (7, None, 0), (7, None, 0), (8, c, 0), (8, c, 1), (3, c, 1), (None, a, 0), (4, [0.0] * 3, 0)]
+    got = close(spark, rows)
+    links = [(1, 1, 1), (5, 1, 1), (5, 2, 1), (9, 2, 1), (9, 2, 1), (5, 0, 1), (7, 0, 7), (7, 0, 7), (8, 0, 3), (8, 1, 3), (3, 1, 3), (None, 0, None), (4, 0, 4)]
+    assert got == sorted(links, key=str)
+
+
 def test_no_vectors(spark):
     assert close(spark, []) == []
 
