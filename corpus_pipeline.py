@@ -1,17 +1,19 @@
 """Corpus cleaning as a chain of stages; each stage reads what the one before it wrote.
 
 Null texts, empty texts, repeated rows and further columns pass through the stages as their operators define it: a text
-without letters is rejected by the language stage, rows that repeat a doc_id are one document to the near-duplicate stage,
-and an empty table stays empty.
+without letters is rejected by the language stage, rows that repeat a doc_id with one text are one document to the
+near-duplicate stage, further columns of any type and name stay with their rows, and an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from csvharbor.llm import langid, minhash, mixing, queries, toxicity
+from csvharbor.llm.ranks import numbered
 from csvharbor.llm.registry import reached
+from csvharbor.operators.joins import lookup_join
 from csvharbor.session import cut
 
 LEAST_LANGUAGE_SCORE = 0.5
@@ -38,20 +40,42 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of every group of near copies; rows without a doc_id stay."""
-    found = minhash.near_duplicates(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    kept = found.where(F.col("doc_id") == F.col("component")).select("doc_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*(c for c, kind in docs.dtypes if not kind.startswith("map"))))
-    own = docs.join(kept, "doc_id", "left_semi").withColumn("_rank", rank).where("_rank = 1")
-    return own.select(docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    """Keeps the document with the least doc_id of every group of near copies; rows without a doc_id stay.
+
+    Of rows that repeat a doc_id with one text, one stays: the first by the rows' JSON. Different texts under one doc_id are
+    documents of their own.
+    """
+    rows, _ = minhash.apart(docs)
+    named = rows.select("id", F.col("doc.text").alias("text"))
+    found = minhash.near_duplicates(named, id_column="id", width=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    kept = found.where(F.col("id") == F.col("component")).select("id").distinct()
+    own = lookup_join(rows, cut(kept), ["id"], "left_semi").select("id", "doc")
+    repeated = cut(named.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    if not repeated.isEmpty():
+        first = lookup_join(own, repeated, ["id"], "left_semi").groupBy("id").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
+        own = lookup_join(own, repeated, ["id"], "left_anti").select("id", "doc").unionByName(first)
+    return own.select("doc.*").union(docs.where(F.col("doc_id").isNull()))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that each source comes to its target of words."""
-    plan = mixing.mix(docs).select(F.struct("doc_id", "source", "size").alias("_row"), "copies").groupBy("_row").agg(F.max("copies").alias("_copies"))
-    row = F.struct("doc_id", F.col("source").cast("string").alias("source"), mixing.word_count(F.col("text")).alias("size"))
-    joined = docs.withColumn("_row", row).join(plan.withColumnRenamed("_row", "_planned"), F.col("_row").eqNullSafe(F.col("_planned")))
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select(docs.columns)
+    """Repeats or leaves out documents so that each source comes to its target of words.
+
+    Rows alike in doc_id, source and size share what is planned for them: if not all get as many copies, the first of them,
+    by a number of their own, get the fewest.
+    """
+    name = F.to_json(F.struct(F.col("doc_id").alias("i"), F.col("source").cast("string").alias("s"), F.col("size").alias("n")))
+    plan = mixing.mix(docs).select(name.alias("name"), "copies").groupBy("name")
+    plan = cut(plan.agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.count_if(F.col("copies") == 0).alias("none"), F.count_if(F.col("copies") < 2).alias("below")))
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    rows = sized.select("doc", name.alias("name"))
+    taken = lookup_join(rows, plan.where("least = most").select("name", F.col("least").alias("copies")), ["name"])
+    parted = cut(plan.where("least < most"))
+    if not parted.isEmpty():
+        unlike = cut(lookup_join(rows, parted, ["name"]).withColumn("row", F.monotonically_increasing_id()))
+        place = numbered(unlike.select("name", "row"), ["name"], ["row"]).select("row", "place")
+        copies = F.when(F.col("place") < F.col("none"), 0).when(F.col("place") < F.col("below"), 1).otherwise(F.col("most"))
+        taken = taken.unionByName(unlike.join(place, "row").select("name", "doc", copies.cast("long").alias("copies")))
+    return taken.select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
