@@ -13,7 +13,7 @@ HEX, KEY = "0123456789abcdef" * 2, "AKIA" + "Q7" * 8
 
 def brute(text, rules=secrets.RULES):
     out = []
-    for order, rule in enumerate(rules):
+    for order, rule in enumerate(rules, 1):
         for m in re.finditer(rule.pattern, text or "", re.ASCII):
             if len(m[rule.group]) >= rule.least:
                 out.append((m.start(), order, rule.kind, m.end()))
