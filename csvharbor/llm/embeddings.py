@@ -144,3 +144,21 @@ def near_duplicates(
     found = found.union(void.select("id", F.lit(0).cast("long"), F.coalesce("component", "id")))
     nameless = source.select("id").where("id IS NULL")
     return found.union(nameless.select("id", F.lit(0).cast("long"), "id")).withColumnRenamed("id", id_column)
+
+
+#: The same in plain SQL, all pairs of a label compared.
+COMPONENTS_SQL = """
+WITH RECURSIVE s AS (SELECT row_number() OVER () AS r, vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
+able AS (
+  SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM s
+  WHERE id IS NOT NULL AND label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x != 0)) > 0),
+e AS (
+  SELECT a.r AS ra, a.id AS u, b.id AS v FROM able a JOIN able b ON a.label = b.label AND a.r != b.r
+  WHERE CASE WHEN len(a.v) = len(b.v) THEN list_dot_product(a.v, b.v) >= 0.98 * a.norm * b.norm ELSE false END),
+n AS (SELECT ra AS r, count(*) AS n FROM e GROUP BY ra),
+near AS (SELECT DISTINCT u, v FROM e WHERE u != v),
+reach(id, c) AS (SELECT DISTINCT id, id FROM s WHERE id IS NOT NULL UNION SELECT near.v, c FROM reach JOIN near ON near.u = reach.id),
+comp AS (SELECT id, min(c) AS c FROM reach GROUP BY id)
+SELECT s.id AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, comp.c AS component_id, coalesce(s.id = comp.c, true) AS kept
+FROM s LEFT JOIN n ON n.r = s.r LEFT JOIN comp ON comp.id = s.id
+"""

@@ -276,3 +276,22 @@ def _near_duplicates(source: DataFrame, made: DataFrame | None, width: int, perc
     if made is None:
         return found.union(rest.select("id", "n", F.col("id").alias("component")))
     return found.union(lookup_join(rest, groups, ["id"], "left").select("id", "n", F.coalesce("component", "id").alias("component")))
+
+
+#: The same for three words and 85 per cent in plain SQL, every pair that shares a shingle counted.
+COMPONENTS_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id AS id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, id, CASE WHEN len(w) < 3 THEN w ELSE w[i:i + 2] END AS g
+  FROM (SELECT r, id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, id, count(*) AS n FROM s GROUP BY r, id),
+e AS (
+  SELECT DISTINCT a.id AS u, b.id AS v
+  FROM (SELECT a.r AS ra, b.r AS rb, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.r != b.r AND a.id != b.id GROUP BY a.r, b.r)
+  JOIN n a ON a.r = ra JOIN n b ON b.r = rb WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+reach(id, c) AS (SELECT DISTINCT id, id FROM d WHERE id IS NOT NULL UNION SELECT e.v, c FROM reach JOIN e ON e.u = reach.id),
+comp AS (SELECT id, min(c) AS c FROM reach GROUP BY id)
+SELECT d.id AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, comp.c AS component_id, coalesce(d.id = comp.c, true) AS kept
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN comp ON comp.id = d.id
+"""

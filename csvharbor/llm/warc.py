@@ -253,3 +253,15 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     kind = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, path string, place long, error string"
     count = archives.count()
     return archives.select("path").repartition(max(1, min(count, 100_000))).mapInArrow(read, kind)
+
+
+#: What the archives of a whole table hold, in plain SQL.
+RECORDS_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least FROM pages),
+h AS (SELECT *, list_transform(range(4), lambda k: ('0x' || substr(sha1(payload), 10 * k + 1, 10))::BIGINT) AS fives FROM p)
+SELECT page_id, strlen(payload) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((fives[1 + i // 8] >> (35 - 5 * (i % 8))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > least THEN least END AS refers_to, NULL::VARCHAR AS error
+FROM h
+"""
