@@ -1,10 +1,11 @@
-"""Quality rules from a text alone and from lines that many documents of a host share, in built-in functions only."""
+"""Quality rules from a text alone and from lines that several documents of a host share, in built-in functions only."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from csvharbor.operators.joins import lookup_join
 from csvharbor.session import cut
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -13,8 +14,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
-LINE_DOCUMENTS = 20
-LINE_PERCENT = 10
+LINE_DOCUMENTS = 5
 DEPLETED_PERCENT = 50
 
 
@@ -70,18 +70,17 @@ def duplicate_lines(text: Column) -> Column:
 
 
 def judge(
-    docs: DataFrame, id_column: str = "doc_id", text: str = "text", host: str = "source",
-    line_documents: int = LINE_DOCUMENTS, line_percent: int = LINE_PERCENT, depleted_percent: int = DEPLETED_PERCENT,
-) -> DataFrame:
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", host: str = "source", line_documents: int = LINE_DOCUMENTS, depleted_percent: int = DEPLETED_PERCENT
+) -> DataFrame:
     """``id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, line_chars, removed_chars, base_failed, kept`` per row.
 
-    A line is removed when more than ``line_documents`` documents and ``line_percent`` per cent of the documents of its host
-    have it; a document is depleted when more than ``depleted_percent`` per cent of its characters go with such lines. A null
-    text counts as empty and fails; null hosts are one host; repeated rows are judged one by one. Other columns are not
-    looked at.
+    A line is removed when more than ``line_documents`` documents of its host have it, whatever the size of the host; a
+    document is depleted when more than ``depleted_percent`` per cent of its characters go with such lines. A null text counts
+    as empty and fails; null hosts are one host; repeated rows are judged one by one. Other columns are not looked at.
 
-    At most 100 / ``line_percent`` times the mean number of lines of a document can be above the limit at one host, so the
-    list that each host's documents are held against does not grow with the number of documents.
+    Lines meet the frequent ones of their host by a join, and only what it takes from a document goes on. Frequent lines
+    grow with the corpus: they are broadcast while they are few, and beyond that the lines that very many documents have
+    are joined apart from the rest.
     """
     content = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(
@@ -89,25 +88,23 @@ def judge(
     )
     facts = cut(
         read.select(
-            "id", "void", "name",
+            "id", "void", "name", F.monotonically_increasing_id().alias("row"),
             F.char_length(without(F.col("t"), BLANKS)).cast("long").alias("word_chars"),
             (F.char_length("t") - F.char_length(without(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
             duplicate_lines(F.col("t")).cast("long").alias("n_dup_lines"),
             bound(words_of(F.col("t")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeated"))).alias("words"),
-            line_facts(F.col("t")).alias("lines"),
+            bound(line_facts(F.col("t")), lambda lines: F.struct(
+                F.aggregate(lines, F.lit(0).cast("long"), lambda a, line: a + line["chars"]).alias("chars"), lines.alias("each"))).alias("lines"),
         )
     )
-    hosts = facts.groupBy("void", "name").agg(F.count("*").alias("documents"))
-    seen = facts.select("void", "name", F.explode(F.array_distinct(F.col("lines.h"))).alias("h")).groupBy("void", "name", "h").agg(F.count("*").alias("n"))
-    frequent = seen.where(F.col("n") > line_documents).join(hosts, ["void", "name"]).where(F.col("n") * 100 > F.col("documents") * line_percent)
-    limits = cut(frequent.groupBy("void", "name").agg(F.collect_list("h").alias("frequent")))
-    held = facts.join(limits, ["void", "name"], "left")
-    hits = F.array_intersect(F.col("lines.h"), F.coalesce("frequent", F.array().cast("array<bigint>")))
-    total = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, line: a + line["chars"])
-    removed = bound(hits, lambda hit: F.when(F.size(hit) == 0, F.lit(0).cast("long")).otherwise(total(F.filter("lines", lambda line: F.array_contains(hit, line["h"])))))
-    judged = held.select(
+    place = ["void", "name", "h"]
+    seen = facts.select("void", "name", F.explode(F.array_distinct(F.col("lines.each.h"))).alias("h")).groupBy(*place).agg(F.count("*").alias("n"))
+    frequent = cut(seen.where(F.col("n") > line_documents).select(*place))
+    lines = facts.select("row", "void", "name", F.explode("lines.each").alias("line")).select("row", "void", "name", "line.h", "line.chars")
+    removed = cut(lookup_join(lines, frequent, place).groupBy("row").agg(F.sum("chars").alias("removed_chars")))
+    judged = lookup_join(facts.drop("void", "name"), removed, ["row"], "left").select(
         "id", F.col("words.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("words.repeated").alias("n_repeat_words"),
-        total(F.col("lines")).alias("line_chars"), removed.alias("removed_chars"),
+        F.col("lines.chars").alias("line_chars"), F.coalesce("removed_chars", F.lit(0).cast("long")).alias("removed_chars"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     depleted = F.col("removed_chars") * 100 > F.col("line_chars") * depleted_percent
@@ -125,10 +122,7 @@ raw AS (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d),
 solid AS (SELECT r, l FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM solid GROUP BY r),
 norm AS (SELECT r, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(l, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')) AS l FROM solid),
-host AS (SELECT source, count(*) AS documents FROM d GROUP BY source),
-often AS (
-  SELECT d.source, l FROM norm JOIN d USING (r) GROUP BY d.source, l
-  HAVING count(DISTINCT r) > 20 AND count(DISTINCT r) * 100 > 10 * (SELECT documents FROM host WHERE host.source IS NOT DISTINCT FROM d.source)),
+often AS (SELECT d.source, l FROM norm JOIN d USING (r) GROUP BY d.source, l HAVING count(DISTINCT r) > 5),
 lines AS (
   SELECT r, sum(length(l)) AS total, sum(CASE WHEN EXISTS (SELECT 1 FROM often o WHERE o.source IS NOT DISTINCT FROM d.source AND o.l = norm.l) THEN length(l) ELSE 0 END) AS gone
   FROM norm JOIN d USING (r) GROUP BY r),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from csvharbor.llm import QUERIES, bpe, mixing, quality
+from csvharbor.operators import joins
 from tests.compare import difference, sorted_rows
 from tests.llm import brute
 
@@ -126,6 +127,20 @@ def test_depleted_documents_are_rejected(spark):
     assert not got[0].base_failed and not got[0].kept and got[100].kept
 
 
+@pytest.mark.parametrize("rows, hot", [(1_000_000, 5_000_000), (-1, 3), (-1, 100)])
+def test_the_limit_of_lines_is_a_number_of_documents(spark, monkeypatch, rows, hot):
+    """In a host of any size, and whether frequent lines are broadcast, joined apart or joined by shuffle."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(joins, "HOT_ROWS", hot)
+    shared = "Sign in to read the rest of this page and many others\n"
+    own = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    data = [(k, shared * 2 + own(k, 10), "large") for k in range(6)] + [(100 + k, own(k, 20), "large") for k in range(300)]
+    data += [(500 + k, shared * 2 + own(k, 10), "small") for k in range(5)] + [(600 + k, shared + own(k, 60), None) for k in range(6)]
+    got = judged(spark, data)
+    assert [got[k].kept for k in (0, 5, 100, 500, 600)] == [False, False, True, True, True]
+    assert [got[k].removed_chars for k in (0, 500, 600)] == [2 * 53, 0, 53] and not got[0].base_failed
+
+
 @pytest.fixture(scope="module")
 def fixture_dir(spark, tmp_path_factory):
     """Documents whose way through the pipeline is known, beside given ones that the models learn from."""
