@@ -1,8 +1,10 @@
 """Main text of web pages as a maximum-scoring run of words and tags.
 
 Words score above zero and tags below, by weights counted on pages whose article is marked up as such; one linear scan
-finds the run with the largest sum. Elements that never hold an article's text (menus, forms, adverts, reader comments
-and the like) are left out wherever they stand.
+finds the run with the largest sum. Elements that never hold an article's text (menus, adverts, reader comments and the
+like) are left out wherever they stand. A name that articles use for parts of their own too (``DOUBTFUL``) leaves an element
+out beside an article; inside one it does so unless the element holds running text. A form that holds most of a page's
+words is its frame.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from csvharbor.llm.ranks import drawn
+
 SAMPLE_PAGES = 300
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,10 +37,19 @@ BESIDE = frozenset(
     " signup signin login share sharing social related recommended recommendations widget toolbar masthead copyright disclaimer legal skip pagination pager"
     " paywall teaser".split()
 )
+# Those of them that parts of an article may have as well.
+DOUBTFUL = frozenset("share sharing social related recommended recommendations legal disclaimer copyright teaser skip respond reply subscription promotion".split())
+# Classes and ids, as a whole, of articles that are none: a reader's comment, an advert, a pointer to another page.
+NO_ARTICLE = re.compile(r"(?:user|reader|post|child|nested)?[-_]*(?:comments?|reply|replies|response)(?:[-_]*(?:item|body|content|entry|\d+))*|ads?|adverts?|advertisement|sponsored|promo|teaser|related")
+COMMENTS = frozenset("comment comments replies disqus".split())
 HEADERS = frozenset(("header", "masthead"))
 # Tags that articles are made of; they are taken to be cheap until pages say otherwise.
 CONTENT = INLINE | frozenset("p br h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre hr figure figcaption picture table caption thead tbody tfoot tr td th section".split())
 LEFT_OUT = -0.2
+INSIDE = -0.2
+FRAMED = frozenset("p h1 h2 h3 article main section".split())
+RUNNING_WORDS = 12
+GAP_TAGS = 4
 PRIOR = 5.0
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -54,12 +67,16 @@ class Weights:
     within: frozenset[str] = frozenset()
 
     def of(self, item: Item) -> float:
-        """Words count unless they are left out; tags of what is left out cost nothing in an article and little elsewhere."""
+        """Words count unless they are left out; tags of what is left out cost nothing in an article and little elsewhere.
+
+        Other tags cost little in an article as well, since it is known to go on.
+        """
         if item.text is not None:
             return 0.0 if item.out else (self.linked if item.linked else self.word) * len(item.text.split())
         if item.out:
             return 0.0 if item.inside else LEFT_OUT
-        return self.tags.get(item.name, _cost(item.name, 0, 0))
+        cost = self.tags.get(item.name, _cost(item.name, 0, 0))
+        return max(INSIDE, cost) if item.inside else cost
 
 
 def _cost(name: str, within: int, beside: int) -> float:
@@ -88,16 +105,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = stop.start() if stop else end
 
 
-def marks(attributes: str) -> tuple[set[str], set[str]]:
-    """Names in class and id, and roles."""
-    names, roles = set(), set()
+def marks(attributes: str) -> tuple[set[str], set[str], set[str]]:
+    """Names in class and id, roles, and classes and ids as they are but for their case."""
+    names, roles, whole = set(), set(), set()
     for m in ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
             roles.add(value.strip().lower())
         else:
             names |= {x.lower() for x in NAME.findall(value)}
-    return names, roles
+            whole |= set(value.lower().split())
+    return names, roles, whole
 
 
 @dataclass
@@ -113,48 +131,100 @@ class Item:
     names: frozenset[str] = frozenset()
 
 
+@dataclass
+class _Open:
+    """An element that is not closed yet: where its items begin, whether they are left out, and whether that is still to be seen."""
+
+    name: str
+    out: bool
+    start: int
+    comments: bool = False
+    doubtful: bool = False
+    form: bool = False
+    article: bool = False
+
+
+def _left_out(items: list[Item], start: int, end: int) -> None:
+    for item in items[start:end]:
+        item.out = True
+
+
+def _words(items: list[Item], start: int, end: int) -> tuple[int, int]:
+    """Words outside and inside links of what is not left out."""
+    n = [0, 0]
+    for item in items[start:end]:
+        if item.text is not None and not item.out:
+            n[item.linked] += len(item.text.split())
+    return n[0], n[1]
+
+
 def read(page: str, weights: Weights) -> list[Item]:
-    """The page's tags and texts in order. Elements that are never closed end with what they stand in."""
+    """The page's tags and texts in order. Elements that are never closed end with what they stand in.
+
+    An article opens whatever was left open before it, such as a menu without an end, but for reader comments; articles
+    among these, and those whose own class or id says that they are comments or adverts, are left out.
+    """
     items: list[Item] = []
-    stack: list[tuple[str, bool]] = []  # name, whether its content is left out
+    stack: list[_Open] = []
+    forms: list[tuple[int, int]] = []
     block = links = articles = 0
 
     def close(upto: int) -> None:
         nonlocal links, articles
-        for name, _ in stack[upto:]:
-            links -= name == "a"
-            articles -= name in ("article", "main")
+        for e in reversed(stack[upto:]):
+            links -= e.name == "a"
+            articles -= e.article
+            if e.doubtful:
+                plain, linked = _words(items, e.start, len(items))
+                if plain < RUNNING_WORDS or plain <= linked:
+                    e.out = True
+                    _left_out(items, e.start, len(items))
+            if e.form:
+                forms.append((e.start, len(items)))
         del stack[upto:]
 
     for kind, name, rest in tokens(page):
-        out = bool(stack) and stack[-1][1]
+        out = bool(stack) and stack[-1].out
         if kind == "text":
             items.append(Item("", entities.unescape(rest) if "&" in rest else rest, block, links > 0, out, articles > 0))
             continue
         if name not in INLINE:
             block += 1
         if kind == "close":
-            place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
-            if place >= 0:
-                out = stack[place][1]
+            place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), -1)
+            ended = stack[place] if place >= 0 else None
+            if ended:
                 close(place)
+                out = ended.out
             items.append(Item(name, None, block, False, out, articles > 0))
+            if ended and ended.form:
+                forms[-1] = (ended.start, len(items))
             continue
         names: frozenset[str] = frozenset()
-        if name in ("article", "main"):  # whatever was left open before it
-            while stack and stack[-1][1]:
+        comments = doubtful = form = False
+        found, roles, whole = marks(rest) if "=" in rest and not out or name == "article" else (set(), set(), set())
+        if name in ("article", "main"):
+            out = any(e.comments for e in stack) or (name == "article" and any(NO_ARTICLE.fullmatch(x) for x in whole))
+            while not out and stack and stack[-1].out:  # whatever was left open before it
                 close(len(stack) - 1)
-            out = False
         elif not out:
-            found, roles = marks(rest) if "=" in rest else (set(), set())
             names = frozenset(found)
-            apart = name in SECTIONS or roles & ROLES or found & weights.beside or (found & BESIDE) - weights.within
-            out = bool(apart) or (not articles and (name == "header" or found & HEADERS))
+            beside = (found & BESIDE) - weights.within
+            comments = bool(found & COMMENTS - weights.within)
+            form = name == "form" and not articles and not any(e.form for e in stack)
+            apart = (name in SECTIONS and not form) or roles & ROLES or found & weights.beside
+            out = bool(apart or (beside and (not articles or beside - DOUBTFUL)) or (not articles and (name == "header" or found & HEADERS)))
+            doubtful = bool(beside) and not out
         items.append(Item(name, None, block, False, out, articles > 0, names))
         if name not in VOID and not rest.endswith("/"):
-            stack.append((name, bool(out)))
+            stack.append(_Open(name, out, len(items) - 1, comments, doubtful, form and not out, name in ("article", "main") and not out))
             links += name == "a"
-            articles += name in ("article", "main")
+            articles += stack[-1].article
+    close(0)
+    for start, end in forms:
+        inside, every = sum(_words(items, start, end)), sum(_words(items, 0, len(items)))
+        if 2 * inside <= every or not any(item.text is None and item.name in FRAMED for item in items[start:end]):
+            _left_out(items, start, end)
     return items
 
 
@@ -188,7 +258,7 @@ def weigh(counts: Counter) -> Weights:
 
 
 def train(pages: DataFrame, html: str = "html", key: str = "page_id", sample_pages: int = SAMPLE_PAGES) -> Weights:
-    """Weights from at most ``sample_pages`` pages that mark their article, chosen by a hash of the key."""
+    """Weights from at most ``sample_pages`` pages that mark their article, chosen by a hash of key and page."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,8 +268,8 @@ def train(pages: DataFrame, html: str = "html", key: str = "page_id", sample_pag
             rows = list(total.items())
             yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows], pa.string()), pa.array([i for (_, i), _ in rows], pa.bool_()), pa.array([n for _, n in rows], pa.int64())], ["k", "i", "n"])
 
-    marked = pages.where(F.contains(F.lower(html), F.lit("<article"))).select(html, F.xxhash64(key).alias("draw"), key)
-    sample = marked.orderBy("draw", key, html).limit(sample_pages).select(html)
+    marked = pages.where(F.contains(F.lower(html), F.lit("<article"))).select(html, F.xxhash64(key, html).alias("draw"))
+    sample = drawn(marked, "draw", sample_pages).select(html)
     rows = sample.mapInArrow(counted, "k string, i boolean, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).collect()
     return weigh(Counter({(r.k, r.i): r.n for r in rows}))
 
@@ -208,8 +278,16 @@ def main_text(page: str, weights: Weights) -> str:
     """The blocks of the best run, one per line, white space inside them as one space. Line breaks end a block too."""
     items = read(page, weights)
     best, low, high, total, start = 0.0, 0, 0, 0.0, 0
+    gap: Counter = Counter()
     for k, item in enumerate(items):
-        total += weights.of(item)
+        if item.text is not None:
+            if not item.out and item.text.strip():
+                gap.clear()
+            total += weights.of(item)
+        else:  # tags without words between them are one border, however many they are
+            gap[item.name] += 1
+            if gap[item.name] <= (1 if item.inside else GAP_TAGS):
+                total += weights.of(item)
         if total <= 0:
             total, start = 0.0, k + 1
         elif total > best:

@@ -9,7 +9,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from csvharbor.llm import html, warc
+from csvharbor.llm import html, ranks, warc
 
 ARTICLE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a = "</p><p>words in a script";</script></head><body>
 <div id="cookie-notice"><p>We use cookies on this page and would like you to accept every one of them</p></div>
@@ -43,6 +43,37 @@ def test_odd_pages(page, text):
     assert html.main_text(page, html.Weights()) == text
 
 
+RUN = " ".join(f"word{k}" for k in range(60))
+COMMENTS = "<section class='comments'>" + "".join(f"<article class='comment' id='comment-{k}'><p>I think {RUN} {k}</p></article>" for k in range(4)) + "</section>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article class='post comments-open'><h1>Head</h1><p>{RUN}</p></article>{COMMENTS}", f"Head\n{RUN}"),
+        (f"<article><p>{RUN}</p>{COMMENTS}<p>end</p></article>", f"{RUN}\nend"),
+        (f"<article><p>{RUN}</p></article><div><article class='comment'><p>{RUN} {RUN}</p></article></div>", RUN),
+        (f"<article><p>a {RUN}</p><div class='legal-text'><p>b {RUN}</p></div><section class='related-work'>c {RUN}</section><div class='teaser'><p>{RUN}</p></div></article>",
+         f"a {RUN}\nb {RUN}\nc {RUN}\n{RUN}"),
+        (f"<article><p>{RUN}</p><div class='share-links'>Share: <a href=x>one network</a> <a href=y>other network</a></div><div class='related'><a href=z>{RUN}</a></div><p>end</p></article>", f"{RUN}\nend"),
+        (f"<form id=all><nav>menu things</nav><div><h1>Head</h1><p>{RUN}</p><p>{RUN}</p></div><footer>foot</footer></form>", f"Head\n{RUN}\n{RUN}"),
+        (f"<div><p>{RUN}</p></div><form><p>Your name and address please</p></form>", RUN),
+        (f"<article><p>{RUN}</p>{'<div><img></div>' * 40}<p>short tail</p></article>", f"{RUN}\nshort tail"),
+        (f"<div><p>{RUN}</p>{'<div><img></div>' * 40}<p>tail {RUN}</p></div>", f"{RUN}\ntail {RUN}"),
+    ],
+)
+def test_comments_forms_names_and_empty_elements(page, text):
+    for weights in (html.Weights(), html.weigh(html.count(ARTICLE))):
+        assert html.main_text(page, weights) == text
+
+
+def test_draws_do_not_grow_with_the_table(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("draw"), "id")
+    taken = ranks.drawn(rows, "draw", 50)
+    assert [r.id for r in taken.collect()] == [r.id for r in rows.orderBy("draw").limit(50).collect()]
+    assert "Filter" in taken._jdf.queryExecution().optimizedPlan().toString() and ranks.drawn(rows.limit(10), "draw", 50).count() == 10
+
+
 def test_pages_without_an_end_take_linear_time():
     assert html.main_text("<article>" + "<p>word " * 50_000, html.Weights()).count("word") == 50_000
     assert html.main_text("<div>" * 20_000 + "word", html.Weights()) in ("", "word")
