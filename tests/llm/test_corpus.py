@@ -88,6 +88,11 @@ def test_tilt_solves_the_dual(spark):
         assert sum(s * min(2.0, 2.718281828459045 ** (got.tilt * s / got.mean)) for s in range(1, 101)) == pytest.approx(target, rel=1e-5)
 
 
+def own(k, n):
+    """A line that differs from those of other numbers in letters; digits do not count."""
+    return " ".join(f"{k:03d}x{j}".translate(str.maketrans("0123456789", "abcdefghij")) for j in range(n))
+
+
 def judged(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("name", F.lit(1))
     got = quality.judge(df)
@@ -122,7 +127,7 @@ def test_quality_of_nothing(spark):
 
 def test_depleted_documents_are_rejected(spark):
     rows = [(k, "The same line of many words stands on every page of the host\n" + f"own{k} " * 3, "h") for k in range(40)]
-    rows += [(100 + k, " ".join(f"w{k}x{j}" for j in range(20)), "h") for k in range(40)]
+    rows += [(100 + k, own(k, 20), "h") for k in range(40)]
     got = judged(spark, rows)
     assert not got[0].base_failed and not got[0].kept and got[100].kept
 
@@ -133,9 +138,8 @@ def test_the_limit_of_lines_is_a_number_of_documents(spark, monkeypatch, rows, h
     monkeypatch.setattr(joins, "BROADCAST_ROWS", rows)
     monkeypatch.setattr(joins, "HOT_ROWS", hot)
     shared = "Sign in to read the rest of this page and many others\n"
-    own = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
-    data = [(k, shared * 2 + own(k, 10), "large") for k in range(6)] + [(100 + k, own(k, 20), "large") for k in range(300)]
-    data += [(500 + k, shared * 2 + own(k, 10), "small") for k in range(5)] + [(600 + k, shared + own(k, 60), None) for k in range(6)]
+    data = [(k, shared * 2 + own(k, 10), "large") for k in range(6)] + [(100 + k, own(10 + k, 20), "large") for k in range(300)]
+    data += [(500 + k, shared * 2 + own(400 + k, 10), "small") for k in range(5)] + [(600 + k, shared + own(500 + k, 60), None) for k in range(6)]
     got = judged(spark, data)
     assert [got[k].kept for k in (0, 5, 100, 500, 600)] == [False, False, True, True, True]
     assert [got[k].removed_chars for k in (0, 500, 600)] == [2 * 53, 0, 53] and not got[0].base_failed
