@@ -28,8 +28,10 @@ WINDOW = 2
 WIDTH = 16
 HIDDEN = 48
 ROUNDS = 2
-BATCH = 512
+BATCH = 1024
 POSITIONS = 8192
+COMMON = 400_000  # words whose counts the scorer holds, 16 bytes each
+_STEP = "floor(8 * log2(n))"  # of counts: few values, and in their order
 
 _SHAPES = {
     "embed": (PAD + 1, WIDTH), "inner": (2 * WINDOW * WIDTH, HIDDEN), "inner_bias": (HIDDEN,),
@@ -101,43 +103,53 @@ def contexts(numbers: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-
-def forward(parts: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray):
+def _logits(parts: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray):
+    """Inputs and hidden values, a row per word, and scores of the high and the low digit, a column per word."""
     x = parts["embed"][around].reshape(len(around), -1)
     h = np.tanh(x @ parts["inner"] + parts["inner_bias"])
-    high = _log_softmax(h @ parts["high"] + parts["high_bias"])
-    low = _log_softmax(h @ parts["low"] + parts["low_bias"][target // SIDE])
+    high = parts["high"].T @ h.T
+    low = parts["low"].T @ h.T
+    high += parts["high_bias"][:, None]
+    low += parts["low_bias"].T[:, target // SIDE]
     return x, h, high, low
 
 
+def _powers(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the columns, each up to a factor, and their sums; ``z`` is overwritten."""
+    z -= z.max(0)
+    e = np.exp(z)
+    return e, e.sum(0)
+
+
 def log_probabilities(model: Model, around: np.ndarray, target: np.ndarray) -> np.ndarray:
     out = np.empty(len(target))
     for at in range(0, len(target), POSITIONS):
         part = slice(at, at + POSITIONS)
-        _, _, high, low = forward(model.parts, around[part], target[part])
-        n = np.arange(len(high))
-        out[part] = high[n, target[part] // SIDE] + low[n, target[part] % SIDE]
+        _, _, high, low = _logits(model.parts, around[part], target[part])
+        n, value = np.arange(high.shape[1]), 0.0
+        for z, digit in ((high, target[part] // SIDE), (low, target[part] % SIDE)):
+            _, sums = _powers(z)
+            value = value + z[digit, n] - np.log(sums)
+        out[part] = value
     return out
 
 
 def learn(parts: dict[str, np.ndarray], squares: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, rate: float = 0.1) -> None:
     """One step on a batch, with a step size per parameter that falls as its slopes add up."""
-    x, h, high, low = forward(parts, around, target)
+    x, h, high, low = _logits(parts, around, target)
     n = np.arange(len(target))
-    d_high, d_low = np.exp(high), np.exp(low)
-    d_high[n, target // SIDE] -= 1
-    d_low[n, target % SIDE] -= 1
-    d_pre = (d_high @ parts["high"].T + d_low @ parts["low"].T) * (1 - h * h)
+    digits = target // SIDE
+    for z, digit in ((high, digits), (low, target % SIDE)):
+        e, sums = _powers(z)
+        np.divide(e, sums, out=z)
+        z[digit, n] -= 1
+    d_pre = (parts["high"] @ high + parts["low"] @ low).T * (1 - h * h)
     words, embed = _summed(around.ravel(), (d_pre @ parts["inner"].T).reshape(-1, WIDTH))
-    digits, low_bias = _summed(target // SIDE, d_low)
+    of_digit = (digits[:, None] == np.arange(SIDE)).astype(np.float32)
     every = slice(None)
     slopes = {
-        "embed": (words, embed), "inner": (every, x.T @ d_pre), "inner_bias": (every, d_pre.sum(0)), "high": (every, h.T @ d_high),
-        "high_bias": (every, d_high.sum(0)), "low": (every, h.T @ d_low), "low_bias": (digits, low_bias),
+        "embed": (words, embed), "inner": (every, x.T @ d_pre), "inner_bias": (every, d_pre.sum(0)), "high": (every, (high @ h).T),
+        "high_bias": (every, high.sum(1)), "low": (every, (low @ h).T), "low_bias": (every, (low @ of_digit).T),
     }
     for name, (rows, slope) in slopes.items():
         square = squares[name][rows] + slope * slope
@@ -201,12 +213,38 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     return cut(docs.select(text).mapInArrow(_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
 
 
+def _steps_of(counts: DataFrame) -> list[tuple[int, int]]:
+    """Steps of the counts with their numbers of words, highest first: at most eight for each doubling."""
+    return [tuple(r) for r in counts.groupBy(F.expr(_STEP).alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()]
+
+
+def common(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and logarithms of the counts of at most ``COMMON`` of the most frequent words: whole steps of counts."""
+    words, least = 0, None
+    for step, size in _steps_of(counts.where("n > 1")):
+        words += size
+        if words > COMMON:
+            break
+        least = step
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0)
+    found = counts.where("n > 1").where(F.expr(_STEP) >= least).select("hash", "n").toArrow()
+    hashes, n = found.column("hash").to_numpy().astype(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], np.log(n[order])
+
+
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, counts: DataFrame | None = None) -> Model:
     """A model of all texts; ``counts`` as by ``counted``. The driver gets the known words' counts, the masses of the shared
     numbers and averaged parameters, all of fixed size."""
     texts = docs.select(text)
     counts = counted(docs, text) if counts is None else counts
-    top = counts.orderBy(F.desc("n"), "hash").limit(KNOWN).collect()
+    words = 0
+    for step, size in _steps_of(counts):  # only words that can be among the known ones are sorted
+        words += size
+        if words >= KNOWN:
+            break
+    top = counts.where(F.expr(_STEP) >= step).orderBy(F.desc("n"), "hash").limit(KNOWN).collect() if words else []
     hashes, often = np.array([r["hash"] for r in top], np.int64).astype(np.uint64), np.array([r["n"] for r in top], np.int64)
     masses = np.zeros(SPREAD)
     for r in counts.groupBy((F.shiftrightunsigned("hash", 40) % SPREAD).alias("k")).agg(F.sum("n").alias("n")).collect():
@@ -224,14 +262,15 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, counts: Dat
     return model
 
 
-def score(text: Column, model: Model, rare: bool = False) -> Column:
+def score(text: Column, model: Model, often: tuple[np.ndarray, np.ndarray] | None = None) -> Column:
     """``struct<words long, log_likelihood double>``: the sum over all words of the log-probability given both sides.
 
     A word without a number of its own has the share of a word that the corpus holds once, or not at all; ``likelihoods`` has
-    the share by its count. ``rare`` adds the hashes of these words, ``rare array<long>``. Null texts and texts without words
-    have 0 words and sum 0.
+    the share by its count. With ``often``, as by ``common``, those it holds have it here too, and the hashes of the others
+    are added, ``rare array<long>``. Null texts and texts without words have 0 words and sum 0.
     """
     once = np.log1p(model.masses)
+    rare = often is not None
 
     def scored(texts: pa.Array) -> pa.Array:
         n, sums, ends, others = [], [], [np.zeros(1, np.int64)], []
@@ -241,10 +280,16 @@ def score(text: Column, model: Model, rare: bool = False) -> Column:
             shared = numbers >= KNOWN
             values[shared] -= once[numbers[shared] - KNOWN]
             n.append(counts)
-            sums.append(np.bincount(rows, values, len(counts)))
             if rare:
-                ends.append(ends[-1][-1] + np.cumsum(np.bincount(rows[shared], minlength=len(counts))))
-                others.append(hashes[shared])
+                left, places = hashes[shared], np.flatnonzero(shared)
+                if len(often[0]):
+                    place = np.minimum(np.searchsorted(often[0], left), len(often[0]) - 1)
+                    held = often[0][place] == left
+                    values[places[held]] += often[1][place[held]]
+                    left, places = left[~held], places[~held]
+                ends.append(ends[-1][-1] + np.cumsum(np.bincount(rows[places], minlength=len(counts))))
+                others.append(left)
+            sums.append(np.bincount(rows, values, len(counts)))
         full = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if parts else np.empty(0, kind))
         out = {"words": full(n, np.int64), "log_likelihood": full(sums, np.float64)}
         if rare:
@@ -257,11 +302,12 @@ def score(text: Column, model: Model, rare: bool = False) -> Column:
 def likelihoods(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text") -> DataFrame:
     """The rows without ``text``, with ``words`` and ``log_likelihood``, every word by its own share of its number.
 
-    The shares come from a join with ``counts``; a word that is counted once has the share of one never seen, 1 / (mass + 1),
-    so only words counted more often are joined. None is hot: those with numbers of their own are more frequent.
+    The ``COMMON`` most frequent words are sent along with the network, so that no frequent word takes part in a join; the
+    shares of all others come from a join with ``counts``. A word that is counted once has the share of one never seen,
+    1 / (mass + 1), so only words counted more often are joined.
     """
     others = [c for c in docs.columns if c != text]
-    found = cut(docs.select(F.struct(*others).alias("own"), F.monotonically_increasing_id().alias("row"), score(F.col(text), model, rare=True).alias("f")))
+    found = cut(docs.select(F.struct(*others).alias("own"), F.monotonically_increasing_id().alias("row"), score(F.col(text), model, common(counts)).alias("f")))
     rare = found.select("row", F.explode("f.rare").alias("hash"))
     shares = rare.join(counts.where("n > 1"), "hash").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
     summed = F.col("f.log_likelihood") + F.coalesce("more", F.lit(0.0))

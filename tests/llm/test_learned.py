@@ -179,7 +179,9 @@ def test_likelihood_of_odd_documents(spark, docs):
     assert docs.where("false").select(pseudolikelihood.score(F.col("text"), empty)).count() == 0
 
 
-def test_rare_words_have_their_own_shares(spark):
+@pytest.mark.parametrize("common", [400_000, 3584, 0])
+def test_rare_words_have_their_own_shares(spark, monkeypatch, common):
+    monkeypatch.setattr(pseudolikelihood, "COMMON", common)
     rows = [(k, " ".join(f"w{j}" for j in range(pseudolikelihood.KNOWN))) for k in range(100, 150)] + [(None, "seen " * 40), (60, "seen"), (60, "seen"), (61, "once"), (62, None), (63, "w7")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     counts = pseudolikelihood.counted(docs)
