@@ -29,7 +29,7 @@ WIDTH = 16
 HIDDEN = 48
 ROUNDS = 2
 BATCH = 1024
-POSITIONS = 8192
+POSITIONS = 2048
 COMMON = 400_000  # words whose counts the scorer holds, 16 bytes each
 _STEP = "floor(8 * log2(n))"  # of counts: few values, and in their order
 
