@@ -148,10 +148,12 @@ def near_duplicates(
 
 #: The same in plain SQL, all pairs of a label compared.
 COMPONENTS_SQL = """
-WITH RECURSIVE s AS (SELECT row_number() OVER () AS r, vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
+WITH RECURSIVE s AS (
+  SELECT row_number() OVER () AS r, vec_id AS id, label,
+    CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 THEN embedding::DOUBLE[] END AS v FROM embeddings),
 able AS (
   SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM s
-  WHERE id IS NOT NULL AND label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x != 0)) > 0),
+  WHERE id IS NOT NULL AND label IS NOT NULL AND len(list_filter(v, lambda x: x != 0)) > 0),
 e AS (
   SELECT a.r AS ra, a.id AS u, b.id AS v FROM able a JOIN able b ON a.label = b.label AND a.r != b.r
   WHERE CASE WHEN len(a.v) = len(b.v) THEN list_dot_product(a.v, b.v) >= 0.98 * a.norm * b.norm ELSE false END),

@@ -2,7 +2,9 @@
 
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from csvharbor.llm import embeddings, minhash
@@ -14,6 +16,19 @@ def near(spark, rows, **options):
     return {r.doc_id: (r.n_shingles, r.component) for r in minhash.near_duplicates(df, **options).collect()}
 
 
+def by_sql(sql, name, columns):
+    """First three columns of the SQL's rows over a table of the given columns."""
+    db = duckdb.connect()
+    db.register(name, pa.table(columns))
+    return sorted((r[:3] for r in db.execute(sql).fetchall()), key=str)
+
+
+def vectors_by_sql(rows):
+    ids, vectors, labels = zip(*rows, strict=True)
+    columns = {"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array(labels, pa.int32())}
+    return by_sql(embeddings.COMPONENTS_SQL, "embeddings", columns)
+
+
 def copies(seed, groups=6, size=14):
     rng = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(400)]
@@ -66,6 +81,8 @@ def test_texts_that_differ_under_one_id(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component) for r in minhash.near_duplicates(df).collect()), key=str)
     component = {5: 2, 2: 2, 7: 2, 9: 1, 1: 1, 6: 6, 8: 6, None: None}
     assert got == sorted(((i, len(brute.shingle_set(t, 3)), component[i]) for i, t in rows), key=str)
+    ids, texts = zip(*rows, strict=True)
+    assert got == by_sql(minhash.COMPONENTS_SQL, "documents", {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
 
 
 def test_no_documents(spark):
@@ -139,6 +156,7 @@ def test_odd_vectors(spark):
     ]
     got = close(spark, rows)
     assert got == expected(rows) and (1, 3, 1) in got
+    assert got == vectors_by_sql(rows)
 
 
 def test_vectors_that_differ_under_one_id(spark):
@@ -146,7 +164,7 @@ def test_vectors_that_differ_under_one_id(spark):
     rows = [(1, a, 0), (5, a, 0), (5, b, 0), (9, b, 0), (9, b, 0), (5, None, 0), (7, None, 0), (7, None, 0), (8, c, 0), (8, c, 1), (3, c, 1), (None, a, 0), (4, [0.0] * 3, 0)]
     got = close(spark, rows)
     links = [(1, 1, 1), (5, 1, 1), (5, 2, 1), (9, 2, 1), (9, 2, 1), (5, 0, 1), (7, 0, 7), (7, 0, 7), (8, 0, 3), (8, 1, 3), (3, 1, 3), (None, 0, None), (4, 0, 4)]
-    assert got == sorted(links, key=str)
+    assert got == sorted(links, key=str) == vectors_by_sql(rows)
 
 
 def test_no_vectors(spark):
