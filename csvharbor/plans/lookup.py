@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from csvharbor.operators import changes, filters, history
+from csvharbor.operators import filters, history
 from csvharbor.operators.filters import Filter
-from csvharbor.operators.joins import existing_keys
+from csvharbor.operators.joins import distinct_keys, existing_keys, lookup_join
 from csvharbor.plans import preview
 from csvharbor.plans.ingest import Incoming
+from csvharbor.session import cut
 from csvharbor.sources import summaries
 from csvharbor.sources.store import Store
 from csvharbor.specs import TableSpec
@@ -21,8 +22,9 @@ def existing(store: Store, spec: TableSpec, requested: DataFrame) -> DataFrame:
 
 def rows_of(store: Store, spec: TableSpec, keys: DataFrame) -> DataFrame:
     """Stored rows of the requested keys; only batches that hold one of them are read."""
-    near = store.placed_rows(spec.key, store.batches_of(spec.key, keys)).drop("batch", "gen")
-    return changes.rows_of_keys(near, keys, spec)
+    wanted = cut(distinct_keys(keys, spec.key_columns))
+    near = store.placed_rows(spec.key, store.batches_with(spec.key, wanted)).drop("batch", "gen")
+    return lookup_join(near, wanted, spec.key_columns, "left_semi").select(near.columns)
 
 
 def previewed(store: Store, data: Incoming, as_of_year: int, strict: bool = False) -> preview.Preview:

@@ -17,6 +17,7 @@ from csvharbor.specs import TableSpec
 
 BUCKETS = 64
 FEW_KEYS = 500
+ROWS_PER_FILE = 1_000_000
 
 
 def quoted(name: str) -> str:
@@ -54,7 +55,7 @@ class KeyTable:
         names = ", ".join(map(quoted, keys))
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}, digest bigint, upload_id string, batch string, gen int, attempt string) USING parquet"
-            f" CLUSTERED BY ({names}) SORTED BY ({names}) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+            f" CLUSTERED BY ({names}) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
         return self.name
 
@@ -65,8 +66,13 @@ class KeyTable:
         return named.dropna(subset=keys)
 
     def add(self, rows: DataFrame, attempt: str) -> None:
-        """Keys of written rows (the table's columns, upload_id, batch, gen); the attempt adds one file per bucket."""
-        dealt = self.picked(rows).repartition(self.buckets, *[F.col(quoted(k)) for k in self.spec.key_columns])
+        """Keys of written rows (the table's columns, upload_id, batch, gen); the attempt adds a file per bucket, more for many rows.
+
+        A task writes to one bucket alone: its number, modulo the buckets, is the bucket's. The files are not sorted: Spark
+        would work out the bucket of both rows in each comparison, and no reader counts on their order.
+        """
+        parts = 1 + rows.count() // (self.buckets * ROWS_PER_FILE)
+        dealt = self.picked(rows).repartition(self.buckets * parts, *[F.col(quoted(k)) for k in self.spec.key_columns])
         dealt.withColumn("attempt", F.lit(attempt)).write.insertInto(self._defined())
 
     def rows(self, keys: DataFrame | None = None) -> DataFrame:

@@ -196,11 +196,13 @@ class Store:
 
     def batches_of(self, table: str, wanted: DataFrame) -> list[str] | None:
         """Names of the batches that hold any of the keys; None (look everywhere) without a key table or if there are very many."""
+        return self.batches_with(table, cut(distinct_keys(wanted, self.registry.get(table).key_columns))) if self.keyed else None
+
+    def batches_with(self, table: str, wanted: DataFrame) -> list[str] | None:
+        """The same for keys that stand there once each, without NULL parts, as a table that is at hand."""
         if not self.keyed:
             return None
-        columns = self.registry.get(table).key_columns
-        wanted = cut(distinct_keys(wanted, columns))
-        return named(lookup_join(self.keys(table, wanted), wanted, columns, "left_semi"))
+        return named(lookup_join(self.keys(table, wanted), wanted, self.registry.get(table).key_columns, "left_semi"))
 
     def summaries(self, table: str) -> DataFrame:
         """Summaries of the rows there are, by upload, batch and column."""

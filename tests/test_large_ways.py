@@ -4,6 +4,7 @@ import pytest
 
 from csvharbor.operators import joins, views
 from csvharbor.plans import ingest
+from csvharbor.session import cut
 from csvharbor.sources import records
 from tests.compare import connect, difference
 
@@ -34,3 +35,15 @@ def test_same_results(spark, db, name, monkeypatch):
         assert difference(spark, db, SF_DIR, name) is None
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_rare_keys_are_not_counted_one_by_one(spark, monkeypatch):
+    left = spark.createDataFrame([(k % 7, None if k == 3 else k % 5, k) for k in range(50)], "a int, b int, n int")
+    right = spark.createDataFrame([(a, b, "x") for a in range(4) for b in range(5)], "a int, b int, v string")
+    written = []
+    monkeypatch.setattr(joins, "cut", lambda df: written.append(df.columns) or cut(df))
+    for hot_rows, cuts in ((5_000_000, []), (1, [["a", "b"], ["a", "b", "v"]])):
+        got = joins.split_join(left, right, ["a", "b"], "left", hot_rows).select("n", "v")
+        assert written == cuts
+        assert sorted((r.n, r.v or "") for r in got.collect()) == [(k, "x" if k % 7 < 4 and k != 3 else "") for k in range(50)]
+        written.clear()

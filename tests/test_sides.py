@@ -11,6 +11,7 @@ from csvharbor.operators.history import UPLOAD_SCHEMA
 from csvharbor.operators.joins import distinct_keys
 from csvharbor.operators.views import column_profile
 from csvharbor.plans import ingest, lookup, preview, publish
+from csvharbor.sources import keys as keys_module
 from csvharbor.sources import orders
 from csvharbor.sources.grams import fragments
 from csvharbor.sources.store import Store
@@ -270,3 +271,15 @@ def test_stream_holds_back_repeats(spark, tmp_path):
     assert sorted(tuple(r.row_data[:3]) for r in store.failed("pairs").collect()) == [("a1", "b", "2"), ("a1", "b", "3")]
     counts = sorted((r.total_rows, r.rows_inserted, r.rows_skipped) for r in store.uploads().collect())
     assert counts == [(2, 1, 1), (2, 2, 0), (3, 2, 1)]
+
+
+def test_keys_of_many_rows_spread_over_more_files_than_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keys_module, "ROWS_PER_FILE", 2)
+    store = filled(spark, tmp_path, keyed=True)
+    change(spark, store)
+    plain = make(spark, tmp_path / "store")
+    columns = store.keys("pairs").columns
+    assert sorted(map(tuple, store.keys("pairs").collect())) == sorted(map(tuple, plain.keys("pairs").select(columns).collect()))
+    written = spark.read.parquet(str(tmp_path / "store" / "_keys" / "pairs")).select("attempt", F.col("_metadata.file_name").alias("file"))
+    assert max(r.n for r in written.distinct().groupBy("attempt").agg(F.count("*").alias("n")).collect()) > 8
+    assert sorted(r[0] for r in lookup.rows_of(store, PAIRS, keys_of(spark, "a1", "a35", "a999")).select("a").collect()) == ["a1", "a35"]
