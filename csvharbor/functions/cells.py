@@ -31,6 +31,7 @@ US_STATES = {
 
 TWO_DIGIT_YEAR_WINDOW = 20
 NUMERIC_TYPE = "decimal(28,10)"
+_IGNORED = "$\u20ac\u00a3,"  # in numbers
 
 
 def trim(c: Column) -> Column:
@@ -114,15 +115,19 @@ def to_numeric(c: Column, trimmed: bool = False) -> Column:
 
 def number_text(t: Column) -> Column:
     """Trimmed text as sign, digits and point only; empty where it is not a number."""
+    bare = lambda c: F.translate(c, _IGNORED, "")
     marked = F.regexp_replace(t, r"(?s)^\((.*)\)\z", "\x01$1")
-    plain = F.translate(marked, "$\u20ac\u00a3,", "")
-    signed = trim(F.regexp_replace(plain, r"(?U)^\x01\s*", "-"))
-    return F.regexp_extract(signed, r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)\z", 0)
+    signed = F.when(t.contains("(") | t.contains("\x01"), F.regexp_replace(bare(marked), r"(?U)^\x01\s*", "-")).otherwise(bare(t))
+    return F.regexp_extract(trim(signed), r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)\z", 0)
 
 
 def number_too_long(c: Column) -> Column:
-    """True for a number with more than 18 digits before the point or ten behind it: the stored type would lose some."""
-    return (F.length(c) > 10) & F.coalesce(number_text(trim(c)).rlike(r"^[+-]?0*[1-9]\d{18}|\.\d{10}\d*[1-9]"), F.lit(False))
+    """True for a number with more than 18 digits before the point or ten behind it: the stored type would lose some.
+
+    Such a number has twelve characters without its signs, so most texts need no look at their digits.
+    """
+    long = (F.length(c) > 10) & (F.length(F.translate(c, _IGNORED, "")) > 11)
+    return long & F.coalesce(number_text(trim(c)).rlike(r"^[+-]?0*[1-9]\d{18}|\.\d{10}\d*[1-9]"), F.lit(False))
 
 
 def _iso(c: Column, *rewrites: tuple[str, str]) -> Column:

@@ -118,3 +118,14 @@ def test_rollback_counts_what_is_there(spark, store, tmp_path):
 def test_number_text(spark):
     rows = spark.createDataFrame([("$1,2.50",), ("(3",), ("x",)], "t string").select(cells.number_text(F.col("t")).alias("n")).collect()
     assert [r.n for r in rows] == ["12.50", "", ""]
+
+
+def test_numbers_without_brackets_need_one_pattern(spark):
+    texts = ["$1,2.50", "(3", "(3)", "($ 1,000.5)", "\x01 5", "$\x01 5", "-$7", " 8 ", "9.", ".5", "(-4)", "", None, "1" * 18, "1" * 19, "0." + "1" * 11, "$" + ",1" * 9, "12345678901"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [tuple(r) for r in rows.orderBy("k").select(cells.number_text(F.col("t")), cells.number_too_long(F.col("t"))).collect()]
+    plain = ["12.50", "", "-3", "-1000.5", "-5", "-5", "-7", "8", "9.", ".5", "", "", None, "1" * 18, "1" * 19, "0." + "1" * 11, "1" * 9, "12345678901"]
+    assert [g[0] for g in got] == plain
+    assert [k for k, g in enumerate(got) if g[1]] == [14, 15]
+    shown = rows.select(F.when(F.col("k") < 0, cells.number_text(F.col("t"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.index("CASE WHEN (Contains") < shown.index("regexp_replace")  # a bracket is looked for before it is undone
