@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import base64
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from csvharbor.llm.textarrays import BLOCK_BYTES, blocks
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECE_CHARS = 1 << 16
@@ -74,12 +78,40 @@ def round_trip(text: Column, ranks: str = RANKS, pattern: str = public_tokenizer
     """``struct<ids array<int>, decoded binary>``: the ids and what they decode to, with one encoding of each text."""
 
     def both(texts: pa.Array) -> pa.Array:
-        tokens = encoding(ranks, pattern)
-        found, decoded = [], []
-        for text in texts:  # one text's ids as Python numbers at a time
-            ids = encode_text(text.as_py() or "", ranks, pattern)
-            found.append(np.array(ids, np.int32))
-            decoded.append(tokens.decode_bytes(ids))
-        return pa.StructArray.from_arrays([_id_lists(found), pa.array(decoded, pa.binary())], ["ids", "decoded"])
+        return pa.StructArray.from_arrays(_both(texts, ranks, pattern), ["ids", "decoded"])
 
     return F.arrow_udf(both, "ids array<int>, decoded binary")(text)
+
+
+def _both(texts: pa.Array, ranks: str, pattern: str) -> list[pa.Array]:
+    tokens = encoding(ranks, pattern)
+    found, decoded = [], []
+    for text in texts:  # one text's ids as Python numbers at a time
+        ids = encode_text(text.as_py() or "", ranks, pattern)
+        found.append(np.array(ids, np.int32))
+        decoded.append(tokens.decode_bytes(ids))
+    return [_id_lists(found), pa.array(decoded, pa.binary())]
+
+
+def _in_blocks(text: str, ranks: str, pattern: str, size: int):
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others = [c for c in batch.schema.names if c != text]
+            texts = batch.column(text)
+            for block in blocks(texts, size):
+                part = slice(block.first, block.last)
+                made = _both(texts[part], ranks, pattern)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[part] for c in others), *made], [*others, "ids", "decoded"])
+
+    return coded
+
+
+def round_trips(docs: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN, size: int = BLOCK_BYTES) -> DataFrame:
+    """The rows without ``text``, with ``ids`` and ``decoded`` as by ``round_trip``; other columns have other names.
+
+    Results leave a task for every ``size`` bytes of text, or a longer text, and not for every Arrow batch, whose rows may be
+    long: neither side holds the ids and bytes of more.
+    """
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != text), *made])
+    return docs.mapInArrow(_in_blocks(text, ranks, pattern, size), schema)

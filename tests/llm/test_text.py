@@ -85,3 +85,17 @@ def test_ids_cut_anywhere_decode(spark):
 
 def test_mix_is_a_bijection_on_a_sample():
     assert len(np.unique(textarrays.mix(np.arange(100_000, dtype=np.uint64)))) == 100_000
+
+
+def test_bpe_results_leave_in_small_parts(spark):
+    texts = [None, "", "Ünïcode 漢字 \U0001f600", "word and more 123 " * 20_000, "same", "same", *["some text " * 1_000] * 40]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    tokens = bpe.encoding(bpe.RANKS, public_tokenizers.PATTERN)
+    got = {r.doc_id: r for r in bpe.round_trips(rows).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    for k, text in enumerate(texts):
+        assert got[k].ids == tokens.encode_ordinary(text or "") and bytes(got[k].decoded) == (text or "").encode()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    made = list(bpe._in_blocks("text", bpe.RANKS, public_tokenizers.PATTERN, 50_000)(iter([batch])))
+    assert [r for part in made for r in part.column(0).to_pylist()] == list(range(len(texts)))
+    assert len(made) > 9 and sorted(part.nbytes for part in made)[-2] < 150_000  # but for the long text
