@@ -37,14 +37,13 @@ def targets(sources: DataFrame, shares: tuple[int, ...] = SHARES, total: float =
     ordered = sources.select(*SOURCE, "words", "rows").orderBy(*SOURCE).rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1]))
     weight = F.element_at(F.array(*map(F.lit, shares)), (F.col("place") % len(shares) + 1).cast("int"))
     ranked = cut(spark.createDataFrame(ordered, kinds).withColumn("weight", weight).withColumn("limit", F.col("words") * most))
-    everything = ranked.agg(F.sum("words")).first()[0] or 0
     unit, full = 0.0, -1
     while True:
         is_full = F.col("limit") <= F.col("weight") * unit
-        row = ranked.agg(F.sum(is_full.cast("long")), F.sum(F.when(is_full, F.col("limit"))), F.sum(F.when(~is_full, F.col("weight")))).first()
+        row = ranked.agg(F.sum(is_full.cast("long")), F.sum(F.when(is_full, F.col("limit"))), F.sum(F.when(~is_full, F.col("weight"))), F.sum("words")).first()
         if row[0] in (full, None) or not row[2]:
             break
-        full, unit = row[0], (total * everything - (row[1] or 0)) / row[2]
+        full, unit = row[0], (total * row[3] - (row[1] or 0)) / row[2]
     return ranked.withColumn("target", F.least(F.col("limit").cast("double"), F.col("weight") * F.lit(unit))).drop("place", "weight", "limit")
 
 
@@ -64,10 +63,11 @@ def tilts(cells: DataFrame, aims: DataFrame, most: int = MOST) -> DataFrame:
     state = cut(aims.where(solid & (F.col("target") < F.col("words") * most)).withColumn("tilt", F.lit(0.0)).withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(None).cast("double")))
     for _ in range(MAX_STEPS):
         rate, words = _rate(most), F.col("size") * F.col("rows")
-        seen = cells.join(state.drop("rows"), SOURCE).groupBy(*SOURCE).agg(
-            F.sum(words * rate).alias("got"), F.sum(F.when(rate < most, words * rate * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope")
-        )
-        now = state.join(seen, SOURCE)
+        # What a source has of its own is alike in all of its rows and goes along with the sums, so a step needs no second join.
+        own = ["words", "documents", "target", "mean", "tilt", "low", "high"]
+        now = cells.join(state.withColumnRenamed("rows", "documents"), SOURCE).groupBy(*SOURCE).agg(
+            F.sum(words * rate).alias("got"), F.sum(F.when(rate < most, words * rate * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"), *[F.first(c).alias(c) for c in own]
+        ).withColumnRenamed("documents", "rows")
         off = F.abs(F.col("got") - F.col("target")) / F.col("target")
         done = off <= TOLERANCE
         low, high = F.when(F.col("got") < F.col("target"), F.col("tilt")).otherwise(F.col("low")), F.when(F.col("got") >= F.col("target"), F.col("tilt")).otherwise(F.col("high"))
@@ -76,7 +76,7 @@ def tilts(cells: DataFrame, aims: DataFrame, most: int = MOST) -> DataFrame:
         inside = newton.isNotNull() & (F.col("slope") > 0) & (newton > F.coalesce("low", F.col("tilt") - 4)) & (newton < F.coalesce("high", F.col("tilt") + 4))
         halved = F.when(F.col("low").isNull(), F.col("high") - 4).when(F.col("high").isNull(), F.col("low") + 4).otherwise((F.col("low") + F.col("high")) / 2)
         state = cut(now.withColumn("tilt", F.when(F.col("done"), F.col("tilt")).when(inside, newton).otherwise(halved)).drop("got", "slope"))
-        if not state.where(~F.col("done")).limit(1).count():
+        if state.where(~F.col("done")).isEmpty():
             break
         state = state.drop("done")
     # Sums may differ in their last digits from run to run; tilts of nine digits do not.

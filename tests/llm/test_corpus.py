@@ -80,6 +80,16 @@ def test_targets_of_many_sources(spark):
     near(rows, mixed(spark, rows), 30)
 
 
+def test_a_step_of_mixing_joins_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(mixing, "cut", lambda df, cut=mixing.cut: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    cells = spark.createDataFrame([(False, "a", 3, 5), (False, "a", 40, 7), (True, "", 9, 2)], "void boolean, name string, size long, rows long")
+    aims = spark.createDataFrame([(False, "a", 295, 12, 200.0), (True, "", 18, 2, 30.0)], "void boolean, name string, words long, rows long, target double")
+    found = {r.name: r for r in mixing.tilts(cells, aims).collect()}
+    assert (found["a"].words, found["a"].rows, found["a"].target) == (295, 12, 200.0) and found["a"].tilt < 0 < found[""].tilt
+    assert len(plans) > 2 and max(p.count("Join ") for p in plans) == 1
+
+
 def test_tilt_solves_the_dual(spark):
     cells = spark.createDataFrame([(False, "a", s, 1) for s in range(1, 101)], "void boolean, name string, size long, rows long")
     for target in (500.0, 5050.0, 9000.0, 10_099.0):

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from csvharbor.llm import embeddings, minhash
+from csvharbor.llm import components, embeddings, minhash
 from tests.llm import brute
 
 
@@ -174,3 +174,13 @@ def test_no_vectors(spark):
 def test_no_link_at_all(spark):
     rows = [(k, np.eye(8)[k].tolist(), 0) for k in range(8)]
     assert close(spark, rows) == expected(rows)
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "cut", lambda df, cut=components.cut: written.append(1) or cut(df))
+    links = lambda *pairs: spark.createDataFrame(pairs, "u long, v long")
+    found = lambda *pairs: sorted(tuple(r) for r in components.components(links(*pairs)).collect())
+    assert found((5, 1), (1, 9), (8, 2), (5, 1), (3, 3)) == [(1, 1), (2, 2), (5, 1), (8, 2), (9, 1)] and len(written) == 1
+    assert found((1, 2), (2, 3), (7, 3), (7, 9), (4, 8)) == [(1, 1), (2, 1), (3, 1), (4, 4), (7, 1), (8, 4), (9, 1)]
+    assert components.components(links((1, 1))).count() == 0
