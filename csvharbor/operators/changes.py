@@ -81,13 +81,12 @@ def check_edits(table: DataFrame, edits: DataFrame, spec: TableSpec, as_of_year:
     rank = F.struct(F.col(order) if order else F.lit(0).alias("_at"), "value", "column")
     named = cut(edits.select(*keys, "column", "value", _one_of(known).alias("stored"), rank.alias("_rank")).distinct())
     cell = [*keys, F.coalesce("stored", "column").alias("_cell")]
-    last = named.groupBy(*cell).agg(F.max("_rank").alias("_last"))
+    last = cut(named.groupBy(*cell).agg(F.max("_rank").alias("_last")))
     edits = last.select(*keys, F.col("_last.column").alias("column"), F.col("_last.value").alias("value"))
-    earlier = lookup_join(named.select("*", cell[-1]), cut(last), [*keys, "_cell"]).filter(F.col("_rank") != F.col("_last"))
+    earlier = lookup_join(named.select("*", cell[-1]), last, [*keys, "_cell"]).filter(F.col("_rank") != F.col("_last"))
     earlier = earlier.select(*keys, "column", "value", F.lit("superseded").alias("status"), F.lit("replaced by a later edit of the same cell").alias("reason"))
-    checked = cut(edits).withColumn("stored", _one_of(known)).withColumn(
-        "reason", F.coalesce(F.when(F.col("stored").isNull(), F.concat(F.lit("column not found: "), F.col("column"))), error)
-    )
+    reason = F.coalesce(F.when(F.col("stored").isNull(), F.concat(F.lit("column not found: "), F.col("column"))), error)
+    checked = cut(edits.withColumn("stored", _one_of(known)).withColumn("reason", reason))  # every value is judged once
     invalid = checked.filter("reason is not null").withColumn("status", F.lit("invalid"))
     valid = checked.filter("reason is null")
 
@@ -97,12 +96,13 @@ def check_edits(table: DataFrame, edits: DataFrame, spec: TableSpec, as_of_year:
     for name, k, o, n in zip(spec.unique_key, keys, old, new, strict=True):
         typed = convert(F.col("value"), spec.field(name), as_of_year).cast(table.schema[k].dataType)
         moving = moving.withColumn(o, F.col(k)).withColumn(n, F.when(F.col("stored") == k, typed).otherwise(F.col(k)))
+    moving = cut(moving)
     # Two edits in one request must not claim the same new key either: the first old key gets it.
     first = cut(moving.groupBy(*new).agg(F.min(F.struct(*old)).alias("_winner")))
     contested = lookup_join(moving, first, new).filter(F.struct(*old) != F.col("_winner")).select(valid.columns)
-    clash = colliding_edits(moving, table, old, new, keys).select(valid.columns).unionByName(contested).distinct()
+    clash = cut(colliding_edits(moving, table, old, new, keys).select(valid.columns).unionByName(contested).distinct())
+    allowed = lookup_join(valid, clash.select(*keys, "column"), [*keys, "column"], "left_anti")
     clash = clash.withColumn("status", F.lit("duplicate_key")).withColumn("reason", F.lit("key already exists"))
-    allowed = valid.join(clash.select(*keys, "column"), [*keys, "column"], "left_anti")
     return allowed, invalid.unionByName(clash).select(*keys, "column", "value", "status", "reason").unionByName(earlier)
 
 
@@ -112,11 +112,15 @@ def update_cells(table: DataFrame, edits: DataFrame, spec: TableSpec, as_of_year
     return apply_edits(table, allowed, rejected, spec, as_of_year)
 
 
-def apply_edits(table: DataFrame, allowed: DataFrame, rejected: DataFrame, spec: TableSpec, as_of_year: int) -> EditOutcome:
-    """Edits that ``check_edits`` has let through, applied to the table or to a part of it."""
+def gathered(allowed: DataFrame, spec: TableSpec) -> DataFrame:
+    """One row per key, with at most as many edits as the table has columns."""
+    return cut(allowed.groupBy(*spec.key_columns).agg(F.map_from_entries(F.collect_list(F.struct("stored", "value"))).alias("_edits")))
+
+
+def apply_edits(table: DataFrame, allowed: DataFrame, rejected: DataFrame, spec: TableSpec, as_of_year: int, per_key: DataFrame | None = None) -> EditOutcome:
+    """Edits that ``check_edits`` has let through, applied to the table or to a part of it; ``per_key`` as by ``gathered``."""
     keys = spec.key_columns
-    # One row per key, with at most as many edits as the table has columns.
-    per_key = cut(allowed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("stored", "value"))).alias("_edits")))
+    per_key = gathered(allowed, spec) if per_key is None else per_key
     joined = lookup_join(table, per_key, keys, "left")
     given = {f.column: F.try_element_at("_edits", F.lit(f.column)) for f in spec.fields}
 

@@ -57,8 +57,10 @@ def edit(store: Store, spec: TableSpec, edits: DataFrame, batch: str, as_of: dt.
     allowed, rejected = (cut(x) for x in changes.check_edits(store.keys(spec.key), edits, spec, as_of.year, order))
     if not _done(store, batch):
         rows = _rows_near(store, allowed, spec)
-        apply: Rows = lambda df: changes.apply_edits(df, allowed, rejected, spec, as_of.year).rows
-        entries = audit.edit_entries(changes.apply_edits(rows, allowed, rejected, spec, as_of.year).changes, _at(as_of))
+        per_key = changes.gathered(allowed, spec)
+        applied = lambda df: changes.apply_edits(df, allowed, rejected, spec, as_of.year, per_key)
+        apply: Rows = lambda df: applied(df).rows
+        entries = audit.edit_entries(applied(rows).changes, _at(as_of))
         _publish(store, spec.key, apply, _batches_of(rows, allowed, spec), entries, batch)
     return rejected
 

@@ -82,7 +82,8 @@ def numeric_profile(summaries: DataFrame, spec: TableSpec) -> DataFrame:
     names = summaries.sparkSession.createDataFrame([(n,) for n in wanted], "column_name string")
     found = names.join(F.broadcast(merged(summaries.filter(F.col("kind") == FieldType.NUMERIC.value))), "column_name", "left")
     count = F.coalesce("present", F.lit(0))
-    average = F.when(count > 0, (F.col("sum") / count).cast("decimal(32,14)"))
+    rest = F.col("sum") % count  # divided apart, so that the average keeps its 14 digits
+    average = F.when(count > 0, (((F.col("sum") - rest) / count).cast("decimal(18,0)") + rest / count).cast("decimal(32,14)"))
     return found.select("column_name", "sum", average.alias("avg"), F.col("least").alias("min"), F.col("greatest").alias("max"), count.alias("count"))
 
 

@@ -129,3 +129,22 @@ def test_numbers_without_brackets_need_one_pattern(spark):
     assert [k for k, g in enumerate(got) if g[1]] == [14, 15]
     shown = rows.select(F.when(F.col("k") < 0, cells.number_text(F.col("t"))))._jdf.queryExecution().optimizedPlan().toString()
     assert shown.index("CASE WHEN (Contains") < shown.index("regexp_replace")  # a bracket is looked for before it is undone
+
+
+def test_edited_values_are_judged_once(spark, monkeypatch):
+    """Each edit is judged before the rows are split, and edits that move no key are not compared with the table."""
+    table = spark.createDataFrame([(k, "x") for k in range(9)], "k long, t string").withColumn("k", F.col("k").cast("decimal(28,10)"))
+    own = TableSpec("own", "Sales", "own", "own", ("k",), (FieldSpec("k", FieldType.NUMERIC), FieldSpec("t", FieldType.TEXT)))
+    edits = spark.createDataFrame([(1, "t", "y"), (2, "T", "z"), (2, "t", "a"), (3, "none", "b"), (None, "t", "c")], "k long, column string, value string").withColumn("k", F.col("k").cast("decimal(28,10)"))
+    plans = []
+    monkeypatch.setattr(changes, "cut", lambda df, cut=changes.cut: plans.append(df.columns) or cut(df))
+    monkeypatch.setattr(joins, "existing_keys", lambda *_: pytest.fail("no key moves"))
+    allowed, rejected = changes.check_edits(table, edits, own, 2026)
+    shown = lambda df, *names: sorted((tuple(r) for r in df.select(F.col("k").cast("int"), *names).collect()), key=str)
+    assert shown(allowed, "column", "value") == sorted([(1, "t", "y"), (2, "T", "z"), (None, "t", "c")], key=str)
+    assert shown(rejected, "column", "value", "status") == [(2, "t", "a", "superseded"), (3, "none", "b", "invalid")]
+    assert [*own.key_columns, "column", "value", "stored", "reason"] in plans
+    monkeypatch.undo()
+    clash = spark.createDataFrame([(1, "k", "2"), (3, "k", "70"), (4, "k", "70")], "k long, column string, value string").withColumn("k", F.col("k").cast("decimal(28,10)"))
+    allowed, rejected = changes.check_edits(table, clash, own, 2026)
+    assert shown(allowed, "value") == [(3, "70")] and shown(rejected, "value", "status") == [(1, "2", "duplicate_key"), (4, "70", "duplicate_key")]
