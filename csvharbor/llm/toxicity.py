@@ -23,7 +23,7 @@ HASH_BITS = 18
 SIGNIFICANT = 24.0
 RATIO = 10.0
 FORMS_KEPT = 400_000
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 18
 WORDS_AT_ONCE = 100_000
 _WORD = re.compile(r"\w+")
 _STRIDE = 64

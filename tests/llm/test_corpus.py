@@ -5,11 +5,12 @@ from collections import Counter
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from csvharbor.llm import QUERIES, bpe, mixing, quality
+from csvharbor.llm import QUERIES, bpe, mixing, quality, registry
 from csvharbor.operators import joins
 from tests.compare import difference, sorted_rows
 from tests.llm import brute
@@ -271,3 +272,25 @@ def test_queries_cover_their_tables(spark, db, name, monkeypatch):
     else:
         table = {"op2": "pages", "op5": "pages", "op8": "embeddings"}.get(name.split("_")[0], "documents")
         assert QUERIES[name].run(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
+
+
+def test_python_workers_get_small_batches(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(session):
+        def told(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["size", "rows"])
+
+        rows = session.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 1 << 18).alias("text"))
+        return rows.mapInArrow(told, "size long, rows long")
+
+    was = spark.conf.get(limit, None)
+    try:
+        spark.conf.unset(limit)
+        got = registry.reached(sizes)(spark).collect()
+        assert sum(r.rows for r in got) == 64 and max(r.size for r in got) < 5 << 20
+        spark.conf.set(limit, "8m")  # a limit of the session's own stays
+        assert registry.reached(sizes)(spark).agg(F.max("size")).first()[0] > 5 << 20 and spark.conf.get(limit) == "8m"
+    finally:
+        spark.conf.set(limit, was) if was else spark.conf.unset(limit)
