@@ -9,8 +9,10 @@ words of each text, by their places in it, and together every word once.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +31,48 @@ WIDTH = 16
 HIDDEN = 48
 ROUNDS = 2
 BATCH = 1024
-POSITIONS = 2048
+POSITIONS = 1024
 COMMON = 400_000  # words whose counts the scorer holds, 16 bytes each
+REACH = 100  # of scores to base 2, so that sums of their powers stay within single precision
 _STEP = "floor(8 * log2(n))"  # of counts: few values, and in their order
 
+_LOG2_E = float(np.log2(np.e))
+_ROUNDS_OFF = float(3 << 22)  # added to a small single, it leaves the nearest whole number in the low bits
+# 2**x from -1/2 to 1/2 times a factor: a polynomial with first coefficient 1, from the second on, and the factor
+_POWER = (5.842975253307482, 25.103962004425178, 72.42575846781776, 104.49202934356423)
+_POWER_FACTOR = 1 / 0.009570100874752619
+
 _SHAPES = {
     "embed": (PAD + 1, WIDTH), "inner": (2 * WINDOW * WIDTH, HIDDEN), "inner_bias": (HIDDEN,),
     "high": (HIDDEN, SIDE), "high_bias": (SIDE,), "low": (HIDDEN, SIDE), "low_bias": (SIDE, SIDE),
 }
 
 
+class Found:
+    """Finds hashes among ``hashes``, which are in order, by their first bits: a search by halves takes four times as long."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        self.unused = np.uint64(64 - max(16, len(hashes).bit_length()))
+
+    @cached_property
+    def index(self) -> tuple[np.ndarray, int]:
+        """Where the hashes with the same first bits begin, and how many have them at most; made where it is used."""
+        sizes = np.bincount((self.hashes >> self.unused).astype(np.int64), minlength=1 << (64 - int(self.unused)))
+        return (np.cumsum(sizes) - sizes).astype(np.int32), int(sizes.max())
+
+    def __call__(self, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in ``sought`` of those found, and where each stands in ``hashes``."""
+        firsts, most = self.index
+        at, places, found = np.take(firsts, (sought >> self.unused).astype(np.int64)), [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for _ in range(most):
+            places.append(np.flatnonzero(np.take(self.hashes, at, mode="clip") == sought))
+            found.append(at[places[-1]])
+            at += 1
+        found = np.minimum(np.concatenate(found), len(self.hashes) - 1)
+        return np.concatenate(places), found
+
+
 @dataclass
 class Model:
     """Hashes of the known words in order, the number of each, the network's parameters, and how often the other words of each
@@ -49,6 +83,10 @@ class Model:
     parts: dict[str, np.ndarray]
     masses: np.ndarray = field(default_factory=lambda: np.zeros(SPREAD))
 
+    @cached_property
+    def found(self) -> Found:
+        return Found(self.hashes)
+
     def flat(self) -> np.ndarray:
         return np.concatenate([self.parts[name].ravel() for name in _SHAPES])
 
@@ -86,16 +124,14 @@ def numbered(block: Block, model: Model) -> tuple[np.ndarray, np.ndarray, np.nda
     found = words(block)
     hashes = word_hashes(block, found)
     out = KNOWN + _shared(hashes)
-    if len(model.hashes):
-        place = np.minimum(np.searchsorted(model.hashes, hashes), len(model.hashes) - 1)
-        known = model.hashes[place] == hashes
-        out[known] = model.numbers[place[known]]
+    known, places = model.found(hashes)
+    out[known] = np.take(model.numbers, places)
     return out, found.rows, hashes, found.counts
 
 
 def contexts(numbers: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The numbers around each word, left to right without itself; PAD beyond the text."""
-    out = np.full((len(numbers), 2 * WINDOW), PAD)
+    out = np.full((len(numbers), 2 * WINDOW), PAD, np.uint16)
     for column, step in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
         to, back = (slice(-step, None), slice(None, step)) if step < 0 else (slice(None, -step), slice(step, None))
         same = rows[to] == rows[back]
@@ -103,67 +139,153 @@ def contexts(numbers: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _logits(parts: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray):
-    """Inputs and hidden values, a row per word, and scores of the high and the low digit, a column per word."""
-    x = parts["embed"][around].reshape(len(around), -1)
-    h = np.tanh(x @ parts["inner"] + parts["inner_bias"])
-    high = parts["high"].T @ h.T
-    low = parts["low"].T @ h.T
-    high += parts["high_bias"][:, None]
-    low += parts["low_bias"].T[:, target // SIDE]
-    return x, h, high, low
+class _Room(threading.local):
+    """Arrays that are used again from step to step: new ones of this size come from the system page by page, which took a
+    sixth of the time of learning. What a function returns in one holds until the next call."""
+
+    def __init__(self) -> None:
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, int], kind: np.dtype) -> np.ndarray:
+        size = shape[0] * shape[1]
+        if name not in self.kept or self.kept[name].size < size or self.kept[name].dtype != kind:
+            self.kept[name] = np.empty(size, kind)
+        return self.kept[name][:size].reshape(shape)
+
+
+_room = _Room()
+
+
+@dataclass
+class _Outer:
+    """The layer behind the hidden values for scores to base 2, both digits side by side, and whether scores may be beyond
+    ``REACH``. The biases are a row per high digit."""
+
+    weights: np.ndarray
+    biases: np.ndarray
+    wide: bool
 
 
-def _powers(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of the columns, each up to a factor, and their sums; ``z`` is overwritten."""
-    z -= z.max(0)
-    e = np.exp(z)
-    return e, e.sum(0)
+def _outer(parts: dict[str, np.ndarray]) -> _Outer:
+    weights = np.concatenate([parts["high"], parts["low"]], 1) * _LOG2_E
+    biases = np.empty((SIDE, 2 * SIDE), weights.dtype)
+    biases[:, :SIDE], biases[:, SIDE:] = parts["high_bias"], parts["low_bias"]
+    biases *= _LOG2_E
+    reach = np.abs(weights).sum(0).max() + np.abs(biases).max()  # hidden values are within 1
+    return _Outer(weights, biases, not reach < REACH)
+
+
+def _hidden(parts: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and hidden values, a row per word."""
+    kind = parts["embed"].dtype
+    x = np.take(parts["embed"], around.ravel(), axis=0, out=_room("x", (around.size, WIDTH), kind), mode="clip").reshape(len(around), -1)
+    h = np.matmul(x, parts["inner"], out=_room("h", (len(around), HIDDEN), kind))
+    h += parts["inner_bias"]
+    return x, np.tanh(h, out=h)
+
+
+def _scores(h: np.ndarray, outer: _Outer, digits: np.ndarray) -> np.ndarray:
+    """From hidden values the scores to base 2 of the high and then the low digit, a row per word."""
+    y = np.matmul(h, outer.weights, out=_room("y", (len(h), 2 * SIDE), h.dtype))
+    y += np.take(outer.biases, digits, axis=0, out=_room("first", y.shape, h.dtype), mode="clip")
+    if outer.wide:
+        y.reshape(-1, 2, SIDE)[:] -= y.reshape(-1, 2, SIDE).max(2, keepdims=True)
+    return y
+
+
+def _sums(y: np.ndarray) -> np.ndarray:
+    """Of both digits of each word."""
+    return (y.reshape(-1, SIDE) @ np.ones(SIDE, y.dtype)).reshape(-1, 2)
+
+
+def _powers(y: np.ndarray, wide: bool = False) -> float:
+    """Puts 2 to the power of each in its place, times a factor; returns the factor.
+
+    Single precision, where all must be within 120, or below it if ``wide``: whole powers by shifting bits, the rest by a
+    polynomial that is right to 3 parts in a million.
+    """
+    if y.dtype != np.float32:
+        np.exp2(y, out=y)
+        return 1.0
+    if wide:
+        np.maximum(y, -REACH, out=y)
+    whole, rest = _room("first", y.shape, y.dtype), _room("second", y.shape, y.dtype)
+    np.add(y, _ROUNDS_OFF, out=whole)
+    np.subtract(whole, _ROUNDS_OFF, out=rest)
+    np.subtract(y, rest, out=rest)
+    bits = np.left_shift(whole.view(np.int32), 23, out=whole.view(np.int32))
+    np.add(rest, _POWER[0], out=y)
+    for coefficient in _POWER[1:]:
+        np.multiply(y, rest, out=y)
+        np.add(y, coefficient, out=y)
+    np.add(y.view(np.int32), bits, out=y.view(np.int32))
+    return _POWER_FACTOR
 
 
 def log_probabilities(model: Model, around: np.ndarray, target: np.ndarray) -> np.ndarray:
     out = np.empty(len(target))
+    outer = _outer(model.parts)
     for at in range(0, len(target), POSITIONS):
         part = slice(at, at + POSITIONS)
-        _, _, high, low = _logits(model.parts, around[part], target[part])
-        n, value = np.arange(high.shape[1]), 0.0
-        for z, digit in ((high, target[part] // SIDE), (low, target[part] % SIDE)):
-            _, sums = _powers(z)
-            value = value + z[digit, n] - np.log(sums)
-        out[part] = value
+        digits = target[part] // SIDE
+        n = np.arange(len(digits))
+        y = _scores(_hidden(model.parts, around[part])[1], outer, digits)
+        value = y[n, digits].astype(np.float64) + y[n, SIDE + target[part] % SIDE]
+        factor = _powers(y, outer.wide)
+        out[part] = value / _LOG2_E - np.log(_sums(y).astype(np.float64) / factor).sum(1)
     return out
 
 
 def learn(parts: dict[str, np.ndarray], squares: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, rate: float = 0.1) -> None:
     """One step on a batch, with a step size per parameter that falls as its slopes add up."""
-    x, h, high, low = _logits(parts, around, target)
-    n = np.arange(len(target))
-    digits = target // SIDE
-    for z, digit in ((high, digits), (low, target % SIDE)):
-        e, sums = _powers(z)
-        np.divide(e, sums, out=z)
-        z[digit, n] -= 1
-    d_pre = (parts["high"] @ high + parts["low"] @ low).T * (1 - h * h)
-    words, embed = _summed(around.ravel(), (d_pre @ parts["inner"].T).reshape(-1, WIDTH))
-    of_digit = (digits[:, None] == np.arange(SIDE)).astype(np.float32)
-    every = slice(None)
+    order = np.argsort((target // SIDE).astype(np.uint8), kind="stable")  # words of a high digit stand together
+    around, target = around[order], target[order]
+    digits, n = target // SIDE, np.arange(len(target))
+    outer = _outer(parts)
+    x, h = _hidden(parts, around)
+    y = _scores(h, outer, digits)
+    _powers(y, outer.wide)
+    shares = y.reshape(-1, 2, SIDE)
+    shares *= (1 / _sums(y))[:, :, None]
+    y[n, digits] -= 1
+    y[n, SIDE + target % SIDE] -= 1
+    d_pre = np.matmul(y, outer.weights.T, out=_room("d_pre", h.shape, h.dtype))
+    bend = np.multiply(h, h, out=_room("first", h.shape, h.dtype))
+    np.subtract(1, bend, out=bend)
+    bend *= 1 / _LOG2_E  # the layer's weights are to base 2
+    d_pre *= bend
+    words, embed = _summed(around.ravel(), np.matmul(d_pre, parts["inner"].T, out=_room("second", x.shape, x.dtype)).reshape(-1, WIDTH))
+    heads, every = _heads(digits), slice(None)
+    outward = h.T @ y
     slopes = {
-        "embed": (words, embed), "inner": (every, x.T @ d_pre), "inner_bias": (every, d_pre.sum(0)), "high": (every, (high @ h).T),
-        "high_bias": (every, high.sum(1)), "low": (every, (low @ h).T), "low_bias": (every, (low @ of_digit).T),
+        "embed": (words, embed), "inner": (every, x.T @ d_pre), "inner_bias": (every, d_pre.sum(0)), "high": (every, outward[:, :SIDE]),
+        "high_bias": (every, y[:, :SIDE].sum(0)), "low": (every, outward[:, SIDE:]), "low_bias": (digits[heads], _runs(y[:, SIDE:], heads)),
     }
     for name, (rows, slope) in slopes.items():
-        square = squares[name][rows] + slope * slope
-        squares[name][rows] = square
+        square = squares[name][rows]
+        square += slope * slope
+        if rows is not every:
+            squares[name][rows] = square
         parts[name][rows] -= rate * slope / np.sqrt(square)
 
 
+def _heads(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
+def _runs(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The sums of the rows from each head to the next, two columns at a time."""
+    return np.add.reduceat(values.view(np.result_type(values.dtype, np.complex64)), heads).view(values.dtype)
+
+
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows, and the sums of the values of each."""
     rows = rows.astype(np.uint16)  # sorted by digits
     order = np.argsort(rows, kind="stable")
-    ordered = rows[order].astype(np.int64)
-    heads = np.flatnonzero(np.diff(ordered, prepend=-1))
-    return ordered[heads], np.add.reduceat(values[order], heads)
+    ordered = rows[order]
+    heads = _heads(ordered)
+    values = np.take(values, order, axis=0, out=_room("first", values.shape, values.dtype), mode="clip")
+    return ordered[heads].astype(np.int64), _runs(values, heads)
 
 
 def masked(rows: np.ndarray, counts: np.ndarray, turn: int, rounds: int) -> np.ndarray:
@@ -271,6 +393,7 @@ def score(text: Column, model: Model, often: tuple[np.ndarray, np.ndarray] | Non
     """
     once = np.log1p(model.masses)
     rare = often is not None
+    held = Found(often[0]) if rare else None
 
     def scored(texts: pa.Array) -> pa.Array:
         n, sums, ends, others = [], [], [np.zeros(1, np.int64)], []
@@ -282,11 +405,11 @@ def score(text: Column, model: Model, often: tuple[np.ndarray, np.ndarray] | Non
             n.append(counts)
             if rare:
                 left, places = hashes[shared], np.flatnonzero(shared)
-                if len(often[0]):
-                    place = np.minimum(np.searchsorted(often[0], left), len(often[0]) - 1)
-                    held = often[0][place] == left
-                    values[places[held]] += often[1][place[held]]
-                    left, places = left[~held], places[~held]
+                known, place = held(left)
+                values[places[known]] += np.take(often[1], place)
+                others_only = np.ones(len(left), bool)
+                others_only[known] = False
+                left, places = left[others_only], places[others_only]
                 ends.append(ends[-1][-1] + np.cumsum(np.bincount(rows[places], minlength=len(counts))))
                 others.append(left)
             sums.append(np.bincount(rows, values, len(counts)))

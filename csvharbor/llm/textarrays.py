@@ -16,9 +16,11 @@ BLOCK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SOLID = ~_SPACE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BYTE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_AS_LOWER = _BYTE[_LOWER]
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
@@ -79,7 +81,7 @@ class Words:
 
 
 def words(block: Block) -> Words:
-    solid = ~_SPACE[block.data]
+    solid = np.take(_SOLID, block.data)
     heads = block.bounds[:-1][np.diff(block.bounds) > 0]
     before = np.zeros_like(solid)
     before[1:] = solid[:-1]
@@ -97,11 +99,15 @@ def words(block: Block) -> Words:
 def word_hashes(block: Block, found: Words, lower: bool = True) -> np.ndarray:
     """A 64-bit hash per word; ``lower`` reads A-Z as a-z."""
     n = len(block.data)
-    data = _LOWER[block.data] if lower else block.data
+    each = np.take(_BYTE_AS_LOWER if lower else _BYTE, block.data)
+    each *= _power("up", _BASE, n + 1)[:n]
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power("up", _BASE, n + 1)[:n], out=sums[1:])
-    parts = (sums[found.ends] - sums[found.starts]) * _power("down", pow(_BASE, -1, 1 << 64), n + 1)[found.starts]
-    return mix(parts + (found.ends - found.starts).astype(np.uint64))
+    np.cumsum(each, out=sums[1:])
+    parts = np.take(sums, found.ends)
+    parts -= np.take(sums, found.starts)
+    parts *= np.take(_power("down", pow(_BASE, -1, 1 << 64), n + 1), found.starts)
+    parts += (found.ends - found.starts).astype(np.uint64)
+    return mix(parts)
 
 
 def shingles(hashes: np.ndarray, found: Words, width: int) -> list[np.ndarray]:

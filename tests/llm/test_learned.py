@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -215,3 +216,47 @@ def test_training_learns_from_every_word(monkeypatch):
     texts = [pa.RecordBatch.from_arrays([pa.array([words, None, "one", words])], ["text"])]
     given = sum(b.column("words")[0].as_py() for turn in range(2) for b in pseudolikelihood._round(model, turn, 2)(iter(texts)))
     assert sum(batches) == given == 10_001
+
+
+def test_a_step_of_learning_asks_for_little_memory():
+    rng = np.random.default_rng(8)
+    model = pseudolikelihood.begin(np.empty(0, np.uint64), np.empty(0, np.int64), 10)
+    squares = {k: np.ones_like(v) for k, v in model.parts.items()}
+    around, target = rng.integers(0, 300, (pseudolikelihood.BATCH, 4)), rng.integers(0, pseudolikelihood.PAD, pseudolikelihood.BATCH)
+    pseudolikelihood.learn(model.parts, squares, around, target)
+    pseudolikelihood.log_probabilities(model, around, target)
+    tracemalloc.start()
+    pseudolikelihood.learn(model.parts, squares, around, target)
+    learnt = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    pseudolikelihood.log_probabilities(model, around, target)
+    scored = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert learnt < 500_000 and scored < 500_000
+
+
+@pytest.mark.parametrize("size", [1, 40, 400])
+def test_single_precision_follows_double(size):
+    rng = np.random.default_rng(9)
+    model = pseudolikelihood.begin(np.empty(0, np.uint64), np.empty(0, np.int64), 10)
+    model.parts["high"] *= size
+    model.parts["low_bias"] += size * rng.standard_normal((64, 64)).astype(np.float32)
+    double = pseudolikelihood.Model(model.hashes, model.numbers, {k: v.astype(np.float64) for k, v in model.parts.items()})
+    around, target = rng.integers(0, pseudolikelihood.PAD + 1, (3000, 4)), rng.integers(0, pseudolikelihood.PAD, 3000)
+    got, exact = (pseudolikelihood.log_probabilities(m, around, target) for m in (model, double))
+    assert np.isfinite(got).all() and np.allclose(got, exact, rtol=1e-5, atol=2e-5)
+    stepped = [{k: v.copy() for k, v in m.parts.items()} for m in (model, double)]
+    for parts in stepped:
+        pseudolikelihood.learn(parts, {k: np.ones_like(v) for k, v in parts.items()}, around[:1000], target[:1000])
+    for name in stepped[0]:
+        assert np.allclose(stepped[0][name], stepped[1][name], rtol=1e-3, atol=1e-3), name
+
+
+def test_hashes_are_found():
+    rng = np.random.default_rng(10)
+    hashes = np.unique(np.concatenate([rng.integers(0, 1 << 64, 3000, dtype=np.uint64), np.arange(9, dtype=np.uint64), ~np.arange(9, dtype=np.uint64)]))
+    sought = np.concatenate([rng.permutation(hashes), hashes[-3:], rng.integers(0, 1 << 64, 3000, dtype=np.uint64)])
+    for held in (hashes, hashes[:1], hashes[:0]):
+        places, found = pseudolikelihood.Found(held)(sought)
+        assert sorted(places.tolist()) == np.flatnonzero(np.isin(sought, held)).tolist()
+        assert (held[found] == sought[places]).all()
